@@ -1 +1,308 @@
-ORACLES = {}
+"""DuckDB SQL for the registered core queries."""
+
+from __future__ import annotations
+
+from leafstack.functions.text import CAPTION_WORDS, ROMAN
+
+#: White space that stripping removes, as for the Column builders.
+_WS = "' ' || " + " || ".join(f"chr({c})" for c in range(33, 0x3001) if chr(c).isspace()) + " || " + " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31))
+
+
+def _strip(c: str) -> str:
+    return f"trim(coalesce({c}, ''), (SELECT ws FROM white))"
+
+
+_WHITE = f"white AS MATERIALIZED (SELECT {_WS} AS ws)"
+
+#: document_elements in the pipeline's form.
+_E = f"""{_WHITE},
+e AS MATERIALIZED (
+  SELECT element_uid, CAST(package_id AS VARCHAR) AS doc_id, page_number, ordinal, element_id, element_type, z_order, bbox.x AS x, bbox.y AS y, bbox.width AS width, bbox.height AS height,
+    text, {_strip('text')} AS st, metadata['layout'] AS layout, coalesce(metadata['is_placeholder'] = 'true', false) AS is_placeholder, coalesce(metadata['is_heading'] = 'true', false) AS is_heading,
+    CAST(metadata['heading_level'] AS INTEGER) AS heading_level, coalesce(metadata['is_list_item'] = 'true', false) AS is_list_item, metadata['source_format'] AS source_format,
+    json_extract_string(metadata['image'], '$.filename') AS image_ref
+  FROM (SELECT *, row_number() OVER (PARTITION BY element_uid ORDER BY ingested_at DESC) AS r FROM document_elements) WHERE r = 1),
+p AS (
+  SELECT DISTINCT CAST(package_id AS VARCHAR) AS doc_id, page_number, width, height, metadata['source_format'] AS source_format, metadata['layout_mode'] AS layout_mode, metadata['sheet_name'] AS sheet_name FROM document_pages)"""
+
+#: Order lines as a dense layout.
+_L = f"""{_WHITE},
+e AS MATERIALIZED (
+  SELECT CAST(pg AS VARCHAR) AS doc_id, 1 AS page_number, ordinal, printf('E_001_%04d', ordinal + 1) AS element_id,
+    CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'unknown' ELSE 'text' END AS element_type, ordinal + 1 AS z_order,
+    (l_partkey % 80) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 100 AS width, 0.02::DOUBLE + (l_partkey % 7) / 50 AS height, CASE WHEN k >= 2 THEN p_name END AS text, {_strip('CASE WHEN k >= 2 THEN p_name END')} AS st
+  FROM (SELECT *, l_orderkey // 4 AS pg, l_partkey % 5 AS k, CAST(row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS ordinal
+        FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey),
+area AS MATERIALIZED (SELECT *, greatest(0.0::DOUBLE, width) * greatest(0.0::DOUBLE, height) AS area FROM e)"""
+
+
+def _ratio(i: str, o: str, names=("x", "y", "width", "height")) -> str:
+    x, y, w, h = (f"{o}.{n}" for n in names)
+    shared = f"(greatest(0.0::DOUBLE, least({i}.x + {i}.width, {x} + {w}) - greatest({i}.x, {x})) * greatest(0.0::DOUBLE, least({i}.y + {i}.height, {y} + {h}) - greatest({i}.y, {y})))"
+    size = f"(greatest(0.0::DOUBLE, {i}.x + {i}.width - {i}.x) * greatest(0.0::DOUBLE, {i}.y + {i}.height - {i}.y))"
+    return f"(CASE WHEN {shared} <= 0 OR {size} <= 0 THEN 0.0::DOUBLE ELSE {shared} / {size} END)"
+
+
+_SAME = "a.doc_id = b.doc_id AND a.page_number = b.page_number"
+
+_PARENT = f"""WITH {_L},
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, ordinal) AS rank FROM area WHERE element_type <> 'table'),
+pairs AS (SELECT b.doc_id, b.page_number, b.ordinal, b.rank AS child_rank, a.rank AS pr, a.ordinal AS po, {_ratio('b', 'a')} AS ratio FROM r a JOIN r b ON {_SAME} AND a.rank < b.rank WHERE {_ratio('b', 'a')} >= 0.6::DOUBLE)
+SELECT doc_id, page_number, ordinal, arg_max(po, pr) AS parent_ordinal, arg_max(ratio, pr) AS ratio, CAST(min(pr) AS INTEGER) AS first_rank, CAST(any_value(child_rank) AS INTEGER) AS child_rank FROM pairs GROUP BY 1, 2, 3"""
+
+_CLAIMS = f"""{_L},
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, ordinal) AS INTEGER) AS rank FROM area WHERE element_type = 'table'),
+cell AS MATERIALIZED (SELECT doc_id, page_number, ordinal, rank, c AS cell_idx, x + width / 2 * (c % 2) AS cx, y + height / 2 * (c // 2) AS cy, width / 2 AS cw, height / 2 AS ch FROM t, (SELECT unnest(range(4)) AS c)),
+hits AS (SELECT a.doc_id, a.page_number, a.ordinal, b.ordinal AS table_ordinal, b.rank AS table_rank, b.cell_idx, {_ratio('a', 'b', ('cx', 'cy', 'cw', 'ch'))} AS ratio
+  FROM e a JOIN cell b ON {_SAME} AND a.ordinal <> b.ordinal WHERE a.element_type <> 'group' AND {_ratio('a', 'b', ('cx', 'cy', 'cw', 'ch'))} >= 0.5::DOUBLE),
+claims AS MATERIALIZED (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, ordinal, table_ordinal ORDER BY ratio DESC, cell_idx) = 1)"""
+
+_TABLE_ABSORB = f"""WITH RECURSIVE {_CLAIMS},
+top AS (SELECT doc_id, page_number, max(rank) AS n FROM t GROUP BY 1, 2),
+step(doc_id, page_number, k, gone) AS (
+  SELECT doc_id, page_number, 0, CAST([] AS INTEGER[]) FROM top
+  UNION ALL
+  SELECT s.doc_id, s.page_number, s.k + 1, CASE WHEN list_contains(s.gone, s.k + 1) THEN s.gone ELSE list_concat(s.gone, coalesce((
+      SELECT list(t.rank) FROM claims c JOIN t ON t.doc_id = c.doc_id AND t.page_number = c.page_number AND t.ordinal = c.ordinal
+      WHERE c.doc_id = s.doc_id AND c.page_number = s.page_number AND c.table_rank = s.k + 1), [])) END
+  FROM step s JOIN top USING (doc_id, page_number) WHERE s.k < top.n),
+final AS (SELECT doc_id, page_number, gone FROM step JOIN top USING (doc_id, page_number) WHERE k = n)
+SELECT doc_id, page_number, ordinal, table_ordinal, cell_idx, ratio FROM claims JOIN final USING (doc_id, page_number) WHERE NOT list_contains(gone, table_rank)
+QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, ordinal ORDER BY table_rank) = 1"""
+
+_ANNOTATE = f"""WITH {_L},
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, ordinal) AS rank FROM area WHERE element_type = 'image')
+SELECT a.doc_id, a.page_number, a.ordinal, b.ordinal AS image_ordinal, {_ratio('a', 'b')} AS ratio FROM e a JOIN i b ON {_SAME}
+WHERE a.element_type IN ('text', 'unknown') AND length(a.st) BETWEEN 1 AND 60 AND {_ratio('a', 'b')} >= 0.5::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.page_number, a.ordinal ORDER BY b.rank) = 1"""
+
+_ROWS = f"""{_L},
+tops AS (SELECT doc_id, page_number, list_sort(list(DISTINCT y)) AS ys FROM e GROUP BY 1, 2),
+anchors AS (SELECT doc_id, page_number, list_reduce(ys[2:], lambda acc, v: CASE WHEN v - acc[len(acc)] > 0.02::DOUBLE THEN list_append(acc, v) ELSE acc END, [ys[1]]) AS anchors FROM
+  (SELECT doc_id, page_number, list_transform(ys, lambda v: v) AS ys FROM tops)),
+rowed AS MATERIALIZED (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id, e.page_number ORDER BY len(list_filter(anchors, lambda v: v <= e.y)), x, z_order, y, ordinal) AS read_ord FROM e JOIN anchors USING (doc_id, page_number))"""
+
+_TITLES = f"""WITH {_E},
+t AS (SELECT * FROM e WHERE element_type = 'text' AND st <> '' AND (is_placeholder OR (length(st) <= 80 AND NOT contains(st, chr(10)))) QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY ordinal) = 1)
+SELECT b.doc_id, b.page_number, a.ordinal AS source_ordinal, b.ordinal AS target_ordinal, 0.7::DOUBLE AS confidence FROM t a JOIN e b ON {_SAME} AND a.ordinal <> b.ordinal
+WHERE b.y >= a.y AND b.y - (a.y + a.height) <= 0.5::DOUBLE"""
+
+_WORDS = " OR ".join(f"contains(lower(caption_text), '{w}')" for w in CAPTION_WORDS)
+_CAND = f"""{_L},
+pair AS (
+  SELECT a.doc_id, a.page_number, a.ordinal AS text_ordinal, b.ordinal AS visual_ordinal, b.element_id AS visual_element_id, a.st AS caption_text, a.width AS tw, a.height AS th, b.width AS vw, b.height AS vh,
+    greatest(0.0::DOUBLE, least(b.x + b.width, a.x + a.width) - greatest(b.x, a.x)) / greatest(least(b.x + b.width - b.x, a.x + a.width - a.x), 1e-6::DOUBLE) AS ov,
+    a.y - (b.y + b.height) AS below, b.y - (a.y + a.height) AS above
+  FROM e a JOIN e b ON {_SAME} WHERE a.element_type = 'text' AND a.st <> '' AND b.element_type IN ('image', 'table')),
+gated AS (
+  SELECT *, CASE WHEN below >= 0 AND above >= 0 THEN least(below, above) WHEN below >= 0 THEN below WHEN above >= 0 THEN above END AS gap, greatest(tw * th, 1e-9::DOUBLE) / greatest(vw * vh, 1e-9::DOUBLE) AS sz FROM pair),
+parts AS (
+  SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - gap / 0.3::DOUBLE) AS proximity, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ov)) AS alignment,
+    CASE WHEN sz < 0.5 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - sz) END AS size_ratio,
+    CASE WHEN below >= 0 AND below <= 0.3::DOUBLE THEN 0.8::DOUBLE WHEN above >= 0 AND above <= 0.3::DOUBLE THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS position,
+    greatest(CASE WHEN length(caption_text) BETWEEN 8 AND 120 THEN 1.0::DOUBLE WHEN length(caption_text) BETWEEN 1 AND 180 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN {_WORDS} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS text_hint,
+    CASE WHEN caption_text[1] IN ('-', '•', '·') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS bullet_penalty
+  FROM gated WHERE ov >= 1.0::DOUBLE - 0.2::DOUBLE AND gap IS NOT NULL AND gap <= 0.3::DOUBLE),
+scored AS (
+  SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * proximity + 0.25::DOUBLE * alignment + 0.15::DOUBLE * size_ratio + 0.15::DOUBLE * position + 0.1::DOUBLE * text_hint - bullet_penalty)) AS score FROM parts),
+cand AS MATERIALIZED (SELECT *, CASE WHEN score >= 0.65::DOUBLE THEN 'caption_of' ELSE 'related_to' END AS relation_type FROM scored WHERE score >= 0.45::DOUBLE),
+judged AS MATERIALIZED (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, page_number, text_ordinal ORDER BY score DESC, visual_ordinal, text_ordinal) > 1 THEN 'caption_already_assigned' END AS rejected_reason,
+    CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY score DESC, visual_ordinal, text_ordinal) AS INTEGER) AS rank FROM cand)"""
+_KEYS = "doc_id, page_number, text_ordinal, visual_ordinal"
+
+#: Blocks of document_elements in stored order, without titles.
+_BLOCKS = f"""{_E},
+lv AS (SELECT *, CASE WHEN is_heading THEN least(greatest(coalesce(nullif(heading_level, 0), 2), 1), 6) WHEN is_placeholder THEN 3 END AS level,
+  CASE p2.source_format WHEN 'pptx' THEN 'Slide ' || page_number WHEN 'xlsx' THEN coalesce(nullif(p2.sheet_name, ''), 'Sheet ' || page_number) WHEN 'hwpx' THEN 'Section ' || page_number END AS container
+  FROM e LEFT JOIN (SELECT doc_id, page_number, source_format, sheet_name FROM p) p2 USING (doc_id, page_number)),
+hd AS MATERIALIZED (SELECT doc_id, page_number, ordinal, level, coalesce(nullif(st, ''), 'heading') AS label FROM lv WHERE level IS NOT NULL),
+par AS MATERIALIZED (
+  SELECT a.doc_id, a.page_number, a.ordinal, max(b.ordinal) AS parent FROM lv a JOIN hd b ON {_SAME} AND b.ordinal < a.ordinal AND b.level < coalesce(a.level, 7) GROUP BY 1, 2, 3),
+o AS MATERIALIZED (
+  SELECT *, level IS NOT NULL OR element_type IN ('table', 'image') OR (parent IS NULL AND container IS NULL) AS makes,
+    sum(CASE WHEN level IS NOT NULL OR element_type IN ('table', 'image') OR (parent IS NULL AND container IS NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY ordinal) + CASE WHEN container IS NULL THEN 0 ELSE 1 END AS own
+  FROM lv LEFT JOIN par USING (doc_id, page_number, ordinal)),
+pi AS (SELECT o.*, coalesce(h.own, CASE WHEN o.container IS NOT NULL THEN 1 END) AS pidx FROM o LEFT JOIN (SELECT doc_id, page_number, ordinal AS parent, own FROM o WHERE level IS NOT NULL) h USING (doc_id, page_number, parent)),
+kind AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN element_type = 'table' THEN 'table' WHEN element_type = 'image' THEN 'figure' WHEN is_list_item THEN 'list_item' ELSE 'paragraph' END AS kind FROM pi),
+blk AS (
+  SELECT doc_id, page_number, CAST(own AS INTEGER) AS block_idx, kind, coalesce(level, 0) AS level, CASE kind WHEN 'heading' THEN st WHEN 'figure' THEN 'figure' ELSE coalesce(nullif(st, ''), kind) END AS title_text, pidx FROM kind WHERE makes
+  UNION ALL SELECT DISTINCT doc_id, page_number, 1, 'container', 1, CASE source_format WHEN 'pptx' THEN 'Slide ' || page_number WHEN 'xlsx' THEN coalesce(nullif(sheet_name, ''), 'Sheet ' || page_number) ELSE 'Section ' || page_number END, NULL
+    FROM p WHERE source_format IN ('pptx', 'xlsx', 'hwpx')),
+it AS (SELECT *, CAST(CASE WHEN makes THEN own ELSE pidx END AS INTEGER) AS block_idx FROM kind),
+ids AS (
+  SELECT doc_id, page_number, block_idx, string_agg(element_id, ',' ORDER BY ordinal) AS element_ids FROM
+    (SELECT doc_id, page_number, block_idx, element_id, min(ordinal) AS ordinal FROM it GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
+
+_BID = "printf('B_%03d_%04d', page_number, CAST({} AS INTEGER))"
+
+#: Cells of document tables with the grid of their table.
+_C = f"""{_E},
+cell AS MATERIALIZED (
+  SELECT e.doc_id, e.page_number, e.ordinal, c.* EXCLUDE (package_id, element_uid, cell_uid, text), c.text AS raw, {_strip('c.text')} AS text, e.x, e.y, e.width, e.height,
+    max(row_idx) OVER (PARTITION BY e.doc_id, e.page_number, e.ordinal) + 1 AS nrows, max(col_idx) OVER (PARTITION BY e.doc_id, e.page_number, e.ordinal) + 1 AS ncols
+  FROM e JOIN (SELECT * FROM table_cells QUALIFY row_number() OVER (PARTITION BY cell_uid) = 1) c USING (element_uid) WHERE e.element_type = 'table'),
+use AS (SELECT *, coalesce(span_width, 1) AS sw, coalesce(span_height, 1) AS sh FROM cell WHERE NOT coalesce(is_spanned, false))"""
+
+
+def _br(c: str, joint: str) -> str:
+    return f"(CASE WHEN contains({c}, chr(10)) THEN array_to_string(list_transform(string_split({c}, chr(10)), lambda l: rtrim(l, {_WS})), {joint}) ELSE {c} END)"
+
+
+_HEAD = f"""{_C},
+con AS (SELECT *, {_br('text', "'<br/>'")} AS content, {_br("coalesce(nullif(trim(formatted_text, (SELECT ws FROM white)), ''), text)", "'<br/>'")} AS shown FROM use),
+hs AS (
+  SELECT doc_id, page_number, ordinal, max(row_idx) AS max_row, count(*) FILTER (row_idx = 0) AS n, count(*) FILTER (row_idx = 0 AND content <> '' AND length(content) <= 30) AS short,
+    coalesce(bool_or(row_idx = 0 AND (sw > 1 OR sh > 1)), false) AS spanned, max(sh) FILTER (row_idx = 0) AS tallest FROM con GROUP BY 1, 2, 3),
+hdr AS MATERIALIZED (
+  SELECT doc_id, page_number, ordinal, max_row, CASE WHEN n > 0 AND 0.5::DOUBLE * (0.5::DOUBLE + CASE WHEN spanned THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) + 0.3::DOUBLE * 0.0::DOUBLE + 0.2::DOUBLE * (short / greatest(n, 1)) >= 0.45::DOUBLE
+    THEN greatest(1, least(tallest, max_row + 1)) ELSE 0 END AS header_rows FROM hs)"""
+
+
+def _html_rows(tag: str, content: str, source: str) -> str:
+    return f"""(SELECT doc_id, page_number, ordinal, row_idx, '<tr>' || string_agg('<' || {tag} || CASE WHEN sw > 1 THEN ' colspan="' || sw || '"' ELSE '' END || CASE WHEN sh > 1 THEN ' rowspan="' || sh || '"' ELSE '' END
+      || '>' || {content} || '</' || {tag} || '>', '' ORDER BY col_idx, cell_idx) || '</tr>' AS row FROM {source} GROUP BY 1, 2, 3, 4)"""
+
+
+_MD = f"""{_E},
+body0 AS (
+  SELECT *, replace(st, chr(9), ' · ') AS shown, element_type = 'text' AND st <> '' AND is_placeholder AS opens FROM e),
+body1 AS (
+  SELECT *, {_br('shown', "'  ' || chr(10)")} AS plain, CASE WHEN element_type = 'text' AND NOT is_heading THEN starts_with(shown, '# ') WHEN element_type IN ('text', 'image', 'chart') THEN false ELSE starts_with(st, '# ') END AS looks FROM body0),
+body2 AS (SELECT *, coalesce(bool_or(opens OR looks) OVER (PARTITION BY doc_id, page_number ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS used FROM body1),
+body AS (
+  SELECT *, CASE element_type
+    WHEN 'text' THEN CASE WHEN st = '' THEN '' WHEN is_placeholder AND NOT used THEN '# ' || shown WHEN is_heading THEN repeat('#', least(greatest(coalesce(nullif(heading_level, 0), 2), 2), 6)) || ' ' || shown ELSE plain END
+    WHEN 'image' THEN '<img src="' || coalesce(nullif(image_ref, ''), 'image-not-exported') || '" alt="' || element_id || '"/>'
+    WHEN 'chart' THEN CASE WHEN coalesce(text, '') = '' THEN '> [chart]' ELSE '> [chart] ' || st END
+    ELSE {_br('st', "'  ' || chr(10)")} END AS body FROM body2)"""
+
+
+
+def _roman(n: str) -> str:
+    """Roman numeral from the fixed table, one place at a time."""
+    table = {v: s for v, s in ROMAN}
+    out = [f"repeat('M', {n} // 1000)"]
+    for unit in (100, 10, 1):
+        one, four, five, nine = table[unit], table[4 * unit], table[5 * unit], table[9 * unit]
+        digits = ["", one, one * 2, one * 3, four, five, five + one, five + one * 2, five + one * 3, nine]
+        out.append("[" + ", ".join(f"'{x}'" for x in digits) + f"][({n} // {unit}) % 10 + 1]")
+    return "(" + " || ".join(out) + ")"
+
+
+_RUNS = """runs AS MATERIALIZED (
+  SELECT l_orderkey AS shape, CAST(l_linenumber % 2 AS INTEGER) AS par, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS run_idx,
+    l_returnflag || l_linestatus || l_linenumber AS text, l_partkey % 4 < 3 AS bold, l_suppkey % 3 = 0 AS italic, l_quantity > 40 AS underline FROM lineitem)"""
+_DOMINANT = ", ".join(f"sum(CASE WHEN {f} THEN length(text) ELSE 0 END) / greatest(sum(length(text)), 1) >= 0.8::DOUBLE AND sum(length(text)) > 0 AS dominant_{f}" for f in ("bold", "italic", "underline"))
+
+
+def _merge(source: str) -> str:
+    return f"""SELECT shape, par, min(run_idx) AS run_idx, string_agg(text, '' ORDER BY run_idx) AS text, bold, italic, underline FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY shape, par ORDER BY run_idx) AS g FROM (
+        SELECT *, CASE WHEN (bold, italic, underline) IS DISTINCT FROM lag((bold, italic, underline)) OVER (PARTITION BY shape, par ORDER BY run_idx) THEN 1 ELSE 0 END AS fresh FROM {source} WHERE text <> ''))
+    GROUP BY shape, par, g, bold, italic, underline"""
+
+
+_TWO = f"""{_ROWS},
+ex AS (SELECT doc_id, page_number, chr(ordinal + 40) AS id, ordinal AS e FROM e),
+pr AS (SELECT doc_id, page_number, chr(ordinal + 40) AS id, read_ord AS p FROM rowed WHERE ordinal % 7 <> 3),
+tau AS (
+  SELECT k.doc_id, k.page_number, coalesce(s / nullif(n, 0), 1.0::DOUBLE) AS tau FROM (SELECT DISTINCT doc_id, page_number FROM e) k LEFT JOIN (
+    SELECT a.doc_id, a.page_number, CAST(sum(sign(b.p - a.p)) AS DOUBLE) AS s, CAST(sum(abs(sign(b.p - a.p))) AS DOUBLE) AS n
+    FROM (SELECT * FROM ex JOIN pr USING (doc_id, page_number, id)) a JOIN (SELECT * FROM ex JOIN pr USING (doc_id, page_number, id)) b ON {_SAME} AND a.e < b.e GROUP BY 1, 2) USING (doc_id, page_number)),
+ned AS (
+  SELECT doc_id, page_number, 1.0::DOUBLE - levenshtein(x, coalesce(y, '')) / CAST(greatest(length(x), length(coalesce(y, ''))) AS DOUBLE) AS ned
+  FROM (SELECT doc_id, page_number, string_agg(id, '' ORDER BY e) AS x FROM ex GROUP BY 1, 2) LEFT JOIN (SELECT doc_id, page_number, string_agg(id, '' ORDER BY p) AS y FROM pr GROUP BY 1, 2) USING (doc_id, page_number))"""
+
+_PRF = """gold AS (SELECT DISTINCT CAST(package_id AS VARCHAR) AS doc_id, rel_idx, relation_type, source_element_id AS s, target_element_id AS t, rel_idx + package_id AS n FROM element_relations),
+g AS (SELECT DISTINCT {k} relation_type, s, t FROM gold), q AS (SELECT DISTINCT {k} CASE WHEN n % 7 = 0 THEN 'related_to' ELSE relation_type END AS relation_type, s, t FROM gold WHERE n % 5 <> 0),
+f AS (SELECT {k} relation_type, coalesce(gg, 0) AS gg, coalesce(qq, 0) AS qq FROM (SELECT *, 1 AS gg FROM g) FULL JOIN (SELECT *, 1 AS qq FROM q) USING ({k} relation_type, s, t)),
+c AS (SELECT {k} CASE WHEN grouping(relation_type) = 1 THEN '_overall' ELSE relation_type END AS relation_type, CAST(sum(gg * qq) AS BIGINT) AS tp, CAST(sum(qq * (1 - gg)) AS BIGINT) AS fp, CAST(sum(gg * (1 - qq)) AS BIGINT) AS fn
+  FROM f GROUP BY GROUPING SETS (({k} relation_type), ({g}))),
+pp AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM c)"""
+_F1 = "2 * precision * recall / greatest(precision + recall, 1e-9::DOUBLE) AS f1"
+
+ORACLES = {
+    "bbox_normalize": f"""WITH {_E}, b AS (SELECT e.element_uid, e.x * p.width / greatest(p.width, 1.0::DOUBLE) AS x, e.y * p.height / greatest(p.height, 1.0::DOUBLE) AS y,
+          e.width * p.width / greatest(p.width, 1.0::DOUBLE) AS w, e.height * p.height / greatest(p.height, 1.0::DOUBLE) AS h FROM e JOIN p USING (doc_id, page_number))
+        SELECT element_uid, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y)) AS y, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, w)) AS width, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, h)) AS height FROM b""",
+    "containment_parent": _PARENT,
+    "table_cell_bbox": f"""WITH {_C}, b AS (SELECT *, width / ncols AS sx, height / nrows AS sy, coalesce(is_spanned, false) AS gone FROM cell)
+        SELECT doc_id, page_number, ordinal, cell_idx, CASE WHEN NOT gone THEN x + sx * col_idx END AS cx, CASE WHEN NOT gone THEN y + sy * row_idx END AS cy,
+          CASE WHEN NOT gone THEN sx * coalesce(span_width, 1) END AS cw, CASE WHEN NOT gone THEN sy * coalesce(span_height, 1) END AS ch FROM b""",
+    "table_absorb_best_cell": f"WITH {_CLAIMS} SELECT doc_id, page_number, ordinal, table_ordinal, table_rank, cell_idx, ratio FROM claims",
+    "table_absorb": _TABLE_ABSORB,
+    "image_annotation_absorb": _ANNOTATE,
+    "noise_filter": f"WITH {_E} SELECT element_uid FROM e WHERE NOT (st = '' AND (element_type IN ('unknown', 'text') OR width * height < 1e-4::DOUBLE))",
+    "document_order": f"WITH {_E} SELECT element_uid, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY z_order, element_id, ordinal) AS read_ord FROM e",
+    "order_choice": f"""WITH {_E}, c AS (SELECT doc_id, page_number, count(*) AS n, count(*) FILTER (layout = 'flow') AS f, count(*) FILTER (layout = 'flow' AND y >= 0.99::DOUBLE) AS s FROM e GROUP BY 1, 2)
+        SELECT doc_id, page_number, coalesce(layout_mode = 'page_metrics', false) OR coalesce(source_format = 'docx', false) OR coalesce(f >= greatest(3, n // 2) AND s >= 3, false) AS as_stored FROM p LEFT JOIN c USING (doc_id, page_number)""",
+    "row_clustering": f"WITH {_ROWS} SELECT doc_id, page_number, ordinal, read_ord FROM rowed",
+    "title_of": _TITLES,
+    "caption_score": f"WITH {_CAND} SELECT {_KEYS}, proximity, alignment, size_ratio, position, text_hint, bullet_penalty, score, relation_type FROM cand",
+    "caption_assignment": f"WITH {_CAND} SELECT {_KEYS}, score, relation_type, rejected_reason, rank FROM judged",
+    "caption_verified": f"""WITH {_CAND} SELECT {_KEYS}, CASE WHEN relation_type = 'related_to' AND text_ordinal % 2 = 0 THEN 0.91::DOUBLE ELSE score END AS score,
+        CASE WHEN relation_type = 'related_to' AND text_ordinal % 2 = 0 THEN 'caption_of' ELSE relation_type END AS relation_type,
+        CASE WHEN relation_type = 'related_to' THEN CASE WHEN text_ordinal % 2 = 0 THEN 'vlm_fallback' ELSE 'vlm_rejected' END ELSE 'rule' END AS method FROM cand""",
+    "no_candidate_log": f"WITH {_CAND} SELECT doc_id, page_number, ordinal FROM e WHERE element_type IN ('image', 'table') AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.doc_id = e.doc_id AND c.page_number = e.page_number AND c.visual_ordinal = e.ordinal)",
+    "caption_map_last_wins": f"WITH {_CAND} SELECT doc_id, visual_element_id AS target_element_id, arg_max(caption_text, rank) AS caption FROM judged WHERE rejected_reason IS NULL AND relation_type = 'caption_of' GROUP BY 1, 2",
+    "section_path": f"""WITH RECURSIVE {_BLOCKS},
+        up(element_uid, level, first, doc_id, page_number, cur, path) AS (
+          SELECT element_uid, level, parent, doc_id, page_number, parent, '' FROM o WHERE level IS NOT NULL
+          UNION ALL SELECT u.element_uid, u.level, u.first, u.doc_id, u.page_number, q.parent, h.label || CASE WHEN u.path = '' THEN '' ELSE ' > ' || u.path END
+          FROM up u JOIN hd h ON h.doc_id = u.doc_id AND h.page_number = u.page_number AND h.ordinal = u.cur LEFT JOIN par q ON q.doc_id = h.doc_id AND q.page_number = h.page_number AND q.ordinal = h.ordinal)
+        SELECT element_uid, level, first AS parent_ordinal, path FROM up WHERE cur IS NULL""",
+    "block_kinds": f"WITH {_BLOCKS} SELECT doc_id, page_number, block_idx, {_BID.format('block_idx')} AS block_id, kind, level, title_text, coalesce(element_ids, '') AS element_ids, CASE WHEN pidx IS NOT NULL THEN {_BID.format('pidx')} END AS parent_block_id FROM blk LEFT JOIN ids USING (doc_id, page_number, block_idx)",
+    "bbox_union": f"WITH {_BLOCKS} SELECT doc_id, page_number, block_idx, min(x) AS x, min(y) AS y, greatest(max(x + width) - min(x), 0.0::DOUBLE) AS width, greatest(max(y + height) - min(y), 0.0::DOUBLE) AS height FROM it GROUP BY 1, 2, 3 HAVING min(x) IS NOT NULL",
+    "table_header_rows": f"WITH {_HEAD} SELECT doc_id, page_number, ordinal, max_row, header_rows FROM hdr",
+    "pipe_table": f"""WITH {_C}, one AS (SELECT doc_id, page_number, ordinal, row_idx, col_idx, arg_max(text, cell_idx) AS text FROM use GROUP BY ALL),
+        dim AS (SELECT doc_id, page_number, ordinal, max(row_idx) AS nr, max(col_idx) AS nc FROM one GROUP BY ALL),
+        grid AS (SELECT d.*, r AS row_idx, c AS col_idx FROM (SELECT *, unnest(range(nr + 1)) AS r FROM dim) d, LATERAL (SELECT unnest(range(d.nc + 1)) AS c)),
+        line AS (SELECT doc_id, page_number, ordinal, row_idx, any_value(nc) AS nc, '| ' || string_agg(coalesce(text, ''), ' | ' ORDER BY col_idx) || ' |' AS line FROM grid LEFT JOIN one USING (doc_id, page_number, ordinal, row_idx, col_idx) GROUP BY ALL)
+        SELECT doc_id, page_number, ordinal, string_agg(line || CASE WHEN row_idx = 0 THEN chr(10) || '| ' || array_to_string(list_transform(range(nc + 1), lambda i: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY row_idx) AS markdown FROM line GROUP BY ALL""",
+    "html_table": f"""WITH {_HEAD}, cc AS (SELECT con.*, CASE WHEN row_idx < header_rows THEN 'th' ELSE 'td' END AS tag FROM con JOIN hdr USING (doc_id, page_number, ordinal)),
+        rw AS {_html_rows('tag', 'shown', 'cc')}, grid AS (SELECT doc_id, page_number, ordinal, header_rows, unnest(range(max_row + 1)) AS row_idx FROM hdr),
+        ln AS (SELECT grid.*, coalesce(row, '<tr></tr>') AS row FROM grid LEFT JOIN rw USING (doc_id, page_number, ordinal, row_idx)),
+        parts AS (SELECT doc_id, page_number, ordinal, any_value(header_rows) AS h, string_agg(row, chr(10) ORDER BY row_idx) FILTER (row_idx < header_rows) AS head, string_agg(row, chr(10) ORDER BY row_idx) FILTER (row_idx >= header_rows) AS body FROM ln GROUP BY 1, 2, 3)
+        SELECT doc_id, page_number, ordinal, '<table>' || chr(10) || CASE WHEN h > 0 THEN '<thead>' || chr(10) || head || chr(10) || '</thead>' || chr(10) ELSE '' END || '<tbody>' || chr(10) || coalesce(body || chr(10), '') || '</tbody>' || chr(10) || '</table>' AS html FROM parts""",
+    "nested_html": f"""WITH {_C}, rw AS {_html_rows("'td'", 'text', 'use')}, dim AS (SELECT doc_id, page_number, ordinal, unnest(range(max(row_idx) + 1)) AS row_idx FROM use GROUP BY 1, 2, 3)
+        SELECT doc_id, page_number, ordinal, '<table>' || chr(10) || string_agg(coalesce(row, '<tr></tr>'), chr(10) ORDER BY row_idx) || chr(10) || '</table>' AS html FROM dim LEFT JOIN rw USING (doc_id, page_number, ordinal, row_idx) GROUP BY 1, 2, 3""",
+    "col_width_pct": """WITH w AS (SELECT l_orderkey, list_sort(list(floor(l_quantity))) AS w FROM lineitem GROUP BY 1), t AS (SELECT *, list_sum(w) AS total FROM w WHERE list_sum(w) > 0)
+        SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS pos, w[i] / total * 100 AS pct FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)""",
+    "md_linebreaks": f"""WITH {_E} SELECT element_uid, {_br('st', "'  ' || chr(10)")} AS markdown, {_br('st', "'<br/>'")} AS html, replace(text, chr(9), ' · ') AS tabs FROM e WHERE text IS NOT NULL""",
+    "img_md_to_html": f"""WITH {_E} SELECT element_uid, 'see <img src="' || coalesce(image_ref, 'none.png') || '" alt="' || element_id || '"' || w || '/> and <img src="y.png" alt="x"' || w || '/>' AS html
+        FROM (SELECT *, CASE WHEN ordinal % 3 > 0 THEN ' width="' || (ordinal % 3) || '"' ELSE '' END AS w FROM e WHERE element_type = 'image')""",
+    "markdown_page": f"""WITH {_MD}, pg AS (SELECT doc_id, page_number, string_agg(body || chr(10), chr(10) ORDER BY ordinal) AS t FROM body WHERE body <> '' GROUP BY 1, 2)
+        SELECT doc_id, page_number, trim('<!-- Page ' || page_number || ' -->' || chr(10) || chr(10) || coalesce(t, ''), (SELECT ws FROM white)) AS markdown FROM p LEFT JOIN pg USING (doc_id, page_number)""",
+    "rag_split": f"""WITH RECURSIVE {_WHITE}, t AS (SELECT DISTINCT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE text <> ''),
+        cut(doc_id, t, s, n, e) AS (
+          SELECT doc_id, t, 0, 0, 0 FROM t UNION ALL
+          SELECT doc_id, t, e, n + 1, CASE WHEN length(t) <= 400 THEN length(t) WHEN e + 400 >= length(t) THEN length(t)
+            WHEN contains(t[e + 2:e + 400], chr(10) || chr(10)) THEN e + 400 - (instr(reverse(t[e + 2:e + 400]), chr(10) || chr(10)) - 1) - 2 ELSE e + 400 END
+          FROM cut WHERE e < length(t)),
+        part AS (SELECT doc_id, n, CASE WHEN length(t) <= 400 THEN t ELSE trim(t[s + 1:e], (SELECT ws FROM white)) END AS part FROM cut WHERE n > 0)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS part_no, part FROM part WHERE part <> ''""",
+    "debug_report_counts": f"""WITH {_BLOCKS}, b AS (SELECT doc_id, count(*) AS num_blocks FROM blk GROUP BY 1), r AS (SELECT CAST(package_id AS VARCHAR) AS doc_id, count(*) AS num_relations FROM (SELECT DISTINCT package_id, rel_idx FROM element_relations) GROUP BY 1),
+        n AS (SELECT doc_id, count(*) AS num_pages FROM p GROUP BY 1) SELECT doc_id, num_pages, coalesce(num_blocks, 0) AS num_blocks, coalesce(num_relations, 0) AS num_relations FROM n LEFT JOIN b USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "kendall_tau": f"WITH {_TWO} SELECT doc_id, page_number, tau FROM tau",
+    "edit_distance_norm": f"WITH {_TWO} SELECT doc_id, page_number, ned FROM ned",
+    "relation_prf": f"WITH {_PRF.format(k='', g='')} SELECT relation_type, tp, fp, fn, precision, recall, {_F1} FROM pp",
+    "golden_report": f"""WITH {_TWO}, {_PRF.format(k='doc_id,', g='doc_id')}, m AS (SELECT doc_id, count(*) AS pages, avg(tau) AS avg_tau, avg(ned) AS avg_ned FROM tau JOIN ned USING (doc_id, page_number) GROUP BY 1)
+        SELECT m.doc_id, pages, avg_tau, avg_ned, precision, recall, f1 FROM m LEFT JOIN (SELECT doc_id, precision, recall, {_F1} FROM pp WHERE relation_type = '_overall') USING (doc_id)""",
+    "caption_baseline": f"""WITH {_CAND}, el AS (SELECT doc_id, count(DISTINCT page_number) AS pages, count(*) FILTER (element_type = 'image') AS images FROM e GROUP BY 1),
+        ca AS (SELECT doc_id, count(*) FILTER (rejected_reason IS NULL AND relation_type = 'caption_of') AS captions, count(*) AS n, count(rejected_reason) AS r FROM judged GROUP BY 1),
+        no AS (SELECT doc_id, count(*) AS m FROM e WHERE element_type IN ('image', 'table') AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.doc_id = e.doc_id AND c.page_number = e.page_number AND c.visual_ordinal = e.ordinal) GROUP BY 1),
+        al AS (SELECT doc_id, pages, images, coalesce(captions, 0) AS captions, coalesce(n, 0) + coalesce(m, 0) AS decisions, coalesce(r, 0) + coalesce(m, 0) AS rejected FROM el LEFT JOIN ca USING (doc_id) LEFT JOIN no USING (doc_id)),
+        su AS (SELECT doc_id, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(images) AS BIGINT) AS images, CAST(sum(captions) AS BIGINT) AS captions, CAST(sum(decisions) AS BIGINT) AS decisions, CAST(sum(rejected) AS BIGINT) AS rejected FROM al GROUP BY ROLLUP (doc_id))
+        SELECT *, captions / greatest(images, 1) AS caption_density_per_image, rejected / greatest(decisions, 1) AS rejection_rate FROM su""",
+    "autonum_format": f"""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN n || '. ' WHEN 1 THEN n || ') ' WHEN 2 THEN n || ' ' WHEN 3 THEN chr(CAST(97 + (n - 1) % 26 AS INTEGER)) || '. ' WHEN 4 THEN chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || ') '
+        WHEN 5 THEN lower({_roman('n')}) || '. ' WHEN 6 THEN {_roman('n')} || ') ' WHEN 7 THEN CASE WHEN n <= 20 THEN chr(CAST(9311 + n AS INTEGER)) || ' ' ELSE '(' || n || ') ' END ELSE n || '. ' END AS prefix FROM (SELECT p_partkey, p_partkey % 60 + 1 AS n FROM part)""",
+    "roman_numeral": f"SELECT p_partkey, {_roman('n')} AS numeral FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part)",
+    "dominant_style": f"WITH {_RUNS} SELECT shape, {_DOMINANT} FROM runs GROUP BY shape",
+    "merge_runs": f"WITH {_RUNS} {_merge('runs')}",
+    "wrap_runs": f"""WITH {_RUNS}, d AS (SELECT shape, {_DOMINANT} FROM runs GROUP BY shape),
+        s AS (SELECT shape, par, run_idx, text, bold AND NOT dominant_bold AS bold, italic AND NOT dominant_italic AS italic, underline AND NOT dominant_underline AS underline FROM runs JOIN d USING (shape)),
+        m AS ({_merge('s')}), w AS (SELECT *, CASE WHEN underline THEN '<u>' || text || '</u>' ELSE text END AS a FROM m), x AS (SELECT *, CASE WHEN italic THEN '*' || a || '*' ELSE a END AS b FROM w),
+        l AS (SELECT shape, par, trim(string_agg(CASE WHEN bold THEN '**' || b || '**' ELSE b END, '' ORDER BY run_idx)) AS line FROM x GROUP BY 1, 2)
+        SELECT shape, string_agg(line, chr(10) ORDER BY par) AS formatted FROM l WHERE line <> '' GROUP BY 1""",
+}
