@@ -222,7 +222,47 @@ c AS (SELECT {k} CASE WHEN grouping(relation_type) = 1 THEN '_overall' ELSE rela
 pp AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM c)"""
 _F1 = "2 * precision * recall / greatest(precision + recall, 1e-9::DOUBLE) AS f1"
 
+#: Lines of the documents, stripped; blank ones are left out.
+_LINES = f"""{_WHITE}, ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, trim(unnest(string_split(text, chr(10))), (SELECT ws FROM white)) AS l FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))"""
+_ONE_EACH = f"WITH {_LINES} SELECT doc_id, 'text' AS element_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal, l AS text FROM ln WHERE l <> ''"
+_ALL_IN_ONE = f"WITH {_LINES} SELECT doc_id, '{{}}' AS element_type, 0 AS ordinal, string_agg(l, chr(10) ORDER BY i) AS text FROM ln WHERE l <> '' GROUP BY 1"
+
+
+def _as_list(j: str) -> str:
+    """A JSON list; anything else as a list of one, null and absent as none."""
+    return f"(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'NULL' THEN [] ELSE CASE WHEN {j} IS NULL THEN [] ELSE [{j}] END END)"
+
+
+def _child(parent: str, name: str, keys: str, pos: str, value: str, source: str) -> str:
+    listed = _as_list(value)
+    return f"{name} AS (SELECT {keys}, generate_subscripts({listed}, 1) AS {pos}, unnest({listed}) AS j FROM {source})"
+
+
+_J = ", ".join([
+    "r AS (SELECT DISTINCT record_id, CAST(payload AS JSON) AS j FROM raw_records WHERE json_valid(payload))",
+    "r1 AS (SELECT record_id, json_extract(j, '$.pages') AS v FROM r)", _child("r1", "pg", "record_id", "page_pos", "v", "r1"),
+    "r2 AS (SELECT record_id, page_pos, json_extract(j, '$.elements') AS v FROM pg)", _child("r2", "el", "record_id, page_pos", "element_pos", "v", "r2"),
+    "r3a AS (SELECT *, json_extract(j, '$.metadata') AS m FROM el)",
+    "r3 AS (SELECT record_id, page_pos, element_pos, json_extract(CASE WHEN json_type(m) = 'VARCHAR' THEN TRY_CAST(json_extract_string(m, '$') AS JSON) ELSE m END, '$.table_cells') AS v FROM r3a)",
+    _child("r3", "ce", "record_id, page_pos, element_pos", "cell_pos", "v", "r3"),
+    "r4 AS (SELECT record_id, page_pos, element_pos, cell_pos, json_extract(j, '$.absorbed_elements') AS v FROM ce)", _child("r4", "ab", "record_id, page_pos, element_pos, cell_pos", "absorbed_pos", "v", "r4"),
+])
+
+
+def _jn(name: str, kind: str = "INTEGER") -> str:
+    number = f"TRY_CAST(json_extract_string(j, '$.{name}') AS DOUBLE)"
+    return f"CAST(trunc({number}) AS {kind})" if kind == "INTEGER" else number
+
+
+_POS = ", ".join(f"CAST({x}_pos AS INTEGER) AS {x}_pos" for x in ("page", "element", "cell", "absorbed"))
+
 ORACLES = {
+    "docx_ingest_roundtrip": _ONE_EACH,
+    "hwpx_ingest_roundtrip": _ONE_EACH,
+    "pptx_ingest_roundtrip": _ALL_IN_ONE.format("text"),
+    "xlsx_ingest_roundtrip": _ALL_IN_ONE.format("table"),
+    "p4_found": f"WITH {_J} SELECT DISTINCT record_id, {_POS.rpartition(', ')[0]} FROM ce WHERE coalesce({_jn('span_width')}, 1) * coalesce({_jn('span_height')}, 1) > 1",
+    "p4_absorbed": f"WITH {_J} SELECT record_id, {_POS}, json_extract_string(j, '$.element_id') AS element_id, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.content') AS content, {_jn('containment', 'DOUBLE')} AS containment, {_jn('y', 'DOUBLE')} AS y, {_jn('x', 'DOUBLE')} AS x FROM ab",
     "bbox_normalize": f"""WITH {_E}, b AS (SELECT e.element_uid, e.x * p.width / greatest(p.width, 1.0::DOUBLE) AS x, e.y * p.height / greatest(p.height, 1.0::DOUBLE) AS y,
           e.width * p.width / greatest(p.width, 1.0::DOUBLE) AS w, e.height * p.height / greatest(p.height, 1.0::DOUBLE) AS h FROM e JOIN p USING (doc_id, page_number))
         SELECT element_uid, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)) AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y)) AS y, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, w)) AS width, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, h)) AS height FROM b""",

@@ -6,6 +6,7 @@ of order lines, where boxes overlap far more often.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from leafstack.operators import evaluate, layout, markdown, nested, ordering, ra
 from leafstack.plans import pipeline
 from leafstack.plans import tables as frames
 from leafstack.schema import KEY, PAGE
+from leafstack.sources import reader, writer
 
 CFG = ParserConfig()
 #: Wider gaps, so that the dense layout has captions of every kind.
@@ -333,6 +335,31 @@ def wrap_runs(spark, d):
     return runs.formatted(_runs(spark, d), ["shape"])
 
 
+# ---- packages
+
+
+def packages_of(docs: DataFrame, suffix: str) -> DataFrame:
+    """(path, content): a package of each text's lines, blank ones left out."""
+
+    def run(batches):
+        write = writer.WRITERS[suffix]
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+            yield pa.record_batch([pa.array([f"{i}.{suffix}" for i in ids]), pa.array([write(x) for x in lines], pa.binary())], names=["path", "content"])
+
+    return docs.mapInArrow(run, "path string, content binary")
+
+
+def _roundtrip(suffix: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text").distinct()
+        got = reader.parse_packages(packages_of(docs, suffix)).select("doc_id", F.explode("elements").alias("e"))
+        return got.select(F.regexp_extract("doc_id", r"^(\d+)", 1).cast("long").alias("doc_id"), "e.element_type", "e.ordinal", "e.text").filter("text IS NOT NULL")
+
+    return query
+
+
 _QUERIES = (
     p4_found, bbox_normalize, containment_parent, containment_merge, table_cell_bbox, table_absorb_best_cell, table_absorb, image_annotation_absorb, noise_filter, document_order, order_choice, row_clustering,
     xy_cut_order, composite_order, reading_order, title_of, caption_score, caption_assignment, caption_verified, no_candidate_log, caption_map_last_wins, section_path, block_kinds, bbox_union,
@@ -342,7 +369,8 @@ _QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES} | {f"p4_{level}": _level(level) for level in nested.LEVELS}
+    trips = {f"{suffix}_ingest_roundtrip": _roundtrip(suffix) for suffix in writer.WRITERS}
+    return {f.__name__: f for f in _QUERIES} | trips | {f"p4_{level}": _level(level) for level in nested.LEVELS}
 
 
 def oracle_sql() -> dict[str, str]:
