@@ -41,46 +41,46 @@ def containment_parents(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     return best.select(*KEY, F.col("best.ordinal").alias("parent_ordinal"), F.col("best.ratio").alias("ratio"), "first_rank", "child_rank")
 
 
-_MERGED = "doc_id string, page_number int, ordinal int, new_text string, absorbed_by string, merged_children array<string>, absorbed_children array<struct<element_id:string,type:string,content:string>>"
+_MERGED = "array<struct<ordinal:int,new_text:string,absorbed_by:string,merged_children:array<string>,absorbed_children:array<struct<element_id:string,type:string,content:string>>>>"
 
 
-def _image_mark(element_id: str, ref) -> str:
-    return f"![{element_id}]({ref if isinstance(ref, str) and ref else 'image-not-exported'})"
+def _image_mark(element_id: str, ref: str | None) -> str:
+    return f"![{element_id}]({ref or 'image-not-exported'})"
 
 
-def _fold(page: pd.DataFrame) -> pd.DataFrame:
+def fold_page(rows: list[dict]) -> list[dict]:
     """Merge the groups of one page in order; a parent's text is what earlier groups left of it."""
-    rows = page.set_index("ordinal")
-    text = {o: (t or "").strip() if isinstance(t, str) else "" for o, t in rows["text"].items()}
-    original = dict(rows["text"].items())
-    kinds, ids, refs = rows["element_type"].to_dict(), rows["element_id"].to_dict(), rows["image_ref"].to_dict()
-    edges = page[page["parent_ordinal"].notna()].sort_values(["first_rank", "child_rank"])
-    out = {o: {"new_text": original[o] if isinstance(original[o], str) else None, "absorbed_by": None, "merged_children": None, "absorbed_children": None} for o in rows.index}
-    places = rows[["y", "x"]]
-    for parent, group in edges.groupby("parent_ordinal", sort=False):
-        parent = int(parent)
-        # Stable by (y, x); equal places keep the order in which the children were found.
-        children = sorted((int(o) for o in group["ordinal"]), key=lambda o: (places.at[o, "y"], places.at[o, "x"]))
-        if kinds[parent] not in ("text", "unknown", "group"):
+    at = {r["ordinal"]: r for r in rows}
+    text = {o: (r["text"] or "").strip() for o, r in at.items()}
+    out = {o: {"ordinal": o, "new_text": r["text"], "absorbed_by": None, "merged_children": None, "absorbed_children": None} for o, r in at.items()}
+    groups: dict[int, list[int]] = {}
+    for r in sorted((r for r in rows if r["parent_ordinal"] is not None), key=lambda r: (r["first_rank"], r["child_rank"])):
+        groups.setdefault(r["parent_ordinal"], []).append(r["ordinal"])
+    for parent, children in groups.items():
+        top = at[parent]
+        if top["element_type"] not in ("text", "unknown", "group"):
             continue
-        only_text = kinds[parent] == "text" and all(kinds[c] == "text" for c in children)
+        children.sort(key=lambda o: (at[o]["y"], at[o]["x"]))  # equal places keep the order in which they were found
+        only_text = top["element_type"] == "text" and all(at[c]["element_type"] == "text" for c in children)
         parts, items = [text[parent]] if text[parent] else [], []
         for c in children:
-            out[c]["absorbed_by"] = ids[parent]
-            if kinds[c] == "text" and text[c] and text[c] not in parts:
+            kind = at[c]["element_type"]
+            out[c]["absorbed_by"] = top["element_id"]
+            if kind == "text" and text[c] and text[c] not in parts:
                 parts.append(text[c])
-            if not only_text and (content := _image_mark(ids[c], refs[c]) if kinds[c] == "image" else text[c]):
-                items.append({"element_id": ids[c], "type": kinds[c], "content": content})
+            if not only_text and (content := _image_mark(at[c]["element_id"], at[c]["image_ref"]) if kind == "image" else text[c]):
+                items.append({"element_id": at[c]["element_id"], "type": kind, "content": content})
         if parts:
             out[parent]["new_text"] = "\n".join(parts)
             text[parent] = out[parent]["new_text"].strip()
         if only_text:
-            out[parent]["merged_children"] = [ids[c] for c in children]
+            out[parent]["merged_children"] = [at[c]["element_id"] for c in children]
         elif items:
             out[parent]["absorbed_children"] = items
-    head = page[["doc_id", "page_number"]].iloc[0]
-    done = pd.DataFrame([{"doc_id": head["doc_id"], "page_number": head["page_number"], "ordinal": o, **v} for o, v in out.items()])
-    return done[["doc_id", "page_number", "ordinal", "new_text", "absorbed_by", "merged_children", "absorbed_children"]]
+    return list(out.values())
+
+
+_FOLDED = ("ordinal", "element_id", "element_type", "x", "y", "text", "image_ref", "parent_ordinal", "first_rank", "child_rank")
 
 
 def resolve_containment(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
@@ -89,14 +89,18 @@ def resolve_containment(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
 
     A text container with text children joins the distinct texts by line feeds, children by (y, x); other text, unknown and
     group containers gather their children and join the texts among them; images and charts gather nothing. Only pages
-    that hold a contained element go through Python.
+    that hold a contained element go through Python, each as one list.
     """
+
+    @F.pandas_udf(_MERGED)
+    def fold(pages: pd.Series) -> pd.Series:
+        return pd.Series([fold_page([dict(zip(_FOLDED, r.values())) for r in page]) for page in pages], dtype=object)
+
     parents = containment_parents(elements, cfg)
-    pages = parents.select(*PAGE).distinct()
-    rows = elements.join(pages, PAGE, "left_semi").select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref")
-    rows = rows.join(parents.select(*KEY, "parent_ordinal", "first_rank", "child_rank"), KEY, "left")
-    merged = rows.groupBy(*PAGE).applyInPandas(_fold, _MERGED)
-    both = elements.join(merged.withColumn("__hit", F.lit(True)), KEY, "left")
+    rows = elements.select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref").join(parents.select(*KEY, "parent_ordinal", "first_rank", "child_rank"), KEY, "left")
+    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*_FOLDED)).alias("rows"), F.count("parent_ordinal").alias("edges")).filter("edges > 0")
+    merged = pages.select(*PAGE, F.explode(fold("rows")).alias("m")).select(*PAGE, "m.*", F.lit(True).alias("__hit"))
+    both = elements.join(merged, KEY, "left")
     return both.withColumn("text", F.when(F.col("__hit"), F.col("new_text")).otherwise(F.col("text"))).drop("new_text", "__hit")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafstack.common import written
 from leafstack.config import ParserConfig
 from leafstack.functions import geometry as geo
 from leafstack.functions import scoring
@@ -96,7 +97,7 @@ def without_candidate(ordered: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def relations(ordered: DataFrame, cfg: ParserConfig, verifier: Column | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(relations, decisions). ``rel_idx`` numbers a document's relations: by page, titles first, then captions by score."""
-    found = caption_candidates(ordered, cfg)
+    found = written(caption_candidates(ordered, cfg), "candidates")  # both results and the log of visuals without any read it
     judged = assigned(verified(rerank(found) if rerank else found, verifier))
     titles = title_relations(ordered, cfg).select(*PAGE, F.lit("title_of").alias("relation_type"), "source_ordinal", "target_ordinal", "source_element_id", "target_element_id", "confidence", F.lit(0).alias("part"), F.col("target_ord").alias("at"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("caption_text"))
     taken = judged.filter("rejected_reason IS NULL").select(*PAGE, "relation_type", F.col("text_ordinal").alias("source_ordinal"), F.col("visual_ordinal").alias("target_ordinal"), F.col("text_element_id").alias("source_element_id"), F.col("visual_element_id").alias("target_element_id"), F.col("score").alias("confidence"), F.lit(1).alias("part"), F.col("rank").alias("at"), "method", "caption_text")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafstack.common import table
+from leafstack.common import table, written
 from leafstack.config import ParserConfig
 from leafstack.functions import geometry as geo
 from leafstack.functions import runs
@@ -63,7 +63,7 @@ def containment_parent(spark, d):
 
 
 def containment_merge(spark, d):
-    out = layout.resolve_containment(_dense(spark, d), CFG)
+    out = layout.resolve_containment(written(_dense(spark, d), "dense"), CFG)
     return out.select(*KEY, "text", "absorbed_by", F.array_join("merged_children", ",").alias("merged_children"), F.to_json("absorbed_children").alias("absorbed_children"))
 
 
@@ -299,7 +299,7 @@ def golden_report(spark, d):
 
 
 def caption_baseline(spark, d):
-    dense = _stored(_dense(spark, d))
+    dense = written(_stored(_dense(spark, d)), "dense")
     return evaluate.caption_baseline(dense, *relations.relations(dense, WIDE))
 
 
