@@ -242,7 +242,13 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     raw = rows.mapInArrow(_tails, f"id {kind}, source string, chars int, bytes int, state string, sign boolean, token string, suffixes array<string>, whole string, {ends}")
     columns = raw.columns
     tails = written(raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "tails")
-    asked = tails.filter("state = 'ask'")
+    limits = written(source_limits(tails.filter("source IS NOT NULL")), "limits").filter("source IS NOT NULL")
+    by_source = limits.groupBy("source").agg(*(F.collect_set(F.when((F.col("unit") == u) & (F.lit(True) if not t else F.col("top")), F.col("length"))).alias(f"{u}_{t}") for u in ("chars", "bytes") for t in (0, 1)))
+    at = F.lit(False)
+    for u in ("chars", "bytes"):
+        at = at | F.array_contains(f"{u}_0", F.col(u)) | F.coalesce(F.exists(f"{u}_1", _within(u)), F.lit(False))
+    placed = tails.join(maybe_broadcast(by_source), "source", "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
+    asked = placed.filter("state = 'ask'")
 
     handle = spark.sparkContext.broadcast(_filter_bits(asked))
     counts = rows.filter("text <> ''").select("text").mapInArrow(_counts(handle), "word string, context long, n long, ends long")
@@ -250,9 +256,9 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     contexts = counts.filter("context IS NOT NULL").select("context", "n", "ends")
     trie = vocabulary_trie(counts.filter("word IS NOT NULL").select("word", "n"))
 
-    # Closing formulas: short last sentences that many texts have and that seldom go on.
+    # Closing formulas: short last sentences that many texts have and that seldom go on; at a limit they may be fragments.
     total = tails.agg(F.greatest(F.lit(CLOSER_LEAST), F.count(F.lit(1)) * F.lit(CLOSER_SHARE)).alias("least"))
-    closers = asked.filter("whole IS NOT NULL AND NOT sign").groupBy("whole", F.col("c5").alias("context")).agg(F.sum("copies").alias("times"))
+    closers = asked.filter("whole IS NOT NULL AND NOT sign AND NOT at_limit").groupBy("whole", F.col("c5").alias("context")).agg(F.sum("copies").alias("times"))
     closers = closers.join(contexts, "context").crossJoin(F.broadcast(total)).filter("times >= least AND ends >= 0.5 * n").select(F.col("whole").alias("suffix"))  # total is one row
     closed = asked.select("id", F.explode("suffixes").alias("suffix")).join(maybe_broadcast(closers), "suffix", "left_semi").select("id").distinct()
 
@@ -265,17 +271,9 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
         chance = (F.col(f"ends{k}") + F.lit(float(weight)) * chance) / (F.col(f"n{k}") + F.lit(float(weight)))
     per = per.select("id", chance.alias("chance"), "n1", "ends1")
 
-    limits = written(source_limits(tails.filter("source IS NOT NULL")), "limits").filter("source IS NOT NULL")
-    by_source = limits.groupBy("source").agg(*(F.collect_set(F.when((F.col("unit") == u) & (F.lit(True) if not t else F.col("top")), F.col("length"))).alias(f"{u}_{t}") for u in ("chars", "bytes") for t in (0, 1)))
-    at = F.lit(False)
-    for u in ("chars", "bytes"):
-        at = at | F.array_contains(f"{u}_0", F.col(u)) | F.coalesce(F.exists(f"{u}_1", _within(u)), F.lit(False))
-    placed = tails.join(maybe_broadcast(by_source), "source", "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
-    placed = placed.select("id", "source", "state", "sign", "token", "at_limit", (F.size("suffixes") == 0).alias("named"))
-
     # Only texts that need the corpus take part in the joins, so ends without a token don't gather in one task.
     both = (
-        placed.filter("state = 'ask'")
+        asked.select("id", "source", "sign", "token", "at_limit", (F.size("suffixes") == 0).alias("named"))
         .join(trie.withColumnRenamed("node", "token"), "token", "left")
         .join(per, "id", "left")
         .join(closed.withColumn("closed", F.lit(True)), "id", "left")
