@@ -65,9 +65,14 @@ class Bullets:
         return self.prefix(p) + text
 
 
+def _words(p) -> str:
+    """Text of a paragraph's runs and fields; tokens of formulas have the same local name and aren't text."""
+    return "".join(t.text for t in within(p, "t") if t.text and "drawingml" in t.tag)
+
+
 def bulleted(paragraphs: list) -> str:
     b = Bullets()
-    return "\n".join(x for p in paragraphs if (x := b.line(p, "".join(t.text for t in within(p, "t") if t.text))))
+    return "\n".join(x for p in paragraphs if (x := b.line(p, _words(p))))
 
 
 def _styled_runs(p) -> list[tuple[str, tuple]]:
@@ -340,7 +345,7 @@ def bulletless(node) -> str:
     """Text of a shape without prefixes, one line per paragraph."""
     if local(node) != "sp":
         return ""
-    return "\n".join("".join(t.text or "" for t in within(p, "t")) for p in within(node, "p")).strip()
+    return "\n".join(_words(p) for p in within(node, "p")).strip()
 
 
 def _plain_rows(cells: list[dict]) -> str | None:

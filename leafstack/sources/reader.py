@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from leafstack import schema
 from leafstack.common import written
@@ -108,8 +108,8 @@ class OfficeDataSource(DataSource):
     def name(cls) -> str:
         return "officedoc"
 
-    def schema(self) -> StructType:
-        return _parse_datatype_string(schema.ELEMENTS)
+    def schema(self) -> str:
+        return schema.ELEMENTS
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _OfficeReader(self.options)
