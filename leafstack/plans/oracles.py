@@ -322,6 +322,15 @@ ORACLES = {
           FROM cut WHERE e < length(t)),
         part AS (SELECT doc_id, n, CASE WHEN length(t) <= 400 THEN t ELSE trim(t[s + 1:e], (SELECT ws FROM white)) END AS part FROM cut WHERE n > 0)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS part_no, part FROM part WHERE part <> ''""",
+    "rag_chunks_elements": f"""WITH RECURSIVE {_E}, t AS (SELECT doc_id, page_number, ordinal, element_id, st AS t FROM e WHERE st <> ''),
+        cut(doc_id, page_number, ordinal, element_id, t, s, n, e) AS (
+          SELECT doc_id, page_number, ordinal, element_id, t, 0, 0, 0 FROM t UNION ALL
+          SELECT doc_id, page_number, ordinal, element_id, t, e, n + 1, CASE WHEN e + 1200 >= length(t) THEN length(t)
+            WHEN contains(t[e + 2:e + 1200], chr(10) || chr(10)) THEN e + 1200 - (instr(reverse(t[e + 2:e + 1200]), chr(10) || chr(10)) - 1) - 2 ELSE e + 1200 END
+          FROM cut WHERE e < length(t)),
+        part AS (SELECT *, CASE WHEN length(t) <= 1200 THEN t ELSE trim(t[s + 1:e], (SELECT ws FROM white)) END AS part FROM cut WHERE n > 0),
+        num AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, ordinal, n) AS INTEGER) AS chunk_idx FROM part WHERE part <> '')
+        SELECT doc_id, chunk_idx, printf('CH_%05d', chunk_idx) AS chunk_id, page_number, part AS text, element_id FROM num""",
     "debug_report_counts": f"""WITH {_BLOCKS}, b AS (SELECT doc_id, count(*) AS num_blocks FROM blk GROUP BY 1), r AS (SELECT CAST(package_id AS VARCHAR) AS doc_id, count(*) AS num_relations FROM (SELECT DISTINCT package_id, rel_idx FROM element_relations) GROUP BY 1),
         n AS (SELECT doc_id, count(*) AS num_pages FROM p GROUP BY 1) SELECT doc_id, num_pages, coalesce(num_blocks, 0) AS num_blocks, coalesce(num_relations, 0) AS num_relations FROM n LEFT JOIN b USING (doc_id) LEFT JOIN r USING (doc_id)""",
     "kendall_tau": f"WITH {_TWO} SELECT doc_id, page_number, tau FROM tau",
