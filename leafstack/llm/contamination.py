@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,22 @@ from pyspark.sql import functions as F
 
 #: Words in a window; a passage is at least this long.
 WINDOW = 12
-#: Fixed masks (1: the position counts). The first looks at all words but two, the others leave out other places, so that
-#: any one changed word, and most pairs of them, are ignored by some mask.
-MASKS = ("110111011111", "111101110101", "101011101111", "011110111110")
 #: Bits of the filter; its size doesn't depend on either side.
 BITS = 23
 
+
+
+def masks(changes: int, width: int = WINDOW) -> tuple[str, ...]:
+    """Masks (1: the position counts) of which at least one ignores all of any ``changes`` positions.
+
+    The window is cut into ``changes`` + 2 blocks and each mask looks at two of them: the changes leave two blocks whole.
+    """
+    if not 0 <= changes <= width - 2:
+        raise ValueError(f"changes must be from 0 to {width - 2}")
+    block = [j * (changes + 2) // width for j in range(width)]
+    return tuple("".join("01"[b in kept] for b in block) for kept in combinations(range(changes + 2), 2))
+
+
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,400}>|<!--.*?-->|\[/?[a-zA-Z*]{1,12}(?:=[^\[\]]{0,300})?\]", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
 _WORD = re.compile(r"[^\W_]+")
@@ -67,7 +78,7 @@ def window_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def _hits(batch: pa.RecordBatch, width: int, masks: tuple[str, ...], bitmap: np.ndarray | None) -> pa.RecordBatch:
+def _hits(batch: pa.RecordBatch, width: int, seeds: tuple[str, ...], bitmap: np.ndarray | None) -> pa.RecordBatch:
     """Windows of a batch (id, text) whose hash is in the bitmap, with their words; all windows without one."""
     from xxhash import xxh3_64_intdigest
 
@@ -86,9 +97,9 @@ def _hits(batch: pa.RecordBatch, width: int, masks: tuple[str, ...], bitmap: np.
     ends = np.array(ends, dtype=np.int64)
     first = np.r_[0, ends[:-1]]
     doc = np.repeat(np.arange(len(ends)), ends - first)
-    rows, places, seeds, values = [], [], [], []
+    rows, places, kinds, values = [], [], [], []
     inside = doc[: len(flat) - width + 1] == doc[width - 1 :] if len(flat) >= width else np.zeros(0, bool)
-    for k, mask in enumerate(masks):
+    for k, mask in enumerate(seeds):
         h = window_hashes(hashed, mask)
         ok = inside
         if bitmap is not None and len(h):
@@ -97,13 +108,13 @@ def _hits(batch: pa.RecordBatch, width: int, masks: tuple[str, ...], bitmap: np.
         at = np.flatnonzero(ok)
         rows.append(doc[at])
         places.append(at)
-        seeds.append(np.full(len(at), k, dtype=np.int32))
+        kinds.append(np.full(len(at), k, dtype=np.int32))
         values.append(h[at].view(np.int64))
-    rows, places, seeds, values = (np.concatenate(x) for x in (rows, places, seeds, values))
+    rows, places, kinds, values = (np.concatenate(x) for x in (rows, places, kinds, values))
     return pa.record_batch(
         [
             batch.column(0).take(pa.array(rows, pa.int64())),
-            pa.array(seeds, pa.int32()),
+            pa.array(kinds, pa.int32()),
             pa.array(values, pa.int64()),
             pa.array((places - first[rows]).astype(np.int32) if len(rows) else np.zeros(0, np.int32), pa.int32()),
             pa.array([" ".join(flat[p : p + width]) for p in places], pa.string()),
@@ -112,7 +123,7 @@ def _hits(batch: pa.RecordBatch, width: int, masks: tuple[str, ...], bitmap: np.
     )
 
 
-def _windows(texts: DataFrame, width: int, masks: tuple[str, ...], bitmap: np.ndarray | None) -> DataFrame:
+def _windows(texts: DataFrame, width: int, seeds: tuple[str, ...], bitmap: np.ndarray | None) -> DataFrame:
     """(id, seed, hash, pos, window) of a frame of (id, text)."""
     kind = texts.schema["id"].dataType.simpleString()
     handle = texts.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
@@ -124,7 +135,7 @@ def _windows(texts: DataFrame, width: int, masks: tuple[str, ...], bitmap: np.nd
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 4_000_000)) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(sizes)]):
                 if b > a:
-                    yield _hits(batch.slice(a, b - a), width, masks, None if handle is None else handle.value)
+                    yield _hits(batch.slice(a, b - a), width, seeds, None if handle is None else handle.value)
 
     return texts.mapInArrow(run, f"id {kind}, seed int, hash long, pos int, window string")
 
@@ -139,13 +150,13 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def window_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def window_matches(docs: DataFrame, items: DataFrame, seeds: tuple[str, ...], width: int = WINDOW) -> DataFrame:
     """Pairs of windows that share a seed hash: doc_id, item_id, doc_pos, item_pos, doc_window, item_window, distinct.
 
     ``docs`` and ``items`` are frames of (id, text).
     """
-    test = _windows(items, width, masks, None).distinct()
-    hits = _windows(docs, width, masks, _bitmap(test))
+    test = _windows(items, width, seeds, None).distinct()
+    hits = _windows(docs, width, seeds, _bitmap(test))
     d = hits.select(F.col("id").alias("doc_id"), "seed", "hash", F.col("pos").alias("doc_pos"), F.col("window").alias("doc_window"))
     i = test.select(F.col("id").alias("item_id"), "seed", "hash", F.col("pos").alias("item_pos"), F.col("window").alias("item_window"))
     return d.join(i, ["seed", "hash"]).drop("seed", "hash")
@@ -158,11 +169,11 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 def exact_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (doc_id, item_id) where the document holds at least 12 consecutive words of the item.
 
-    Each such passage holds a window of 12 equal words, which meets its copy under every mask; the windows are then
-    compared in full. Null and empty texts and items of fewer words than the window are in no pair. Rows that come twice
+    Each such passage holds a window of 12 equal words, which meets its copy under the one mask that counts all words;
+    the windows are then compared in full. Null and empty texts and items of fewer words than the window are in no pair. Rows that come twice
     count once. A passage shared by several items leaks all of them.
     """
-    found = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks=MASKS[:1])
+    found = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks(0))
     return found.filter("doc_window = item_window").select(F.col("doc_id").alias(doc_key), F.col("item_id").alias(item_key)).distinct()
 
 
@@ -170,14 +181,16 @@ def tolerant_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", i
     """Per (doc_id, item_id) the longest overlap that allows ``changes`` changed words in any 12: its place, length in
     words, and the windows that match exactly.
 
-    Windows hit under any mask are compared word by word; neighbouring windows on one diagonal form one overlap.
+    Every window of 12 words with that many changes or fewer is hit under some mask (see :func:`masks`) and is compared
+    word by word. Windows that follow each other word by word on one diagonal form one overlap, so no 12 words inside it
+    have more changes; changed words at its ends belong to it.
     """
-    pairs = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text))
+    pairs = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks(changes))
     differ = F.size(F.filter(F.zip_with(F.split("doc_window", " "), F.split("item_window", " "), lambda a, b: a != b), lambda x: x))
     near = pairs.withColumn("changed", differ).filter(F.col("changed") <= changes).drop("doc_window", "item_window").distinct()
     run = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("doc_pos")
     near = near.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
-    near = near.withColumn("new", (F.coalesce(F.col("doc_pos") - F.lag("doc_pos").over(run), F.lit(WINDOW + 1)) > WINDOW).cast("int"))
+    near = near.withColumn("new", (F.coalesce(F.col("doc_pos") - F.lag("doc_pos").over(run), F.lit(2)) > 1).cast("int"))
     near = near.withColumn("run", F.sum("new").over(run))
     runs = near.groupBy("doc_id", "item_id", "diagonal", "run").agg(
         F.min("doc_pos").alias("doc_pos"), F.min("item_pos").alias("item_pos"), (F.max("doc_pos") - F.min("doc_pos") + WINDOW).alias("overlap_words"), F.sum((F.col("changed") == 0).cast("int")).alias("exact_windows")

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -91,6 +92,50 @@ def test_leaks(spark):
     assert contamination.exact_leaks(d.limit(0), i).count() == 0 and contamination.exact_leaks(d, i.limit(0)).count() == 0
 
 
+def test_every_mask_set_covers_its_changes():
+    for changes in range(5):
+        for hit in combinations(range(12), changes):
+            assert any(all(m[j] == "0" for j in hit) for m in contamination.masks(changes)), (changes, hit)
+    assert contamination.masks(0) == ("1" * 12,)
+    with pytest.raises(ValueError):
+        contamination.masks(11)
+
+
+def test_one_and_two_changed_words_anywhere(spark):
+    item = [f"w{i}" for i in range(12)]
+    changed = [hit for n in (1, 2) for hit in combinations(range(12), n)]
+    docs = [(k, " ".join(["a", "b", "c", *("x" if j in hit else w for j, w in enumerate(item)), "d", "e", "f"])) for k, hit in enumerate(changed)]
+    docs.append((900, " ".join("x" if j in (0, 5, 9) else w for j, w in enumerate(item))))
+    got = contamination.tolerant_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.overlap_words, r.exact_windows, r.doc_pos, r.item_pos) for r in got} == {(k, 12, 0, 3, 0) for k in range(len(changed))}
+
+
+def test_overlaps_equal_a_plain_search(spark):
+    rng = random.Random(8)
+    items = {100 + k: [rng.choice("abcdefghij") + str(j % 3) for j in range(60)] for k in range(3)}
+    docs = {}
+    for k in range(30):
+        w = list(items[100 + k % 3])
+        # Words are changed at random, or at gaps of 5 and 7 along the whole passage.
+        for j in [j for j in range(60) if rng.random() < 0.18] if k < 24 else [j for a in range(k % 5, 60, 12) for j in (a, a + 5) if j < 60]:
+            w[j] = "changed"
+        docs[k] = ["q", *w, "r"]
+    want = {}
+    for d, a in docs.items():
+        for i, b in items.items():
+            best, run = 0, 0
+            for shift in range(-len(b), len(a)):
+                run = 0
+                for p in range(max(0, shift), min(len(a), len(b) + shift) - 11):
+                    near = sum(a[p + j] != b[p - shift + j] for j in range(12)) <= 2
+                    run = run + 1 if near else 0
+                    best = max(best, run + 11 if run else 0)
+            if best:
+                want[d, i] = best
+    frames = (spark.createDataFrame([(k, " ".join(w)) for k, w in side.items()], f"{key} long, text string") for side, key in ((docs, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id): r.overlap_words for r in contamination.tolerant_leaks(*frames).collect()} == want and len(want) > 20
+
+
 def test_pivotal_rounding():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 500, 400).astype(float)
