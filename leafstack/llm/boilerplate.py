@@ -1,8 +1,9 @@
 """Lines repeated across one source's documents (problem 5).
 
 First pass: every task keeps a bounded heavy-hitter summary (Misra-Gries) of the lines of each source; summaries merge by
-adding counts and errors. Second pass: exact document counts of the few candidate lines. Confirmed lines then leave the
-texts through one set of lines per source.
+adding counts and errors. Second pass: exact document counts of the few candidate lines. A source with so many lines that
+its summaries may have lost a repeated one is counted exactly instead. Confirmed lines then leave the texts through one
+set of lines per source.
 """
 
 from __future__ import annotations
@@ -56,54 +57,67 @@ class Summary:
             self.keys, self.counts = self.keys[keep], self.counts[keep] - cut
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict = {}
-
-    def out() -> pa.RecordBatch:
-        parts = [(s, m) for s, m in held.items()]
-        n = [len(m.keys) + 1 for _, m in parts]
-        return pa.record_batch(
-            {
-                "site": pa.array(np.repeat(np.array([s for s, _ in parts], dtype=object), n), pa.string()),
-                "key": pa.array(np.concatenate([np.r_[0, m.keys] for _, m in parts]), pa.int64()),
-                "count": pa.array(np.concatenate([np.r_[0, m.counts] for _, m in parts]), pa.int64()),
-                "error": pa.array(np.concatenate([np.r_[m.error, np.zeros(len(m.keys), np.int64)] for _, m in parts]), pa.int64()),
-            }
-        )
-
-    for batch in batches:
-        df = batch.to_pandas()
-        if df.empty:
-            continue
-        df = df.drop_duplicates()  # lines repeated on the pages of one document mostly sit in one batch
-        code, sites = pd.factorize(df["site"])
-        order = np.lexsort((df["key"].to_numpy(), code))
-        code, key = code[order], df["key"].to_numpy()[order]
-        new = np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])]
-        first = np.flatnonzero(new)
-        code, key, counts = code[first], key[first], np.diff(np.r_[first, len(code)])
-        ends = np.searchsorted(code, np.arange(len(sites) + 1))
-        for i, site in enumerate(sites):
-            held.setdefault(site, Summary()).add(key[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]])
-        if sum(len(m.keys) for m in held.values()) > HELD:
+def _summaries(counters: int):
+    """Summaries of each task's lines, with ``counters`` counters per site."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            parts = [(s, m) for s, m in held.items()]
+            n = [len(m.keys) + 1 for _, m in parts]
+            return pa.record_batch(
+                {
+                    "site": pa.array(np.repeat(np.array([s for s, _ in parts], dtype=object), n), pa.string()),
+                    "key": pa.array(np.concatenate([np.r_[0, m.keys] for _, m in parts]), pa.int64()),
+                    "count": pa.array(np.concatenate([np.r_[0, m.counts] for _, m in parts]), pa.int64()),
+                    "error": pa.array(np.concatenate([np.r_[m.error, np.zeros(len(m.keys), np.int64)] for _, m in parts]), pa.int64()),
+                }
+            )
+
+        for batch in batches:
+            df = batch.to_pandas()
+            if df.empty:
+                continue
+            df = df.drop_duplicates()  # lines repeated on the pages of one document mostly sit in one batch
+            code, sites = pd.factorize(df["site"])
+            order = np.lexsort((df["key"].to_numpy(), code))
+            code, key = code[order], df["key"].to_numpy()[order]
+            new = np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])]
+            first = np.flatnonzero(new)
+            code, key, counts = code[first], key[first], np.diff(np.r_[first, len(code)])
+            ends = np.searchsorted(code, np.arange(len(sites) + 1))
+            for i, site in enumerate(sites):
+                held.setdefault(site, Summary(counters)).add(key[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]])
+            if sum(len(m.keys) for m in held.values()) > HELD:
+                yield out()
+                held = {}
+        if held:
             yield out()
-            held = {}
-    if held:
-        yield out()
+
+    return run
 
 
 def heavy_candidates(lines: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(site, key) of every line that may reach its site's threshold; none that does is missing.
 
     ``lines``: site, doc, key, one row per occurrence. A summary undercounts a line by at most its error, so count plus
-    the site's whole error is an upper bound of the line's documents.
+    the site's whole error is an upper bound of the line's documents. Where that error alone reaches the threshold, a line
+    may have left every summary, so all lines of such a site are counted exactly, in one more pass over it.
     """
-    parts = lines.select("site", "doc", "key").mapInArrow(_summaries, "site string, key long, count long, error long")
-    merged = parts.groupBy("site", "key").agg(F.sum("count").alias("count"), F.sum("error").alias("error"))
+    parts = lines.select("site", "doc", "key").mapInArrow(_summaries(COUNTERS), "site string, key long, count long, error long")
+    merged = written(parts.groupBy("site", "key").agg(F.sum("count").alias("count"), F.sum("error").alias("error")), "line-summaries")
     # The rows with key 0 and count 0 carry the errors; a line whose hash is 0 shares the row and stays a candidate.
     errors = merged.filter("error > 0").groupBy("site").agg(F.sum("error").alias("site_error"))
-    bound = thresholds.join(errors, "site", "left").select("site", (F.col("least") - F.coalesce("site_error", F.lit(0))).alias("floor"))
-    return merged.join(maybe_broadcast(bound), "site").filter("key = 0 OR (count > 0 AND count >= floor)").select("site", "key")
+    bound = thresholds.join(errors, "site", "left").select("site", "least", (F.col("least") - F.coalesce("site_error", F.lit(0))).alias("floor"))
+    bound = written(bound, "line-bounds")
+    sure = merged.join(maybe_broadcast(bound.filter("floor > 0")), "site").filter("key = 0 OR count >= floor").select("site", "key")
+    unsure = bound.filter("floor <= 0").select("site", "least")
+    if unsure.isEmpty():
+        return sure
+    places = lines.join(maybe_broadcast(unsure), "site").select("site", "key", "doc", "least").distinct()
+    exact = places.groupBy("site", "key", "least").agg(F.count(F.lit(1)).alias("n")).filter("n >= least")
+    return sure.unionByName(exact.select("site", "key"))
 
 
 def element_sites(elements: DataFrame, packages: DataFrame) -> DataFrame:

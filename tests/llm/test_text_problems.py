@@ -72,6 +72,20 @@ def test_a_full_summary_still_finds_the_line(spark, monkeypatch):
     assert [(r.line, r.packages_with_line) for r in got] == [("common", 14)]
 
 
+def test_sites_with_more_lines_than_counters(spark):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # digits would all be equal
+    packages = spark.createDataFrame([(i, ("long/x", "short/x")[i >= 12]) for i in range(16)], "package_id long, source_path string")
+    long = [(i, i, "long", "\n".join([f"own {letters(i * 4000 + k)} x" for k in range(4000)] + ["Seen  often"] * (i % 3 == 0) + ["Seen twice"] * (i in (1, 2)))) for i in range(12)]
+    short = [(i, i, "short", f"only {letters(i)}\nPage {i}" + "\nTwo" * (i < 14)) for i in range(12, 16)]
+    elements = spark.createDataFrame(long + short, "element_uid long, package_id long, site_code string, text string").coalesce(1)
+    lines = {tuple(r) for r in boilerplate.repeated_lines(elements, packages).collect()}
+    assert lines == {("long", "seen often", 4, 12), ("short", "page 0", 4, 4)}
+    places = {tuple(r) for r in boilerplate.repeated_line_places(elements, packages).collect()}
+    assert places == {(i, 4001) for i in (0, 3, 6, 9)} | {(i, 2) for i in range(12, 16)}
+    removed = {r.element_uid: r.lines_removed for r in boilerplate.without_repeated_lines(elements, packages).collect()}
+    assert removed == {i: int(i >= 12 or i % 3 == 0) for i in range(16)}
+
+
 def test_words_see_through_markup():
     assert contamination.words("<b>The</b> <i>quick&nbsp;brown</i>\n> “fox” [quote=me]said[/quote] don&#39;t AT&amp;T") == ["the", "quick", "brown", "fox", "said", "don", "t", "at", "t"]
     assert contamination.words(None) == contamination.words("") == []
