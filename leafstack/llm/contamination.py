@@ -36,7 +36,7 @@ def masks(changes: int, width: int = WINDOW) -> tuple[str, ...]:
     return tuple("".join("01"[b in kept] for b in block) for kept in combinations(range(changes + 2), 2))
 
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,400}>|<!--.*?-->|\[/?[a-zA-Z*]{1,12}(?:=[^\[\]]{0,300})?\]", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->|\[/?[a-zA-Z*]{1,12}(?:=[^\[\]]*)?\]", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
 _WORD = re.compile(r"[^\W_]+")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")

@@ -91,6 +91,17 @@ def test_words_see_through_markup():
     assert contamination.words(None) == contamination.words("") == []
 
 
+def test_tags_of_any_length_part_no_passage(spark):
+    item = [f"w{i}" for i in range(12)]
+    long = "q" * 5000
+    parts = (f'<a href="http://x.example/{long} {long}">', f"[quote={long} {long}]", f"<!-- {long} -->")
+    docs = [(k, " ".join([*item[:6], tag, *item[6:]])) for k, tag in enumerate(parts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in contamination.exact_leaks(d, i).collect()) == [0, 1, 2]
+    assert sorted((r.doc_id, r.exact_windows) for r in contamination.tolerant_leaks(d, i).collect()) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     item = [f"w{i}" for i in range(30)]
