@@ -35,7 +35,7 @@ BITS = 23
 
 # Tags that stand inside a sentence.
 _INLINE = "b i u s em strong color size font span a code small big sub sup tt"
-_TAG = re.compile(r"</?([a-zA-Z]+)[^<>]{0,400}>|\[/?([a-zA-Z*]{1,12})(?:=[^\[\]]{0,300})?\]")
+_TAG = re.compile(r"</?([a-zA-Z]+)[^<>]*>|\[/?([a-zA-Z*]{1,12})(?:=[^\[\]]*)?\]")
 _ENTITY = re.compile(r"&(?:#\w{1,7}|[a-zA-Z]\w{1,30});")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*")
 _STOP = re.compile(r"[.!?…]+(?=[\s\"')\]»”]|$)|[\n|]")
@@ -96,7 +96,9 @@ def tail(text: str, author: str | None) -> dict:
     body = r[: found.start()].rstrip() if found else r
     if found and found[0] == "�":
         return none | {"state": "cut", "sign": True}
-    if (_OPEN_TAG.search(body[-400:]) and not body.endswith(("<<", "<3"))) or _OPEN_BB.search(body[-300:]):
+    # Only the last bracket can be open; what follows it may have any length.
+    tag, code = body.rfind("<"), body.rfind("[")
+    if (tag >= 0 and _OPEN_TAG.match(body, tag) and not body.endswith(("<<", "<3"))) or (code >= 0 and _OPEN_BB.match(body, code)):
         return none | {"state": "cut"}
     if (m := _OPEN_ENTITY.search(body[-12:])) and not body[: -len(m[0])].endswith(" ") and (not m[1] or m[1][0] == "#" or any(x.startswith(m[1]) for x in _NAMES)):
         return none | {"state": "cut"}
@@ -212,10 +214,18 @@ def source_limits(tails: DataFrame) -> DataFrame:
     return spread.filter((F.col("length") > 100) & (sharp | top)).select("source", "unit", "length", top.alias("top"))
 
 
-def vocabulary_trie(words: DataFrame) -> DataFrame:
-    """Nodes of the trie over (word, n): prefix, ``own`` occurrences of it as a word and ``longer`` of words beyond it."""
-    paths = words.filter(F.col("n") >= KNOWN).select("word", "n", F.explode(F.expr("sequence(1, least(length(word), 40))")).alias("k"))
-    return paths.groupBy(F.expr("substring(word, 1, k)").alias("node")).agg(
+def vocabulary_trie(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Nodes of the trie over (word, n) that occur in ``tokens`` (token): prefix, ``own`` occurrences of it as a word and
+    ``longer`` of words beyond it.
+
+    Words are cut only at lengths that some token has, so long words cost no row per letter.
+    """
+    tokens = tokens.filter("token IS NOT NULL").select(F.col("token").alias("node")).distinct()
+    lengths = tokens.agg(F.collect_set(F.length("node")).alias("lengths"))
+    known = words.filter(F.col("n") >= KNOWN).crossJoin(F.broadcast(lengths))  # lengths is one row
+    paths = known.select("word", "n", F.explode(F.filter("lengths", lambda k: k <= F.length("word"))).alias("k"))
+    paths = paths.select("word", "n", "k", F.expr("substring(word, 1, k)").alias("node")).join(maybe_broadcast(tokens), "node", "left_semi")
+    return paths.groupBy("node").agg(
         F.sum(F.when(F.length("word") == F.col("k"), F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(F.length("word") > F.col("k"), F.col("n")).otherwise(0)).alias("longer")
     )
 
@@ -254,7 +264,7 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     counts = rows.filter("text <> ''").select("text").mapInArrow(_counts(handle), "word string, context long, n long, ends long")
     counts = written(counts.groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "counts")
     contexts = counts.filter("context IS NOT NULL").select("context", "n", "ends")
-    trie = vocabulary_trie(counts.filter("word IS NOT NULL").select("word", "n"))
+    trie = vocabulary_trie(counts.filter("word IS NOT NULL").select("word", "n"), asked.select("token"))
 
     # Closing formulas: short last sentences that many texts have and that seldom go on; at a limit they may be fragments.
     total = tails.agg(F.greatest(F.lit(CLOSER_LEAST), F.count(F.lit(1)) * F.lit(CLOSER_SHARE)).alias("least"))

@@ -225,3 +225,13 @@ def test_truncation(spark):
     rates = {r.source: r for r in truncation.truncation_rates(flags).collect()}
     assert rates["limited"].share > 0.3 and rates["free"].truncated < 20
     assert truncation.truncation_flags(df.limit(0)).count() == 0
+
+
+def test_cuts_in_long_words_and_tags(spark):
+    rng, text = corpus()
+    word = "".join(rng.choice("abcdefghij") for _ in range(60))
+    rows = [(i, text(4) + f" The {word} stands near a garden.", "a") for i in range(60)]
+    rows += [(100, text(3) + f" The {word[:45]}", "a"), (101, text(3) + f' See <a href="{"x" * 900}', "a"), (102, text(3) + f' [quote="{"y " * 400}', "a"), (103, text(3) + f' <a href="{"x" * 900}">A garden.</a>', "a")]
+    flags = truncation.truncation_flags(spark.createDataFrame(rows, "doc_id long, text string, source string"), author=None)
+    got = {r.doc_id: r.reason for r in flags.collect()}
+    assert (got[100], got[101], got[102], got[103]) == ("word", "tag", "tag", None)
