@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from leafstack.common import written
 from leafstack.llm.splitting import split_oversized
 
-#: Items in a partition of the first round, partitions that meet in each later round, and later rounds.
+#: Items in a partition of the first round, partitions that meet in each later round, and later rounds at least: there are
+#: as many as it takes until all partitions of the largest pool can have met.
 PARTITION, MEET, ROUNDS = 8_192, 4, 2
 
 
@@ -103,13 +104,21 @@ def _again(round_no: int):
     return run
 
 
-def pack(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, rounds: int | None = None) -> DataFrame:
     """Containers for ``items`` (pool string, capacity int, item string unique in its pool, size int of 0..capacity).
 
     Returns all items with ``container`` (unique in its pool). Items of one pool share containers, pools never do. The
     items are cut into partitions of about ``PARTITION`` by hash, so a pool of any size spreads over many tasks.
+
+    Without ``rounds`` the partitions of every pool can all meet; it ends early when nothing is left to gain. The last
+    round packs all containers of a pool that are still open in one task, whose memory grows with them.
     """
-    counts = items.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(items.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool-sizes")
+    if rounds is None:
+        partitions = -(-(counts.agg(F.max("n")).first()[0] or 0) // PARTITION)
+        rounds = ROUNDS
+        while MEET**rounds < partitions:
+            rounds += 1
     state = items.join(counts, "pool").select(*_KEEP, F.pmod(F.xxhash64("item"), F.greatest(F.lit(1), F.ceil(F.col("n") / PARTITION))).alias("bucket"))
     state = state.select(*_KEEP, "bucket", F.lit(None).cast("string").alias("container"), F.lit(False).alias("open"))
     out = written(state.groupBy("pool", "bucket").applyInPandas(_first, _STATE), "packed-0")
@@ -117,9 +126,11 @@ def pack(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for r in range(1, rounds + 1):
         # Only open containers of partitions with a gap move on; a group of MEET partitions packs them together.
         moving = out.filter("open").withColumn("bucket", F.floor(F.col("bucket") / MEET))
+        if moving.isEmpty():
+            break
         out = written(moving.groupBy("pool", "bucket").applyInPandas(_again(r), _STATE), f"packed-{r}")
-        settled = settled.unionByName(out if r == rounds else out.filter("NOT open"))
-    return (settled if rounds else out).select(*_KEEP, "container")
+        settled = settled.unionByName(out.filter("NOT open"))
+    return settled.unionByName(out.filter("open")).select(*_KEEP, "container")
 
 
 def chunk_items(chunks: DataFrame, configs: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def chunk_items(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     return pieces.select("config_id", "package_id", "chunk_id", F.coalesce("piece_no", F.lit(1)).alias("piece_no"), F.coalesce("piece_chars", F.lit(0)).alias("size"), "capacity", F.xxhash64("text").alias("copy"))
 
 
-def pack_chunks(chunks: DataFrame, configs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pack_chunks(chunks: DataFrame, configs: DataFrame, rounds: int | None = None) -> DataFrame:
     """config_id, container, package_id, chunk_id, piece_no (from 1), size: the containers of all chunk texts."""
     items = chunk_items(chunks, configs)
     name = F.concat_ws("\x1f", "package_id", "chunk_id", "piece_no", "copy")

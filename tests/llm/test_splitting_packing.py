@@ -106,3 +106,15 @@ def test_chunks_beyond_the_capacity_are_cut(spark):
     report = packing.packing_report(got).first()
     assert report.containers == report.lower_bound == 3 and report.gap == 0
     assert [r.chunk_id for r in packing.unpackable(chunks, configs).collect()] == ["y"]
+
+
+def test_all_partitions_of_a_large_pool_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION", 8)
+    sizes = [(i * 7919) % 83 + 8 for i in range(1200)]
+    items = spark.createDataFrame([("p", 100, f"i{i}", n) for i, n in enumerate(sizes)], "pool string, capacity int, item string, size int")
+    got, two = packing.pack(items).collect(), packing.pack(items, 2).collect()
+    fill = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r["size"]
+    assert sorted(r.item for r in got) == sorted(f"i{i}" for i in range(1200)) and max(fill.values()) <= 100
+    assert len(fill) < len({r.container for r in two})
