@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text (problem 6).
 
 Spaced seeds: fixed masks over a window of words ignore selected positions, so that a window still meets its copy after
-words in ignored positions were changed. Corpus and test windows are hashed under each mask; a bitmap of the test hashes
-lets the corpus side drop nearly all of its windows where they arise, the rest is joined with the test windows and compared
-word by word.
+words in ignored positions were changed. Corpus and test windows are hashed under each mask; a bitmap of the test hashes,
+sized by their number, lets the corpus side drop nearly all of its windows where they arise. The rest is joined with the
+test windows and compared word by word.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafstack.common import maybe_broadcast, written
+
 #: Words in a window; a passage is at least this long.
 WINDOW = 12
-#: Bits of the filter; its size doesn't depend on either side.
-BITS = 23
-
+#: Bits of the filter for each test hash, and the most bits it may have (as a power of two: 16 MB). More test hashes than
+#: that allows are joined without a filter, with the same result.
+BITS_PER_HASH, MOST_BITS = 16, 27
 
 
 def masks(changes: int, width: int = WINDOW) -> tuple[str, ...]:
@@ -103,7 +105,7 @@ def _hits(batch: pa.RecordBatch, width: int, seeds: tuple[str, ...], bitmap: np.
         h = window_hashes(hashed, mask)
         ok = inside
         if bitmap is not None and len(h):
-            bit = h >> np.uint64(64 - BITS)
+            bit = h >> np.uint64(58 - (len(bitmap).bit_length() - 1))
             ok = inside & ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
         at = np.flatnonzero(ok)
         rows.append(doc[at])
@@ -140,26 +142,37 @@ def _windows(texts: DataFrame, width: int, seeds: tuple[str, ...], bitmap: np.nd
     return texts.mapInArrow(run, f"id {kind}, seed int, hash long, pos int, window string")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes. Its words are gathered where they arise; what reaches the driver is at most 2^BITS bits."""
-    place = f"shiftrightunsigned(hash, {64 - BITS})"
+def _bitmap(windows: DataFrame) -> np.ndarray | None:
+    """Bitmap of the hashes, or None where they are too many for one.
+
+    Its 64-bit words are put together where the hashes arise; what reaches the driver is at most 2^MOST_BITS bits.
+    """
+    hashes = int(windows.agg(F.approx_count_distinct("hash")).first()[0])
+    bits = max(10, (hashes * BITS_PER_HASH).bit_length())
+    if bits > MOST_BITS:
+        return None
+    place = f"shiftrightunsigned(hash, {64 - bits})"
     parts = windows.select(F.expr(f"{place} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({place} % 64 AS int))").alias("b"))
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     got = parts.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def window_matches(docs: DataFrame, items: DataFrame, seeds: tuple[str, ...], width: int = WINDOW) -> DataFrame:
-    """Pairs of windows that share a seed hash: doc_id, item_id, doc_pos, item_pos, doc_window, item_window, distinct.
+def window_matches(docs: DataFrame, items: DataFrame, seeds: tuple[str, ...], changes: int = 0, width: int = WINDOW) -> DataFrame:
+    """Pairs of windows that share a seed hash and differ in at most ``changes`` words: doc_id, item_id, doc_pos, item_pos,
+    changed, distinct.
 
-    ``docs`` and ``items`` are frames of (id, text).
+    ``docs`` and ``items`` are frames of (id, text). Test windows that are few enough are broadcast; else both sides are
+    shuffled by hash, where adaptive execution splits the document side of a hash that many documents hold.
     """
-    test = _windows(items, width, seeds, None).distinct()
+    test = written(_windows(items, width, seeds, None).distinct(), "test-windows")
     hits = _windows(docs, width, seeds, _bitmap(test))
-    d = hits.select(F.col("id").alias("doc_id"), "seed", "hash", F.col("pos").alias("doc_pos"), F.col("window").alias("doc_window"))
-    i = test.select(F.col("id").alias("item_id"), "seed", "hash", F.col("pos").alias("item_pos"), F.col("window").alias("item_window"))
-    return d.join(i, ["seed", "hash"]).drop("seed", "hash")
+    d = hits.select(F.col("id").alias("doc_id"), "seed", "hash", F.col("pos").alias("doc_pos"), F.split("window", " ").alias("a"))
+    i = test.select(F.col("id").alias("item_id"), "seed", "hash", F.col("pos").alias("item_pos"), F.split("window", " ").alias("b"))
+    both = d.join(maybe_broadcast(i), ["seed", "hash"])
+    changed = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a != b), lambda x: x))
+    return both.select("doc_id", "item_id", "doc_pos", "item_pos", changed.alias("changed")).filter(F.col("changed") <= changes).distinct()
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,35 +180,31 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def exact_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (doc_id, item_id) where the document holds at least 12 consecutive words of the item.
+    """Distinct (doc_id, item_id) where the document holds at least 12 consecutive words of the item: the overlaps of
+    :func:`tolerant_leaks` that hold a window without a change.
 
-    Each such passage holds a window of 12 equal words, which meets its copy under the one mask that counts all words;
-    the windows are then compared in full. Null and empty texts and items of fewer words than the window are in no pair. Rows that come twice
-    count once. A passage shared by several items leaks all of them.
+    Null and empty texts and items of fewer words than the window are in no pair. Rows that come twice count once. A passage
+    shared by several items leaks all of them.
     """
-    found = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks(0))
-    return found.filter("doc_window = item_window").select(F.col("doc_id").alias(doc_key), F.col("item_id").alias(item_key)).distinct()
+    return tolerant_leaks(docs, items, doc_key, item_key, text).filter("exact_windows > 0").select(doc_key, item_key)
 
 
 def tolerant_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", changes: int = 2) -> DataFrame:
-    """Per (doc_id, item_id) the longest overlap that allows ``changes`` changed words in any 12: its place, length in
-    words, and the windows that match exactly.
+    """Per (doc_id, item_id) the longest overlap that allows ``changes`` changed words in any 12: its place and length in
+    words; and ``exact_windows``, the windows of 12 words that the pair shares without a change, in any overlap.
 
     Every window of 12 words with that many changes or fewer is hit under some mask (see :func:`masks`) and is compared
     word by word. Windows that follow each other word by word on one diagonal form one overlap, so no 12 words inside it
-    have more changes; changed words at its ends belong to it.
+    have more changes; changed words at its ends belong to it. Of equal lengths the overlap with more windows without a
+    change counts, then the earlier one in the document, then in the item. Nulls and repeated rows as for :func:`exact_leaks`.
     """
-    pairs = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks(changes))
-    differ = F.size(F.filter(F.zip_with(F.split("doc_window", " "), F.split("item_window", " "), lambda a, b: a != b), lambda x: x))
-    near = pairs.withColumn("changed", differ).filter(F.col("changed") <= changes).drop("doc_window", "item_window").distinct()
+    near = window_matches(_keyed(docs, doc_key, text), _keyed(items, item_key, text), masks(changes), changes)
     run = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("doc_pos")
     near = near.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
     near = near.withColumn("new", (F.coalesce(F.col("doc_pos") - F.lag("doc_pos").over(run), F.lit(2)) > 1).cast("int"))
     near = near.withColumn("run", F.sum("new").over(run))
     runs = near.groupBy("doc_id", "item_id", "diagonal", "run").agg(
-        F.min("doc_pos").alias("doc_pos"), F.min("item_pos").alias("item_pos"), (F.max("doc_pos") - F.min("doc_pos") + WINDOW).alias("overlap_words"), F.sum((F.col("changed") == 0).cast("int")).alias("exact_windows")
-    )
-    best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap_words", "exact_windows", (-F.col("doc_pos")).alias("a"), (-F.col("item_pos")).alias("b"))).alias("m"))
-    return best.select(
-        F.col("doc_id").alias(doc_key), F.col("item_id").alias(item_key), F.col("m.overlap_words").cast("long").alias("overlap_words"), F.col("m.exact_windows").cast("long").alias("exact_windows"), (-F.col("m.a")).alias("doc_pos"), (-F.col("m.b")).alias("item_pos")
+        F.min("doc_pos").alias("doc_pos"), F.min("item_pos").alias("item_pos"), (F.max("doc_pos") - F.min("doc_pos") + WINDOW).alias("overlap_words"), F.sum((F.col("changed") == 0).cast("int")).alias("exact")
     )
+    best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap_words", "exact", (-F.col("doc_pos")).alias("a"), (-F.col("item_pos")).alias("b"))).alias("m"), F.sum("exact").alias("exact_windows"))
+    return best.select(F.col("doc_id").alias(doc_key), F.col("item_id").alias(item_key), F.col("m.overlap_words").cast("long").alias("overlap_words"), "exact_windows", (-F.col("m.a")).alias("doc_pos"), (-F.col("m.b")).alias("item_pos"))

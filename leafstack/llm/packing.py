@@ -14,12 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.common import written
+from leafstack.common import maybe_broadcast, written
 from leafstack.llm.splitting import split_oversized
 
-#: Items in a partition of the first round, partitions that meet in each later round, and later rounds at least: there are
-#: as many as it takes until all partitions of the largest pool can have met.
-PARTITION, MEET, ROUNDS = 8_192, 4, 2
+#: Items in a partition of the first round, and partitions that meet in each later round.
+PARTITION, MEET = 8_192, 4
 
 
 def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
@@ -28,18 +27,22 @@ def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = No
     A dual-feasible function maps sizes so that any set that fits still fits; the mapped total over the capacity is a bound.
     """
     sizes = np.asarray(sizes, dtype=np.int64)
-    if counts is None:
-        sizes, counts = np.unique(sizes, return_counts=True)
-    counts = np.asarray(counts, dtype=np.int64)
+    counts = np.ones(len(sizes), dtype=np.int64) if counts is None else np.asarray(counts, dtype=np.int64)
+    sizes, at = np.unique(sizes, return_inverse=True)
+    counts = np.bincount(at, weights=counts, minlength=len(sizes)).astype(np.int64)
     keep = (sizes > 0) & (counts > 0)
     sizes, counts = sizes[keep], counts[keep]
     if not len(sizes):
         return 0
     c = int(capacity)
     best = -(-int(sizes @ counts) // c)
-    for e in np.unique(np.r_[sizes[2 * sizes <= c], c + 1 - sizes[2 * sizes > c]]):  # large items fill up, small ones vanish
-        mapped = np.where(sizes > c - e, c, np.where(sizes < e, 0, sizes))
-        best = max(best, -(-int(mapped @ counts) // c))
+    # Large items fill up, small ones vanish: for each limit e the sizes of [e, c - e] count as they are and larger ones as c.
+    total, much = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(sizes * counts)]
+    e = np.unique(np.r_[sizes[2 * sizes <= c], c + 1 - sizes[2 * sizes > c]])
+    e = e[(e > 0) & (2 * e <= c)]
+    if len(e):
+        low, high = np.searchsorted(sizes, e), np.searchsorted(sizes, c - e, side="right")
+        best = max(best, int((-(-(much[high] - much[low] + c * (total[-1] - total[high])) // c)).max()))
     for k in range(1, min(c, 32)):  # sizes round to multiples of c / k
         # scaled by k: an exact multiple of c / (k + 1) keeps its size
         whole = (k + 1) * sizes % c == 0
@@ -73,33 +76,32 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 _KEEP = ["pool", "capacity", "item", "size"]
-_STATE = "pool string, capacity int, item string, size int, bucket long, container string, open boolean"
 
 
-def _first(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-    df = df.sort_values("item", kind="stable").reset_index(drop=True)
-    return _packed(df, int(df["capacity"].iloc[0]), best_fit_decreasing(df["size"].to_numpy(), int(df["capacity"].iloc[0])), f"0.{key[1]}")
-
-
-def _packed(df: pd.DataFrame, capacity: int, box: np.ndarray, name: str) -> pd.DataFrame:
-    fill = np.bincount(box, weights=df["size"])
-    gap = len(fill) > max(1, lower_bound(df["size"].to_numpy(), capacity))
-    df["container"] = [f"{name}.{b}" for b in box]
-    df["open"] = (fill[box] < capacity) if gap else False
+def _packed(df: pd.DataFrame, capacity: int, name: str) -> pd.DataFrame:
+    """``df`` packed anew, or as before where that needs no more containers; with what is certified and what moves on."""
+    sizes = df["size"].to_numpy()
+    box = best_fit_decreasing(sizes, capacity)
+    old = df["container"]
+    if old.isna().any() or box.max() + 1 < old.nunique():
+        df["container"] = [f"{name}.{b}" for b in box]
+    else:
+        box = pd.factorize(old)[0]
+    fill, items = np.bincount(box, weights=sizes), np.bincount(box)
+    gap = len(fill) > max(1, lower_bound(sizes, capacity))
+    # The emptiest containers move on, of so many items that the next group is no larger than a first partition.
+    order = np.argsort(fill, kind="stable")
+    moves = np.zeros(len(fill), dtype=bool)
+    moves[order[np.cumsum(items[order]) <= max(PARTITION // MEET, items[order[0]])]] = True
+    df["open"] = (moves & (fill < capacity))[box] if gap else False
+    df["certified"] = not gap
     return df
 
 
-def _again(round_no: int):
+def _round(number: int):
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("item", kind="stable").reset_index(drop=True)
-        capacity = int(df["capacity"].iloc[0])
-        box = best_fit_decreasing(df["size"].to_numpy(), capacity)
-        if box.max() + 1 < df["container"].nunique():
-            return _packed(df, capacity, box, f"{round_no}.{key[1]}")
-        fill = df.groupby("container")["size"].transform("sum")
-        gap = df["container"].nunique() > max(1, lower_bound(df["size"].to_numpy(), capacity))
-        df["open"] = (fill < capacity) if gap else False
-        return df
+        return _packed(df, int(df["capacity"].iloc[0]), f"{number}.{key[1]}")
 
     return run
 
@@ -107,51 +109,56 @@ def _again(round_no: int):
 def pack(items: DataFrame, rounds: int | None = None) -> DataFrame:
     """Containers for ``items`` (pool string, capacity int, item string unique in its pool, size int of 0..capacity).
 
-    Returns all items with ``container`` (unique in its pool). Items of one pool share containers, pools never do. The
-    items are cut into partitions of about ``PARTITION`` by hash, so a pool of any size spreads over many tasks.
+    Returns all items with ``container`` (unique in its pool) and ``certified``: whether the partition that packed it uses
+    no more containers than its lower bound. Items of one pool share containers, pools never do. The items are cut into
+    partitions of about ``PARTITION`` by hash, so a pool of any size spreads over many tasks.
 
-    Without ``rounds`` the partitions of every pool can all meet; it ends early when nothing is left to gain. The last
-    round packs all containers of a pool that are still open in one task, whose memory grows with them.
+    Partitions with a gap exchange documents: their emptiest containers, of up to ``PARTITION / MEET`` items, meet those of
+    ``MEET`` - 1 others and are packed again, and a new packing counts where it needs fewer containers. That goes on until
+    no partition with a gap has anything to give or all partitions of a pool have met (or for ``rounds`` rounds). No task
+    ever holds more than about ``PARTITION`` items, whatever the pool's size.
     """
     counts = written(items.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool-sizes")
     if rounds is None:
-        partitions = -(-(counts.agg(F.max("n")).first()[0] or 0) // PARTITION)
-        rounds = ROUNDS
+        partitions, rounds = -(-(counts.agg(F.max("n")).first()[0] or 0) // PARTITION), 0
         while MEET**rounds < partitions:
             rounds += 1
-    state = items.join(counts, "pool").select(*_KEEP, F.pmod(F.xxhash64("item"), F.greatest(F.lit(1), F.ceil(F.col("n") / PARTITION))).alias("bucket"))
-    state = state.select(*_KEEP, "bucket", F.lit(None).cast("string").alias("container"), F.lit(False).alias("open"))
-    out = written(state.groupBy("pool", "bucket").applyInPandas(_first, _STATE), "packed-0")
-    settled = out.filter("NOT open")
-    for r in range(1, rounds + 1):
-        # Only open containers of partitions with a gap move on; a group of MEET partitions packs them together.
-        moving = out.filter("open").withColumn("bucket", F.floor(F.col("bucket") / MEET))
-        if moving.isEmpty():
-            break
-        out = written(moving.groupBy("pool", "bucket").applyInPandas(_again(r), _STATE), f"packed-{r}")
-        settled = settled.unionByName(out.filter("NOT open"))
-    return settled.unionByName(out.filter("open")).select(*_KEEP, "container")
+    kind = items.schema["item"].dataType.simpleString()
+    schema = f"pool string, capacity int, item {kind}, size int, bucket long, container string, open boolean, certified boolean"
+    state = items.join(maybe_broadcast(counts), "pool").select(*_KEEP, F.pmod(F.xxhash64("item"), F.greatest(F.lit(1), F.ceil(F.col("n") / PARTITION))).alias("bucket"))
+    state = state.select(*_KEEP, "bucket", F.lit(None).cast("string").alias("container"))
+    settled = None
+    for r in range(rounds + 1):
+        out = written(state.groupBy("pool", "bucket").applyInPandas(_round(r), schema), f"packed-{r}")
+        done = out if r == rounds else out.filter("NOT open")
+        settled = done if settled is None else settled.unionByName(done)
+        if r < rounds:
+            state = out.filter("open").select(*_KEEP, F.floor(F.col("bucket") / MEET).alias("bucket"), "container")
+            if state.isEmpty():
+                break
+    return settled.select(*_KEEP, "container", "certified")
 
 
 def chunk_items(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """Items of rag_chunks: one per chunk, or per piece of a chunk beyond the capacity of its config.
 
-    Chunks of one config share containers. Whole copies of a chunk count once; null and empty texts are items of size 0;
-    chunks without a usable config or capacity are in no pool and give no item (see :func:`unpackable`).
+    Chunks of one config share containers. Whole copies of a chunk count once, also where keys are null; null and empty
+    texts are items of size 0; chunks without a usable config or capacity are in no pool and give no item (see
+    :func:`unpackable`).
     """
     caps = configs.groupBy("config_id").agg(F.max("chunk_max_chars").alias("capacity")).filter("capacity > 0")
-    rows = chunks.select("config_id", "package_id", "chunk_id", "text").distinct().join(caps, "config_id")
+    rows = chunks.select("config_id", "package_id", "chunk_id", "text").distinct().join(maybe_broadcast(caps), "config_id")
     pieces = split_oversized(rows, "text", "capacity")
     return pieces.select("config_id", "package_id", "chunk_id", F.coalesce("piece_no", F.lit(1)).alias("piece_no"), F.coalesce("piece_chars", F.lit(0)).alias("size"), "capacity", F.xxhash64("text").alias("copy"))
 
 
 def pack_chunks(chunks: DataFrame, configs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """config_id, container, package_id, chunk_id, piece_no (from 1), size: the containers of all chunk texts."""
+    """config_id, container, package_id, chunk_id, piece_no (from 1), size, capacity, certified: the containers of all chunk texts."""
     items = chunk_items(chunks, configs)
-    name = F.concat_ws("\x1f", "package_id", "chunk_id", "piece_no", "copy")
+    name = F.to_json(F.array(*(F.col(c).cast("string") for c in ("package_id", "chunk_id", "piece_no", "copy"))))
     packed = pack(items.select(F.col("config_id").alias("pool"), "capacity", name.alias("item"), "size"), rounds)
-    part = F.split("item", "\x1f")
-    return packed.select(F.col("pool").alias("config_id"), "container", part[0].cast("long").alias("package_id"), part[1].alias("chunk_id"), part[2].cast("int").alias("piece_no"), "size", "capacity")
+    part = F.from_json("item", "array<string>")
+    return packed.select(F.col("pool").alias("config_id"), "container", part[0].cast("long").alias("package_id"), part[1].alias("chunk_id"), part[2].cast("int").alias("piece_no"), "size", "capacity", "certified")
 
 
 def unpackable(chunks: DataFrame, configs: DataFrame) -> DataFrame:
@@ -160,9 +167,11 @@ def unpackable(chunks: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
-    """Per config: items, containers, the certified lower bound, their gap and the share of the capacity that is filled."""
+    """Per config: items, containers, the certified lower bound, their gap, the containers of partitions that stayed above
+    their own bound, and the share of the capacity that is filled."""
     sizes = packed.groupBy("config_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
-    used = packed.groupBy("config_id").agg(F.count_distinct("container").alias("containers"))
+    boxes = packed.groupBy("config_id", "container").agg(F.min("certified").alias("certified"))
+    used = boxes.groupBy("config_id").agg(F.count(F.lit(1)).alias("containers"), F.sum((~F.col("certified")).cast("long")).alias("uncertified"))
 
     def bound(df: pd.DataFrame) -> pd.DataFrame:  # at most capacity + 1 rows: one per size
         c, s, n = int(df["capacity"].iloc[0]), df["size"].to_numpy(), df["n"].to_numpy()
@@ -170,4 +179,17 @@ def packing_report(packed: DataFrame) -> DataFrame:
 
     kind = "config_id string, capacity int, items long, chars long, lower_bound long"
     out = sizes.groupBy("config_id").applyInPandas(bound, kind).join(used, "config_id")
-    return out.select("config_id", "capacity", "items", "containers", "lower_bound", (F.col("containers") - F.col("lower_bound")).alias("gap"), (F.col("chars") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+    return out.select(
+        "config_id", "capacity", "items", "containers", "lower_bound", (F.col("containers") - F.col("lower_bound")).alias("gap"), "uncertified",
+        (F.col("chars") / (F.col("containers") * F.col("capacity"))).alias("fill"),
+    )
+
+
+def packing_audit(packed: DataFrame) -> DataFrame:
+    """Per config: items, split chunks (more than one piece), characters, containers filled beyond the capacity, and whether
+    the containers are no fewer than the characters need."""
+    boxes = packed.groupBy("config_id", "capacity", "container").agg(F.sum("size").alias("fill"), F.count(F.lit(1)).alias("items"), F.sum((F.col("piece_no") == 2).cast("long")).alias("split"))
+    per = boxes.groupBy("config_id", "capacity").agg(
+        F.sum("items").alias("items"), F.sum("split").alias("split_chunks"), F.sum("fill").alias("chars"), F.sum((F.col("fill") > F.col("capacity")).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("n")
+    )
+    return per.select("config_id", "items", "split_chunks", "chars", "overfull", (F.col("n") * F.col("capacity") >= F.col("chars")).alias("enough"))

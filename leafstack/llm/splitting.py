@@ -85,11 +85,11 @@ class RangeMax:
         return key // self.base, key % self.base
 
 
-def _split_batch(codes: list[np.ndarray], limits: np.ndarray, overlaps: np.ndarray) -> list[list[tuple[int, int]]]:
+def _split_batch(codes: list[np.ndarray], limits: np.ndarray, overlaps: np.ndarray, strengths: list[np.ndarray] | None = None) -> list[list[tuple[int, int]]]:
     """Spans of texts that all exceed their limit; one table serves all of them, and each round cuts one piece from each."""
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    index = RangeMax(np.concatenate([boundary_strengths(c) for c in codes]), int(limits.max()))
+    index = RangeMax(np.concatenate(strengths or [boundary_strengths(c) for c in codes]), int(limits.max()))
     out: list[list[tuple[int, int]]] = [[] for _ in codes]
     start, live = np.zeros(len(codes), dtype=np.int64), np.arange(len(codes))
     while len(live):
@@ -113,12 +113,25 @@ def _split_batch(codes: list[np.ndarray], limits: np.ndarray, overlaps: np.ndarr
     return out
 
 
+def _lead(code: np.ndarray, start: int) -> int:
+    """Place of the last visible code point before ``start`` that is no closing mark: what a boundary there depends on."""
+    step, end = 4096, start
+    while end > 0:
+        begin = max(0, end - step)
+        seen = np.flatnonzero(~np.isin(code[begin:end], _SPACE) & ~np.isin(code[begin:end], _CLOSER))
+        if len(seen):
+            return begin + int(seen[-1])
+        step, end = 2 * step, begin
+    return 0
+
+
 def _split_long(code: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     """As ``_split_batch`` for one text beyond a stretch, indexed stretch by stretch."""
     out, start, step = [], 0, max(STRETCH, 4 * limit)
     while True:
-        part = code[start : start + step]
-        spans = _split_batch([part], np.array([limit]), np.array([overlap]))[0] if len(part) > limit else [(0, len(part))]
+        part, lead = code[start : start + step], _lead(code, start)
+        strengths = boundary_strengths(code[lead : start + step])[start - lead :]
+        spans = _split_batch([part], np.array([limit]), np.array([overlap]), [strengths])[0] if len(part) > limit else [(0, len(part))]
         if start + len(part) == len(code):
             return out + [(start + a, start + b) for a, b in spans]
         spans = spans[:-2]  # the last ones saw the end of the stretch, not of the text

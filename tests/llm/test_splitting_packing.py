@@ -112,9 +112,39 @@ def test_all_partitions_of_a_large_pool_meet(spark, monkeypatch):
     monkeypatch.setattr(packing, "PARTITION", 8)
     sizes = [(i * 7919) % 83 + 8 for i in range(1200)]
     items = spark.createDataFrame([("p", 100, f"i{i}", n) for i, n in enumerate(sizes)], "pool string, capacity int, item string, size int")
-    got, two = packing.pack(items).collect(), packing.pack(items, 2).collect()
+    got, none = packing.pack(items).collect(), packing.pack(items, 0).collect()
     fill = {}
     for r in got:
         fill[r.container] = fill.get(r.container, 0) + r["size"]
     assert sorted(r.item for r in got) == sorted(f"i{i}" for i in range(1200)) and max(fill.values()) <= 100
-    assert len(fill) < len({r.container for r in two})
+    assert len(fill) < len({r.container for r in none})
+
+
+def test_null_keys_and_extra_columns(spark):
+    rows = [("c", None, None, "aaaa bbbb", 1), ("c", 1, None, "aaaa", 1), ("c", None, "a", "aaaa", 2), ("c", 2, "s\x1ft", "x", 1), (None, 1, "q", "x", 1)]
+    chunks = spark.createDataFrame(rows, "config_id string, package_id long, chunk_id string, text string, size int")
+    configs = spark.createDataFrame([("c", 6), (None, 9)], "config_id string, chunk_max_chars int")
+    got = sorted(((r.package_id, r.chunk_id, r.piece_no, r["size"]) for r in packing.pack_chunks(chunks, configs).collect()), key=str)
+    assert got == sorted([(None, None, 1, 5), (None, None, 2, 4), (1, None, 1, 4), (None, "a", 1, 4), (2, "s\x1ft", 1, 1)], key=str)
+    audit = packing.packing_audit(packing.pack_chunks(chunks, configs)).first()
+    assert (audit["items"], audit.split_chunks, audit.chars, audit.overfull, audit.enough) == (5, 1, 18, 0, True)
+
+
+def test_bound_equals_its_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        c = int(rng.integers(3, 60))
+        sizes = rng.integers(0, c + 1, int(rng.integers(1, 40)))
+        best = 0
+        for e in range(0, c // 2 + 1):
+            best = max(best, -(-sum(c if s > c - e else 0 if s < e else int(s) for s in sizes) // c))
+        assert packing.lower_bound(sizes, c) >= best
+
+
+def test_stretches_cut_as_a_whole_text_would(monkeypatch):
+    rng = random.Random(1)
+    pieces = ["word ", "end. ", "x" * 30, "\n", "\n \n", "\n\n", ".\u201d ", "   ", "\u0301"]
+    texts = ["".join(rng.choice(pieces) for _ in range(600)) for _ in range(12)]
+    whole = [splitting.split_spans(t, 40, 7) for t in texts]
+    monkeypatch.setattr(splitting, "STRETCH", 200)
+    assert [splitting.split_spans(t, 40, 7) for t in texts] == whole

@@ -24,6 +24,26 @@ def test_looks(spark):
     assert [len(forms[i]) for i in range(len(rows) // 2)] == [1] * len(ALIKE) + [2] * len(APART)
 
 
+def test_composed_letters_of_look_alikes(spark):
+    # Cyrillic and Greek letters under Latin accents, composed and decomposed, and Hangul letters of half width.
+    pairs = [("gr\u043e\u0308ss", "gröss"), ("\u0410\u0308rger", "Ärger"), ("\u04e7l", "öl"), ("\u03bf\u0301", "ó"), ("\uffa1", "\u3131"), ("\u045et", "\u0443\u0306t"), ("\u1f40x", "o\u0313x")]
+    rows = [(i, t) for i, pair in enumerate(pairs) for t in pair]
+    got = canonical.canonicalize(spark.createDataFrame(rows, "id int, text string"), "text").collect()
+    forms = {}
+    for r in got:
+        forms.setdefault(r.id, set()).add(r.canonical)
+    assert all(len(f) == 1 for f in forms.values()), forms
+
+
+def test_alike_classes(spark):
+    rows = [(1, k, "Cost") for k in range(5)] + [(1, 9, "C\u03bfst"), (1, 8, "Ｃost"), (2, 3, "C\u03bfst"), (1, 7, "other"), (1, 6, None), (1, None, "Ｃost")]
+    df = spark.createDataFrame(rows + rows[:2], "package_id int, uid int, text string")
+    got = {(r.uid, r.class_uid, r.forms, r.links) for r in canonical.alike_classes(df, ["package_id"], "uid", "text").collect()}
+    assert got == {(k, 0, 3, 3) for k in range(5)} | {(9, 0, 3, 7), (8, 0, 3, 6), (None, 0, 3, 6)}
+    pairs = canonical.alike_pairs(df, ["package_id"], "uid", "text").collect()
+    assert len(pairs) == 5 + 5 + 1 and len({(r.uid_a, r.uid_b) for r in pairs}) == 11
+
+
 def test_alike_pairs(spark):
     rows = [(1, 1, "Cost", "x"), (1, 2, "Cοst", "x"), (1, 2, "Cοst", "x"), (1, 3, "Cost", "x"), (2, 4, "Co​st", "x"), (1, 5, None, "x"), (1, 6, " ", "x"), (1, 7, " ", "x"), (1, 8, "", "x"), (1, 9, "Ｃost", "x")]
     df = spark.createDataFrame(rows, "package_id int, uid int, text string, canonical string")
@@ -86,6 +106,17 @@ def test_sites_with_more_lines_than_counters(spark):
     assert removed == {i: int(i >= 12 or i % 3 == 0) for i in range(16)}
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 8])
+@pytest.mark.parametrize("having", [(0, 1, 2), (0, 5, 11), (9, 10, 11), (0, 1, 2, 3)])
+def test_footers_of_interleaved_sites(spark, partitions, having):
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits would all be equal
+    packages = spark.createDataFrame([(i, f"s{i % 20}/x") for i in range(240)], "package_id long, source_path string")
+    rows = [(i, i, f"s{i % 20}", "\n".join([f"own {letters(i)} {letters(k)}" for k in range(1000)] + ["The footer"] * (i // 20 in having))) for i in range(240)]
+    elements = spark.createDataFrame(rows, "element_uid long, package_id long, site_code string, text string").coalesce(1) if partitions == 1 else spark.createDataFrame(rows, "element_uid long, package_id long, site_code string, text string").repartition(partitions, "element_uid")
+    got = {(r.site, r.line, r.packages_with_line) for r in boilerplate.repeated_lines(elements, packages).collect()}
+    assert got == {(f"s{k}", "the footer", len(having)) for k in range(20)}
+
+
 def test_words_see_through_markup():
     assert contamination.words("<b>The</b> <i>quick&nbsp;brown</i>\n> “fox” [quote=me]said[/quote] don&#39;t AT&amp;T") == ["the", "quick", "brown", "fox", "said", "don", "t", "at", "t"]
     assert contamination.words(None) == contamination.words("") == []
@@ -161,6 +192,27 @@ def test_overlaps_equal_a_plain_search(spark):
     assert {(r.doc_id, r.item_id): r.overlap_words for r in contamination.tolerant_leaks(*frames).collect()} == want and len(want) > 20
 
 
+def test_leaks_without_a_filter(spark, monkeypatch):
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(40)]
+    docs = [(k, " ".join(w if rng.random() > 0.1 else "x" for w in item)) for k in range(40)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[5:30]))], "item_id long, text string")
+    want = sorted(map(tuple, contamination.tolerant_leaks(d, i).collect()))
+    monkeypatch.setattr(contamination, "MOST_BITS", 5)
+    assert sorted(map(tuple, contamination.tolerant_leaks(d, i).collect())) == want and len(want) > 30
+
+
+@pytest.mark.parametrize("words,rate", [(12, 0.1), (12, 0.2), (16, 0.15), (24, 0.2)])
+def test_recall_of_substituted_passages(spark, words, rate):
+    rng = random.Random(words)
+    item = [f"w{i}" for i in range(words)]
+    hit = [[rng.random() < rate for _ in item] for _ in range(400)]
+    want = {k for k, h in enumerate(hit) if any(sum(h[a : a + 12]) <= 2 for a in range(words - 11))}
+    docs = [(k, " ".join(["a", *("x" if c else w for c, w in zip(h, item)), "b"])) for k, h in enumerate(hit)]
+    got = contamination.tolerant_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_pivotal_rounding():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 500, 400).astype(float)
