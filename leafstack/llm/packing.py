@@ -186,10 +186,10 @@ def packing_report(packed: DataFrame) -> DataFrame:
 
 
 def packing_audit(packed: DataFrame) -> DataFrame:
-    """Per config: items, split chunks (more than one piece), characters, containers filled beyond the capacity, and whether
-    the containers are no fewer than the characters need."""
-    boxes = packed.groupBy("config_id", "capacity", "container").agg(F.sum("size").alias("fill"), F.count(F.lit(1)).alias("items"), F.sum((F.col("piece_no") == 2).cast("long")).alias("split"))
+    """Per config: chunks, split ones (of more than one piece), characters, containers filled beyond the capacity, and
+    whether the containers are no fewer than the characters need."""
+    boxes = packed.groupBy("config_id", "capacity", "container").agg(F.sum("size").alias("fill"), F.sum((F.col("piece_no") == 1).cast("long")).alias("chunks"), F.sum((F.col("piece_no") == 2).cast("long")).alias("split"))
     per = boxes.groupBy("config_id", "capacity").agg(
-        F.sum("items").alias("items"), F.sum("split").alias("split_chunks"), F.sum("fill").alias("chars"), F.sum((F.col("fill") > F.col("capacity")).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("n")
+        F.sum("chunks").alias("chunks"), F.sum("split").alias("split_chunks"), F.sum("fill").alias("chars"), F.sum((F.col("fill") > F.col("capacity")).cast("long")).alias("overfull"), F.count(F.lit(1)).alias("n")
     )
-    return per.select("config_id", "items", "split_chunks", "chars", "overfull", (F.col("n") * F.col("capacity") >= F.col("chars")).alias("enough"))
+    return per.select("config_id", "chunks", "split_chunks", "chars", "overfull", (F.col("n") * F.col("capacity") >= F.col("chars")).alias("enough"))

@@ -1,15 +1,14 @@
 """Text cut off by field limits (problem 8).
 
-A vocabulary trie of the corpus tells whether the last token of a text is an unknown proper prefix of known words. Where the
-last token is a whole word, statistics over all sentences tell how often a sentence ends at such a place. Both are weighed
-with length evidence: a source whose lengths pile up at one value, in code points or in bytes, has a limit there.
+A vocabulary trie of the corpus tells whether the last token of a text is an unknown proper prefix of known words. Length
+evidence joins it: a source whose lengths pile up at one value, in code points or in bytes, has a limit there. Where the
+last token is a whole word the trie can't tell, so statistics over all sentences say how often one ends at such a place.
 """
 
 from __future__ import annotations
 
 import html.entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +30,28 @@ NEVER, OFTEN = 0.01, 30
 PILE, TIMES, SPREAD = 6, 6.0, 8
 #: A closing formula (greeting, "edit: solved") is at most so many words and ends so large a share of texts.
 CLOSER_WORDS, CLOSER_SHARE, CLOSER_LEAST = 4, 0.001, 5
-BITS = 23
+#: Lengths that a pile is compared with lie so far around it: the widest that is no more than half of its length.
+REACHES = (12, 25, 50, 100)
+#: Bits of the filter for each context that a text ends with, and the most bits it may have (as a power of two: 8 MB). More
+#: contexts than that allows are counted without a filter, with the same result.
+BITS_PER_CONTEXT, MOST_BITS = 16, 26
+#: Characters that are counted at once, and words a task remembers.
+SLICE, REMEMBERED = 2_000_000, 1_000_000
 
 # Tags that stand inside a sentence.
 _INLINE = "b i u s em strong color size font span a code small big sub sup tt"
 _TAG = re.compile(r"</?([a-zA-Z]+)[^<>]*>|\[/?([a-zA-Z*]{1,12})(?:=[^\[\]]*)?\]")
 _ENTITY = re.compile(r"&(?:#\w{1,7}|[a-zA-Z]\w{1,30});")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*")
-_STOP = re.compile(r"[.!?…]+(?=[\s\"')\]»”]|$)|[\n|]")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_STOPS, _WORDS = r"[.!?…]+(?=[\s\"')\]»”]|$)|[\n|]", r"[^\W_]+(?:['’][^\W_]+)*"
+_STOP, _WORD, _TOKEN = (re.compile(x) for x in (_STOPS, _WORDS, f"{_WORDS}|{_STOPS}"))
 _SIGN = re.compile(r"(?:\.\.\.|…|�)$")
 _OPEN_TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*)?$")
 _OPEN_BB = re.compile(r"\[/?[a-zA-Z]*(?:=[^\[\]]*)?$")
 _OPEN_ENTITY = re.compile(r"&(#\w{0,7}|[a-z]{0,8})$")
 _ENDED = re.compile(r"[.!?][\"'’”)»\]*_~]*$")
-_SMILEY = re.compile(r"(?:[:;=8][-o^']?[()\[\]DPp/|]|\s:\w+:|<3|\^\^|xD)$")
+_SMILEY = re.compile(r"(?:[:;=8][-o^']?[()\[\]DPp/|]|^:\w+:|<3|\^\^|xD)$")
+_ENDS_IN_LINK = re.compile(f"(?:{_LINK.pattern})$")
 _SIGNATURE = re.compile(r"(?:^|\n)(?:--|_{3,}|={3,})[ \t]*\n[ \t]*(\S+)[ \t]*$|(?:^|\s)[-–—~]{1,2}[ \t]*(\S+)$")
 _NAMES = sorted(n.rstrip(";") for n in html.entities.html5 if n.islower())
 
@@ -60,29 +66,65 @@ def _plain(text: str) -> str:
     return _ENTITY.sub(" ", text) if "&" in text else text
 
 
-def _sentences(plain: str) -> list[list[str]]:
-    """Words of each sentence or line, lower-cased, numbers as 0; those without words are left out."""
+#: Weight, in observations, of the estimate from the context before.
+_WEIGHTS = (4, 2, 2, 4, 1)
+#: Words of which each context consists, of a sentence that ends with "c b a" and begins with "first second"; the last two
+#: contexts also know its length.
+_CONTEXTS = (("a",), ("b", "a"), ("c", "b", "a"), ("first", "n"), ("first", "second", "n"))
+
+
+def _contexts(parts: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Hashes of what is known of an end: from the plain last word to the way the sentence opens and its length."""
     out = []
-    for part in _STOP.split(plain):
-        if w := ["0" if x.isdigit() else x for x in _WORD.findall(part.lower())]:
-            out.append(w)
+    for k, names in enumerate(_CONTEXTS, 1):
+        h = np.full(len(parts["a"]), k * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
+        for name in names:
+            h = (h ^ parts[name]) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        out.append(h ^ (h >> np.uint64(29)))
     return out
 
 
-def _contexts(w: list[str], i: int) -> tuple:
-    """What is known of the end after ``i`` words: from the plain last word to the way the sentence opens and its length."""
-    a, b, c, n = w[i - 1], w[i - 2] if i > 1 else "", w[i - 3] if i > 2 else "", min(i, 40)
-    return ("1", a), ("2", b, a), ("3", c, b), ("4", w[0], n), ("5", w[0], w[1] if i > 1 else "", n)
+class Vocabulary:
+    """Numbers for words, from 1, and their hashes; 0 is the end of a sentence, and numbers are one word."""
 
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.words, self.hashes = [""], [0]
 
-#: Weight, in observations, of the estimate from the context before.
-_WEIGHTS = (4, 2, 2, 4, 1)
+    def add(self, token: str) -> int:
+        from xxhash import xxh3_64_intdigest
 
+        if not token[0].isalnum():
+            k = 0
+        elif token.isdigit() and token != "0":
+            k = self.ids.get("0") or self.add("0")
+        else:
+            k = len(self.words)
+            self.words.append(token)
+            self.hashes.append(xxh3_64_intdigest(token) | 1)  # never the hash of no word
+        self.ids[token] = k
+        return k
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        get, add = self.ids.get, self.add
+        return np.array([k if (k := get(t)) is not None else add(t) for t in tokens], dtype=np.int64)
 
-def _digest(context: tuple) -> int:
-    from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest("\x1f".join(map(str, context)))
+def _ends(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """For every word of the sentences in ``ids``: its place, what is known if the sentence ended there, and whether it does."""
+    stop = ids == 0
+    at = np.flatnonzero(~stop)
+    place = np.arange(len(ids))
+    i = (place - np.maximum.accumulate(np.where(stop, place, -1)))[at]  # words of the sentence so far
+    h = hashes[ids]
+    none = np.uint64(0)
+    parts = {
+        "a": h[at], "b": np.where(i > 1, h[at - 1], none), "c": np.where(i > 2, h[at - 2], none), "first": h[at - i + 1],
+        "second": np.where(i > 1, h[np.minimum(at - i + 2, len(ids) - 1)], none), "n": np.minimum(i, 40).astype(np.uint64),
+    }
+    return at, parts, stop[np.minimum(at + 1, len(ids) - 1)]
 
 
 def tail(text: str, author: str | None) -> dict:
@@ -91,7 +133,7 @@ def tail(text: str, author: str | None) -> dict:
     state: "cut" inside a tag, entity or character; "done" where it ends properly; "ask" where the corpus has to tell.
     """
     r = text.rstrip()
-    none = {"state": "done", "sign": False, "token": None, "suffixes": [], "whole": None, "contexts": [0] * 5}
+    none = {"state": "done", "sign": False, "token": None, "suffixes": [], "whole": None, "words": None}
     found = _SIGN.search(r)
     body = r[: found.start()].rstrip() if found else r
     if found and found[0] == "�":
@@ -100,12 +142,16 @@ def tail(text: str, author: str | None) -> dict:
     tag, code = body.rfind("<"), body.rfind("[")
     if (tag >= 0 and _OPEN_TAG.match(body, tag) and not body.endswith(("<<", "<3"))) or (code >= 0 and _OPEN_BB.match(body, code)):
         return none | {"state": "cut"}
-    if (m := _OPEN_ENTITY.search(body[-12:])) and not body[: -len(m[0])].endswith(" ") and (not m[1] or m[1][0] == "#" or any(x.startswith(m[1]) for x in _NAMES)):
+    if (sign := body.rfind("&")) >= 0 and (m := _OPEN_ENTITY.match(body, sign)) and not body[:sign].endswith(" ") and (not m[1] or m[1][0] == "#" or any(x.startswith(m[1]) for x in _NAMES)):
         return none | {"state": "cut"}
     plain = _plain(body).rstrip()
-    if not plain or (not found and _ENDED.search(plain)) or _SMILEY.search(body[-40:]) or re.search(_LINK.pattern + "$", body[-200:]):
+    if not plain:
         return none
-    if m := _SIGNATURE.search(plain[-120:]):
+    token = body.split()[-1] if len(body) < 400 else body[max(body.rfind(c) for c in " \n\t\r\x0b\x0c\u00a0") + 1 :]
+    if (not found and _ENDED.search(plain[-400:] if plain[-400:-399].isalnum() else plain)) or _SMILEY.search(token) or _ENDS_IN_LINK.search(token):
+        return none
+    # A signature is in the last two lines.
+    if m := _SIGNATURE.search(plain, plain.rfind("\n", 0, max(plain.rfind("\n"), 0)) + 1):
         name = (m[1] or m[2]).lower()
         # A name signs the post, unless the author's own name goes on.
         if not (author and author.lower() != name and author.lower().startswith(name)):
@@ -122,96 +168,126 @@ def tail(text: str, author: str | None) -> dict:
         "token": w[-1],
         "suffixes": [" ".join(w[-k:]) for k in range(1, min(len(w), CLOSER_WORDS) + 1)],
         "whole": " ".join(w) if len(w) <= CLOSER_WORDS else None,
-        "contexts": [_digest(c) for c in _contexts(w, len(w))],
+        "words": w,
     }
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_64_intdigest
+
     for batch in batches:
         ids, sources, texts, authors = (batch.column(i).to_pylist() for i in range(4))
         rows = [tail(t, a) for t, a in zip(texts, authors)]
-        ctx = [[_signed(h) for h in r["contexts"]] for r in rows]
+        encoded = [t.encode("utf-8", "replace") for t in texts]
+        words = Vocabulary()
+        asked = [k for k, r in enumerate(rows) if r["words"]]
+        flat = words.numbers([t for k in asked for t in (*rows[k]["words"], "\n")])
+        _, parts, last = _ends(flat, np.array(words.hashes, dtype=np.uint64))
+        ctx = np.zeros((5, len(rows)), dtype=np.int64)  # 0 where the corpus isn't asked
+        ctx[:, asked] = [h[last].view(np.int64) for h in _contexts(parts)]
         yield pa.record_batch(
             [
                 batch.column(0),
                 pa.array(sources, pa.string()),
                 pa.array([len(t) for t in texts], pa.int32()),
-                pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int32()),
+                pa.array([len(x) for x in encoded], pa.int32()),
+                pa.array(np.array([xxh3_64_intdigest(x) for x in encoded], dtype=np.uint64).view(np.int64)),
                 pa.array([r["state"] for r in rows], pa.string()),
                 pa.array([r["sign"] for r in rows], pa.bool_()),
                 pa.array([r["token"] for r in rows], pa.string()),
                 pa.array([r["suffixes"] for r in rows], pa.list_(pa.string())),
                 pa.array([r["whole"] for r in rows], pa.string()),
-                *(pa.array([c[k] for c in ctx], pa.int64()) for k in range(5)),
+                *(pa.array(c) for c in ctx),
             ],
-            names=["id", "source", "chars", "bytes", "state", "sign", "token", "suffixes", "whole", *(f"c{k}" for k in range(1, 6))],
+            names=["id", "source", "chars", "bytes", "digest", "state", "sign", "token", "suffixes", "whole", *(f"c{k}" for k in range(1, 6))],
         )
 
 
 def _counts(handle):
-    """Occurrences of words and contexts in a batch; only contexts that some text ends with are counted."""
+    """Occurrences of words and contexts; only contexts that some text may end with by the filter are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, digests = handle.value, {}
+        bitmap, words = None if handle is None else handle.value, Vocabulary()
         for batch in batches:
-            seen, ends, known = Counter(), Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                sentences = _sentences(_plain(text.rstrip()))
-                for j, w in enumerate(sentences):
-                    known.update(w if j + 1 < len(sentences) else w[:-1])
-                    for i in range(1, len(w) + 1):
-                        for c in _contexts(w, i):
-                            h = digests.get(c)
-                            if h is None:
-                                h = _digest(c)
-                                bit = h >> (64 - BITS)
-                                h = _signed(h) if bitmap[bit >> 3] >> (bit & 7) & 1 else 0
-                                if len(digests) < 2_000_000:
-                                    digests[c] = h
-                            if h:
-                                seen[h] += 1
-                                if i == len(w):
-                                    ends[h] += 1
-            n = len(seen)
-            yield pa.record_batch(
-                [
-                    pa.array([None] * n + list(known), pa.string()),
-                    pa.array(list(seen) + [None] * len(known), pa.int64()),
-                    pa.array(list(seen.values()) + list(known.values()), pa.int64()),
-                    pa.array([ends.get(h, 0) for h in seen] + [0] * len(known), pa.int64()),
-                ],
-                names=["word", "context", "n", "ends"],
-            )
+            texts = batch.column(0).to_pylist()
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SLICE)) + 1
+            for first, end in zip(np.r_[0, cuts], np.r_[cuts, len(texts)]):
+                yield _counted(texts[first:end], words, bitmap)
+                if len(words.words) > REMEMBERED:
+                    words = Vocabulary()
 
     return run
 
 
-def _filter_bits(tails: DataFrame) -> np.ndarray:
-    """Bitmap of the contexts of all tails: 2^BITS bits, whatever the size of the corpus."""
-    places = tails.select(F.explode(F.array(*(f"c{k}" for k in range(1, 6)))).alias("h")).select(F.expr(f"shiftrightunsigned(h, {64 - BITS})").alias("b"))
-    words = places.groupBy(F.expr("b div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 AS int))")).alias("v")).toPandas()
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint8)
+def _counted(texts: list[str], words: Vocabulary, bitmap: np.ndarray | None) -> pa.RecordBatch:
+    tokens, closing = [], []
+    for text in texts:
+        tokens += _TOKEN.findall(_plain(text.rstrip()).lower())
+        tokens.append("\n")
+        closing.append(len(tokens))
+    ids = words.numbers(tokens)
+    at, parts, ended = _ends(ids, np.array(words.hashes, dtype=np.uint64))
+    # A text's last word may be a fragment and makes no word known.
+    n = np.bincount(ids[at], minlength=len(words.words))
+    if len(at):
+        before = np.searchsorted(at, closing) - 1
+        last = at[before[(before >= 0) & (at[before] >= np.r_[0, closing[:-1]])]]
+        n -= np.bincount(ids[last], minlength=len(words.words))
+    seen, n_seen, n_ends = [], [], []
+    for h in _contexts(parts):
+        held = ended
+        if bitmap is not None:
+            bit = h >> np.uint64(58 - (len(bitmap).bit_length() - 1))
+            asked = ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+            h, held = h[asked], ended[asked]
+        values, where = np.unique(h, return_inverse=True)
+        seen.append(values.view(np.int64))
+        n_seen.append(np.bincount(where, minlength=len(values)))
+        n_ends.append(np.bincount(where, weights=held, minlength=len(values)).astype(np.int64))
+    known = np.flatnonzero(n)
+    seen, n_seen, n_ends = (np.concatenate(x) for x in (seen, n_seen, n_ends))
+    return pa.record_batch(
+        [
+            pa.concat_arrays([pa.nulls(len(seen), pa.string()), pa.array([words.words[k] for k in known], pa.string())]),
+            pa.concat_arrays([pa.array(seen, pa.int64()), pa.nulls(len(known), pa.int64())]),
+            pa.array(np.r_[n_seen, n[known]], pa.int64()),
+            pa.array(np.r_[n_ends, np.zeros(len(known), np.int64)], pa.int64()),
+        ],
+        names=["word", "context", "n", "ends"],
+    )
+
+
+def _filter_bits(tails: DataFrame) -> np.ndarray | None:
+    """Bitmap of the contexts that texts end with, sized by their number; None where they are too many for one.
+
+    What reaches the driver is at most 2^MOST_BITS bits, put together where the contexts arise.
+    """
+    hashes = tails.select(F.explode(F.array(*(f"c{k}" for k in range(1, 6)))).alias("h"))
+    bits = max(10, (int(hashes.agg(F.approx_count_distinct("h")).first()[0]) * BITS_PER_CONTEXT).bit_length())
+    if bits > MOST_BITS:
+        return None
+    place = f"shiftrightunsigned(h, {64 - bits})"
+    parts = hashes.groupBy(F.expr(f"{place} div 64").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 AS int))")).alias("v")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[parts["w"].to_numpy(np.int64)] = parts["v"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def source_limits(tails: DataFrame) -> DataFrame:
     """(source, unit, length, top): lengths where a source's texts pile up; ``top`` where nothing longer exists and the pile
-    spreads over a few lengths below."""
-    lengths = tails.select("source", F.expr("stack(2, 'chars', chars, 'bytes', bytes) AS (unit, length)")).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
+    spreads over a few lengths below. Copies of one text count once, so a text posted often makes no pile. Lengths of less than
+    twice the least reach have no room for a comparison."""
+    texts = tails.select("source", "chars", "bytes", "digest").distinct()
+    lengths = texts.select("source", F.expr("stack(2, 'chars', chars, 'bytes', bytes) AS (unit, length)")).groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source", "unit").orderBy("length")
-    around = F.coalesce(F.sum("n").over(w.rangeBetween(-100, -1)), F.lit(0)), F.coalesce(F.sum("n").over(w.rangeBetween(1, 100)), F.lit(0))
-    spread = lengths.select(
-        "source", "unit", "length", "n", F.greatest(*around).alias("around"), around[1].alias("above"), F.sum("n").over(w.rangeBetween(1 - SPREAD, 0)).alias("near"),
-        F.coalesce(F.sum("n").over(w.rangeBetween(-100 - SPREAD, -SPREAD)), F.lit(0)).alias("below"), F.max("length").over(Window.partitionBy("source", "unit")).alias("longest"),
-    )
-    sharp = (F.col("n") >= PILE) & (F.col("n") >= TIMES * (F.col("around") / 100 + 0.5))
-    top = (F.col("length") == F.col("longest")) & (F.col("near") >= PILE) & (F.col("near") >= TIMES * (F.col("below") * SPREAD / 100 + 0.5))
-    return spread.filter((F.col("length") > 100) & (sharp | top)).select("source", "unit", "length", top.alias("top"))
+    sums = lambda a, b: F.coalesce(F.sum("n").over(w.rangeBetween(a, b)), F.lit(0))
+    # Texts per length around and below a length, over the widest reach that it allows.
+    around = F.coalesce(*(F.when(F.col("length") >= 2 * r, F.greatest(sums(-r, -1), sums(1, r)) / r) for r in reversed(REACHES)))
+    below = F.coalesce(*(F.when(F.col("length") >= 2 * r, sums(-r - SPREAD, -SPREAD) / r) for r in reversed(REACHES)))
+    spread = lengths.select("source", "unit", "length", "n", around.alias("around"), below.alias("below"), F.sum("n").over(w.rangeBetween(1 - SPREAD, 0)).alias("near"), F.max("length").over(Window.partitionBy("source", "unit")).alias("longest"))
+    sharp = (F.col("n") >= PILE) & (F.col("n") >= TIMES * (F.col("around") + 0.5))
+    top = (F.col("length") == F.col("longest")) & (F.col("near") >= PILE) & (F.col("near") >= TIMES * (F.col("below") * SPREAD + 0.5))
+    return spread.filter(F.col("around").isNotNull() & (sharp | top)).select("source", "unit", "length", top.alias("top"))
 
 
 def vocabulary_trie(words: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -249,7 +325,7 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     rows = docs.select(F.col(doc_key).alias("id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), name.alias("author"))
     kind = rows.schema["id"].dataType.simpleString()
     ends = ", ".join(f"c{k} long" for k in range(1, 6))
-    raw = rows.mapInArrow(_tails, f"id {kind}, source string, chars int, bytes int, state string, sign boolean, token string, suffixes array<string>, whole string, {ends}")
+    raw = rows.mapInArrow(_tails, f"id {kind}, source string, chars int, bytes int, digest long, state string, sign boolean, token string, suffixes array<string>, whole string, {ends}")
     columns = raw.columns
     tails = written(raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "tails")
     limits = written(source_limits(tails.filter("source IS NOT NULL")), "limits").filter("source IS NOT NULL")
@@ -260,7 +336,8 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     placed = tails.join(maybe_broadcast(by_source), "source", "left").withColumn("at_limit", F.coalesce(at, F.lit(False)))
     asked = placed.filter("state = 'ask'")
 
-    handle = spark.sparkContext.broadcast(_filter_bits(asked))
+    bits = _filter_bits(asked)
+    handle = None if bits is None else spark.sparkContext.broadcast(bits)
     counts = rows.filter("text <> ''").select("text").mapInArrow(_counts(handle), "word string, context long, n long, ends long")
     counts = written(counts.groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "counts")
     contexts = counts.filter("context IS NOT NULL").select("context", "n", "ends")
