@@ -19,7 +19,7 @@ _E = f"""{_WHITE},
 e AS MATERIALIZED (
   SELECT element_uid, CAST(package_id AS VARCHAR) AS doc_id, page_number, ordinal, element_id, element_type, z_order, bbox.x AS x, bbox.y AS y, bbox.width AS width, bbox.height AS height,
     text, {_strip('text')} AS st, metadata['layout'] AS layout, coalesce(metadata['is_placeholder'] = 'true', false) AS is_placeholder, coalesce(metadata['is_heading'] = 'true', false) AS is_heading,
-    CAST(metadata['heading_level'] AS INTEGER) AS heading_level, coalesce(metadata['is_list_item'] = 'true', false) AS is_list_item, metadata['source_format'] AS source_format,
+    CAST(metadata['placeholder_idx'] AS INTEGER) AS placeholder_idx, CAST(metadata['heading_level'] AS INTEGER) AS heading_level, coalesce(metadata['is_list_item'] = 'true', false) AS is_list_item, metadata['source_format'] AS source_format,
     json_extract_string(metadata['image'], '$.filename') AS image_ref
   FROM (SELECT *, row_number() OVER (PARTITION BY element_uid ORDER BY ingested_at DESC) AS r FROM document_elements) WHERE r = 1),
 p AS (
@@ -30,7 +30,7 @@ _L = f"""{_WHITE},
 e AS MATERIALIZED (
   SELECT CAST(pg AS VARCHAR) AS doc_id, 1 AS page_number, ordinal, printf('E_001_%04d', ordinal + 1) AS element_id,
     CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'unknown' ELSE 'text' END AS element_type, ordinal + 1 AS z_order,
-    (l_partkey % 80) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 100 AS width, 0.02::DOUBLE + (l_partkey % 7) / 50 AS height, CASE WHEN k >= 2 THEN p_name END AS text, {_strip('CASE WHEN k >= 2 THEN p_name END')} AS st
+    (l_partkey % 80) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 100 AS width, 0.02::DOUBLE + (l_partkey % 7) / 50 AS height, CASE WHEN l_suppkey % 11 = 0 THEN CAST(l_partkey % 3 AS INTEGER) END AS placeholder_idx, CASE WHEN k >= 2 THEN p_name END AS text, {_strip('CASE WHEN k >= 2 THEN p_name END')} AS st
   FROM (SELECT *, l_orderkey // 4 AS pg, l_partkey % 5 AS k, CAST(row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS ordinal
         FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey),
 area AS MATERIALIZED (SELECT *, greatest(0.0::DOUBLE, width) * greatest(0.0::DOUBLE, height) AS area FROM e)"""
@@ -76,6 +76,64 @@ SELECT a.doc_id, a.page_number, a.ordinal, b.ordinal AS image_ordinal, {_ratio('
 WHERE a.element_type IN ('text', 'unknown') AND length(a.st) BETWEEN 1 AND 60 AND {_ratio('a', 'b')} >= 0.5::DOUBLE
 QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.page_number, a.ordinal ORDER BY b.rank) = 1"""
 
+def _cuts(source: str, rows: str, least: str = "0.006::DOUBLE") -> str:
+    """Recursive cuts of the elements in ``rows``: each step cuts every open node at its widest gap, down first."""
+    node = "PARTITION BY doc_id, page_number, path"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""{source},
+cut(doc_id, page_number, ordinal, x, y, width, height, path) AS (
+  SELECT doc_id, page_number, ordinal, x, y, width, height, '0' FROM {rows}
+  UNION ALL
+  SELECT doc_id, page_number, ordinal, x, y, width, height, path || CASE WHEN hg > 0 AND hg >= {least} THEN CASE WHEN hr < hs THEN '.h0' ELSE '.h1' END ELSE CASE WHEN vr < vs THEN '.v0' ELSE '.v1' END END
+  FROM (SELECT *, min(CASE WHEN hgap = hg THEN hr END) OVER ({node}) AS hs, min(CASE WHEN vgap = vg THEN vr END) OVER ({node}) AS vs
+    FROM (SELECT *, max(hgap) OVER ({node}) AS hg, max(vgap) OVER ({node}) AS vg
+      FROM (SELECT *, row_number() OVER ({node} ORDER BY y, ordinal) AS hr, row_number() OVER ({node} ORDER BY x, ordinal) AS vr,
+          y - max(y + height) OVER ({node} ORDER BY y, ordinal {before}) AS hgap, x - max(x + width) OVER ({node} ORDER BY x, ordinal {before}) AS vgap FROM cut)))
+  WHERE (hg > 0 AND hg >= {least}) OR (vg > 0 AND vg >= {least})),
+leaf AS MATERIALIZED (SELECT doc_id, page_number, ordinal, arg_max(path, length(path)) AS spatial_group FROM cut GROUP BY 1, 2, 3)"""
+
+
+_XY = _cuts(_L, "e") + """,
+xy AS MATERIALIZED (SELECT doc_id, page_number, ordinal, spatial_group, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY spatial_group, y, x, z_order, ordinal) AS INTEGER) AS read_ord FROM e JOIN leaf USING (doc_id, page_number, ordinal))"""
+
+#: Placeholders by index, the others by their leaves.
+_COMPOSITE = """
+placed AS MATERIALIZED (
+  SELECT e.*, CASE WHEN placeholder_idx IS NULL THEN leaf.spatial_group ELSE 'ph' END AS spatial_group, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY placeholder_idx NULLS LAST,
+    CASE WHEN placeholder_idx IS NULL THEN leaf.spatial_group END, CASE WHEN placeholder_idx IS NULL THEN y END, CASE WHEN placeholder_idx IS NULL THEN x END, CASE WHEN placeholder_idx IS NULL THEN z_order END, ordinal) AS INTEGER) AS read_ord
+  FROM {0} e LEFT JOIN leaf USING (doc_id, page_number, ordinal))"""
+
+_STORED = """c AS (SELECT doc_id, page_number, count(*) AS n, count(*) FILTER (layout = 'flow') AS f, count(*) FILTER (layout = 'flow' AND y >= 0.99::DOUBLE) AS s FROM {0} GROUP BY 1, 2),
+choice AS MATERIALIZED (SELECT doc_id, page_number, coalesce(layout_mode = 'page_metrics', false) OR coalesce(source_format = 'docx', false) OR coalesce(f >= greatest(3, n // 2) AND s >= 3, false) AS as_stored FROM p LEFT JOIN c USING (doc_id, page_number)),
+spatial AS MATERIALIZED (SELECT e.* FROM {0} e LEFT JOIN choice USING (doc_id, page_number) WHERE NOT coalesce(as_stored, false))"""
+
+_READING = _cuts(f"{_E},\n{_STORED.format('e')}", "spatial WHERE placeholder_idx IS NULL") + "," + _COMPOSITE.format("spatial")
+
+#: Groups of a page one after the other; ``texts`` holds what the groups so far made of the page's texts, by ordinal.
+_MERGE = _PARENT.rpartition("\nSELECT")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
+par AS (SELECT doc_id, page_number, ordinal, arg_max(po, pr) AS po, min(pr) AS first_rank, any_value(child_rank) AS child_rank FROM pairs GROUP BY 1, 2, 3),
+grp AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY place) AS k FROM (
+    SELECT par.doc_id, par.page_number, po, any_value(t.element_type) AS ptype, any_value(t.element_id) AS pid, min({'f': first_rank, 'c': par.child_rank}) AS place,
+      list({'o': c.ordinal, 't': c.element_type, 'id': c.element_id} ORDER BY c.y, c.x, first_rank, par.child_rank) AS kids
+    FROM par JOIN e t ON t.doc_id = par.doc_id AND t.page_number = par.page_number AND t.ordinal = par.po JOIN e c ON c.doc_id = par.doc_id AND c.page_number = par.page_number AND c.ordinal = par.ordinal
+    GROUP BY 1, 2, 3) WHERE ptype IN ('text', 'unknown', 'group')),
+fold(doc_id, page_number, k, texts, po, new_text, kids, pid, only_text, contents) AS (
+  SELECT doc_id, page_number, CAST(0 AS BIGINT), list(st ORDER BY ordinal), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), NULL::STRUCT(o INTEGER, t VARCHAR, id VARCHAR)[], CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR[])
+  FROM e WHERE (doc_id, page_number) IN (SELECT doc_id, page_number FROM grp) GROUP BY 1, 2
+  UNION ALL
+  SELECT doc_id, page_number, k, [CASE WHEN j = po + 1 AND len(parts) > 0 THEN array_to_string(parts, chr(10)) ELSE texts[j] END FOR j IN range(1, len(texts) + 1)], po, CASE WHEN len(parts) > 0 THEN array_to_string(parts, chr(10)) END,
+    kids, pid, ptype = 'text' AND len([c FOR c IN kids IF c.t <> 'text']) = 0, [CASE WHEN c.t = 'image' THEN '![' || c.id || '](image-not-exported)' ELSE texts[c.o + 1] END FOR c IN kids]
+  FROM (SELECT f.doc_id, f.page_number, g.k, f.texts, g.po, g.kids, g.pid, g.ptype,
+      list_reduce([f.texts[c.o + 1] FOR c IN g.kids IF c.t = 'text' AND f.texts[c.o + 1] <> ''], lambda acc, v: CASE WHEN list_contains(acc, v) THEN acc ELSE list_append(acc, v) END,
+        CASE WHEN f.texts[g.po + 1] <> '' THEN [f.texts[g.po + 1]] ELSE CAST([] AS VARCHAR[]) END) AS parts
+    FROM fold f JOIN grp g ON g.doc_id = f.doc_id AND g.page_number = f.page_number AND g.k = f.k + 1)),
+top AS (SELECT * FROM fold WHERE k > 0),
+kid AS (SELECT doc_id, page_number, unnest(kids).o AS ordinal, pid FROM top)
+SELECT doc_id, page_number, e.ordinal, coalesce(new_text, text) AS text, kid.pid AS absorbed_by, CASE WHEN only_text THEN array_to_string([c.id FOR c IN kids], ',') END AS merged_children,
+  CASE WHEN NOT only_text AND len([v FOR v IN contents IF v <> '']) > 0 THEN CAST(to_json([{'element_id': kids[j].id, 'type': kids[j].t, 'content': contents[j]} FOR j IN range(1, len(kids) + 1) IF contents[j] <> '']) AS VARCHAR) END AS absorbed_children
+FROM e LEFT JOIN (SELECT doc_id, page_number, po AS ordinal, * EXCLUDE (doc_id, page_number, po, pid) FROM top) t USING (doc_id, page_number, ordinal) LEFT JOIN kid USING (doc_id, page_number, ordinal)"""
+
 _ROWS = f"""{_L},
 tops AS (SELECT doc_id, page_number, list_sort(list(DISTINCT y)) AS ys FROM e GROUP BY 1, 2),
 anchors AS (SELECT doc_id, page_number, list_reduce(ys[2:], lambda acc, v: CASE WHEN v - acc[len(acc)] > 0.02::DOUBLE THEN list_append(acc, v) ELSE acc END, [ys[1]]) AS anchors FROM
@@ -254,6 +312,10 @@ def _jn(name: str, kind: str = "INTEGER") -> str:
     return f"CAST(trunc({number}) AS {kind})" if kind == "INTEGER" else number
 
 
+def _jb(name: str) -> str:
+    return ", ".join(f"{_jn(f'{name}.{k}', 'DOUBLE')} AS {k}" for k in ("x", "y", "width", "height"))
+
+
 _POS = ", ".join(f"CAST({x}_pos AS INTEGER) AS {x}_pos" for x in ("page", "element", "cell", "absorbed"))
 
 ORACLES = {
@@ -262,6 +324,11 @@ ORACLES = {
     "pptx_ingest_roundtrip": _ALL_IN_ONE.format("text"),
     "xlsx_ingest_roundtrip": _ALL_IN_ONE.format("table"),
     "p4_found": f"WITH {_J} SELECT DISTINCT record_id, {_POS.rpartition(', ')[0]} FROM ce WHERE coalesce({_jn('span_width')}, 1) * coalesce({_jn('span_height')}, 1) > 1",
+    "p4_pages": f"WITH {_J} SELECT record_id, CAST(page_pos AS INTEGER) AS page_pos, {_jn('page_number')} AS page_number, {_jn('width', 'DOUBLE')} AS width, {_jn('height', 'DOUBLE')} AS height, coalesce(json_type(json_extract(j, '$.metadata')), 'NULL') <> 'NULL' AS has_metadata FROM pg",
+    "p4_elements": f"""WITH {_J} SELECT record_id, CAST(page_pos AS INTEGER) AS page_pos, CAST(element_pos AS INTEGER) AS element_pos, json_extract_string(j, '$.element_id') AS element_id, json_extract_string(j, '$.element_type') AS element_type,
+        {_jn('z_order')} AS z_order, {_jb('bbox')}, json_extract_string(j, '$.text') AS text, coalesce(json_type(json_extract(j, '$.metadata')), 'NULL') <> 'NULL' AS has_metadata FROM el""",
+    "p4_cells": f"""WITH {_J} SELECT record_id, {_POS.rpartition(', ')[0]}, {_jn('row')} AS row, {_jn('col')} AS col, json_extract_string(j, '$.text') AS text, json_extract_string(j, '$.formatted_text') AS formatted_text,
+        TRY_CAST(json_extract_string(j, '$.is_spanned') AS BOOLEAN) AS is_spanned, {_jn('span_width')} AS span_width, {_jn('span_height')} AS span_height, TRY_CAST(json_extract_string(j, '$.is_merge_origin') AS BOOLEAN) AS is_merge_origin, {_jb('cell_bbox')} FROM ce""",
     "p4_absorbed": f"WITH {_J} SELECT record_id, {_POS}, json_extract_string(j, '$.element_id') AS element_id, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.content') AS content, {_jn('containment', 'DOUBLE')} AS containment, {_jn('y', 'DOUBLE')} AS y, {_jn('x', 'DOUBLE')} AS x FROM ab",
     "bbox_normalize": f"""WITH {_E}, b AS (SELECT e.element_uid, e.x * p.width / greatest(p.width, 1.0::DOUBLE) AS x, e.y * p.height / greatest(p.height, 1.0::DOUBLE) AS y,
           e.width * p.width / greatest(p.width, 1.0::DOUBLE) AS w, e.height * p.height / greatest(p.height, 1.0::DOUBLE) AS h FROM e JOIN p USING (doc_id, page_number))
@@ -274,6 +341,14 @@ ORACLES = {
     "table_absorb": _TABLE_ABSORB,
     "image_annotation_absorb": _ANNOTATE,
     "noise_filter": f"WITH {_E} SELECT element_uid FROM e WHERE NOT (st = '' AND (element_type IN ('unknown', 'text') OR width * height < 1e-4::DOUBLE))",
+    "containment_merge": _MERGE,
+    "xy_cut_order": f"WITH RECURSIVE {_XY} SELECT doc_id, page_number, ordinal, read_ord, spatial_group FROM xy",
+    "composite_order": f"WITH RECURSIVE {_cuts(_L, 'e WHERE placeholder_idx IS NULL')},{_COMPOSITE.format('e')} SELECT doc_id, page_number, ordinal, read_ord, spatial_group FROM placed",
+    "reading_order": f"""WITH RECURSIVE {_READING} SELECT element_uid, read_ord, spatial_group FROM placed UNION ALL
+        SELECT element_uid, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY z_order, element_id, ordinal) AS INTEGER), NULL FROM e JOIN choice USING (doc_id, page_number) WHERE as_stored""",
+    "column_break": f"""WITH RECURSIVE {_XY}, pair AS (SELECT doc_id, page_number, ordinal, spatial_group AS cur, lag(spatial_group) OVER (PARTITION BY doc_id, page_number ORDER BY read_ord) AS prev FROM xy),
+        parted AS (SELECT *, string_split(prev, '.') AS a, string_split(cur, '.') AS b FROM pair)
+        SELECT doc_id, page_number, ordinal, coalesce(prev <> cur AND starts_with(b[list_position([coalesce(a[j] = b[j], false) FOR j IN range(1, greatest(len(a), len(b)) + 1)], false)], 'v'), false) AS breaks FROM parted""",
     "document_order": f"WITH {_E} SELECT element_uid, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY z_order, element_id, ordinal) AS read_ord FROM e",
     "order_choice": f"""WITH {_E}, c AS (SELECT doc_id, page_number, count(*) AS n, count(*) FILTER (layout = 'flow') AS f, count(*) FILTER (layout = 'flow' AND y >= 0.99::DOUBLE) AS s FROM e GROUP BY 1, 2)
         SELECT doc_id, page_number, coalesce(layout_mode = 'page_metrics', false) OR coalesce(source_format = 'docx', false) OR coalesce(f >= greatest(3, n // 2) AND s >= 3, false) AS as_stored FROM p LEFT JOIN c USING (doc_id, page_number)""",
@@ -284,7 +359,8 @@ ORACLES = {
     "caption_verified": f"""WITH {_CAND} SELECT {_KEYS}, CASE WHEN relation_type = 'related_to' AND text_ordinal % 2 = 0 THEN 0.91::DOUBLE ELSE score END AS score,
         CASE WHEN relation_type = 'related_to' AND text_ordinal % 2 = 0 THEN 'caption_of' ELSE relation_type END AS relation_type,
         CASE WHEN relation_type = 'related_to' THEN CASE WHEN text_ordinal % 2 = 0 THEN 'vlm_fallback' ELSE 'vlm_rejected' END ELSE 'rule' END AS method FROM cand""",
-    "no_candidate_log": f"WITH {_CAND} SELECT doc_id, page_number, ordinal FROM e WHERE element_type IN ('image', 'table') AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.doc_id = e.doc_id AND c.page_number = e.page_number AND c.visual_ordinal = e.ordinal)",
+    "no_candidate_log": f"""WITH {_CAND}, met AS (SELECT DISTINCT doc_id, page_number, visual_ordinal AS ordinal FROM cand)
+        SELECT doc_id, page_number, ordinal FROM e ANTI JOIN met USING (doc_id, page_number, ordinal) WHERE element_type IN ('image', 'table')""",
     "caption_map_last_wins": f"WITH {_CAND} SELECT doc_id, visual_element_id AS target_element_id, arg_max(caption_text, rank) AS caption FROM judged WHERE rejected_reason IS NULL AND relation_type = 'caption_of' GROUP BY 1, 2",
     "section_path": f"""WITH RECURSIVE {_BLOCKS},
         up(element_uid, level, first, doc_id, page_number, cur, path) AS (

@@ -44,7 +44,10 @@ def p4_found(spark, d):
 
 def _level(level: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return nested.flatten_records(table(spark, d, "raw_records"), level)
+        out = nested.flatten_records(table(spark, d, "raw_records"), level)
+        # Metadata of any shape is kept as JSON text, whose order of keys is free; boxes stand as four columns.
+        kept = [F.col("metadata").isNotNull().alias("has_metadata") if c == "metadata" else F.col(f"{c}.*") if c.endswith("bbox") else F.col(c) for c in out.columns]
+        return out.select(*kept)
 
     return query
 
