@@ -73,9 +73,10 @@ def leaf_paths(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, least
 def xy_cut(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     """Recursive cuts; leaves in the order of their paths, elements of a leaf by (y, x, z_order).
 
-    Only the boxes go to Python, one array of them per page, in Arrow batches.
+    Elements without a box take no part in the cuts and stand last, without a group. Only the boxes go to Python, one array
+    of them per page, in Arrow batches.
     """
-    return _numbered(_with_paths(elements, cfg), "spatial_group", "y", "x", "z_order", "ordinal")
+    return _numbered(_with_paths(elements, cfg), F.asc_nulls_last("spatial_group"), "y", "x", "z_order", "ordinal")
 
 
 def _with_paths(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
@@ -89,9 +90,10 @@ def _with_paths(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
             out.append([{"ordinal": b["ordinal"], "path": p} for b, p in zip(page, leaf_paths(x, y, w, h, least))])
         return pd.Series(out, dtype=object)
 
-    pages = elements.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("ordinal", "x", "y", "width", "height"))).alias("boxes"))
+    boxed = elements.filter("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+    pages = boxed.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("ordinal", "x", "y", "width", "height"))).alias("boxes"))
     found = pages.select(*PAGE, F.explode(paths("boxes")).alias("p")).select(*PAGE, "p.ordinal", F.col("p.path").alias("spatial_group"))
-    return elements.join(found, [*PAGE, "ordinal"])
+    return elements.join(found, [*PAGE, "ordinal"], "left")
 
 
 def composite(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
@@ -99,7 +101,7 @@ def composite(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     first = elements.filter("placeholder_idx IS NOT NULL").withColumn("spatial_group", F.lit("ph"))
     rest = _with_paths(elements.filter("placeholder_idx IS NULL"), cfg)
     both = first.select(*rest.columns).unionByName(rest)
-    return _numbered(both, F.asc_nulls_last("placeholder_idx"), F.when(F.col("placeholder_idx").isNull(), F.col("spatial_group")), F.when(F.col("placeholder_idx").isNull(), F.col("y")), F.when(F.col("placeholder_idx").isNull(), F.col("x")), F.when(F.col("placeholder_idx").isNull(), F.col("z_order")), "ordinal")
+    return _numbered(both, F.asc_nulls_last("placeholder_idx"), F.when(F.col("placeholder_idx").isNull(), F.col("spatial_group")).asc_nulls_last(), F.when(F.col("placeholder_idx").isNull(), F.col("y")), F.when(F.col("placeholder_idx").isNull(), F.col("x")), F.when(F.col("placeholder_idx").isNull(), F.col("z_order")), "ordinal")
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, ParserConfig], DataFrame]] = {"row": row_clustering, "row_clustering": row_clustering, "xy_cut": xy_cut, "composite": composite}

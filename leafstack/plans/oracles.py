@@ -82,7 +82,7 @@ def _cuts(source: str, rows: str, least: str = "0.006::DOUBLE") -> str:
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""{source},
 cut(doc_id, page_number, ordinal, x, y, width, height, path) AS (
-  SELECT doc_id, page_number, ordinal, x, y, width, height, '0' FROM {rows}
+  SELECT doc_id, page_number, ordinal, x, y, width, height, '0' FROM {rows}{' AND ' if ' WHERE ' in rows else ' WHERE '}x IS NOT NULL
   UNION ALL
   SELECT doc_id, page_number, ordinal, x, y, width, height, path || CASE WHEN hg > 0 AND hg >= {least} THEN CASE WHEN hr < hs THEN '.h0' ELSE '.h1' END ELSE CASE WHEN vr < vs THEN '.v0' ELSE '.v1' END END
   FROM (SELECT *, min(CASE WHEN hgap = hg THEN hr END) OVER ({node}) AS hs, min(CASE WHEN vgap = vg THEN vr END) OVER ({node}) AS vs
