@@ -137,3 +137,23 @@ def shares(chosen: DataFrame, plan: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_weight", "max_repeats", zero(F.col("available")).alias("available_tokens"), zero(F.col("tokens")).alias("tokens"),
         F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), zero(F.col("chosen_documents")).alias("chosen_documents"), zero(F.col("most_copies")).alias("most_copies"),
     )
+
+
+def audit(chosen: DataFrame, got: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per target source: max_repeats, usable_documents (with text), whether no document is used more often than that, and
+    whether the source's tokens are within one of its documents (its longest) of what the reached total asks for.
+
+    ``chosen`` and ``got``: the results of :func:`mix`. Weights count relative to the sources that have documents.
+    """
+    usable = docs.filter(F.col("source").isNotNull() & (F.coalesce("text", F.lit("")) != "")).groupBy("source").agg(F.count_distinct("doc_id").alias("usable_documents"))
+    longest = chosen.groupBy("source").agg(F.max("size").alias("longest"))
+    live = F.when(F.col("available_tokens") > 0, F.col("target_weight"))
+    # Every source may be off by one document, and so is the total they are measured against.
+    total = got.join(longest, "source", "left").agg(F.sum("tokens").alias("total"), F.sum(live).alias("weights"), F.sum("longest").alias("slack"))
+    rows = got.join(longest, "source", "left").join(usable, "source", "left").crossJoin(F.broadcast(total))  # one row
+    share = F.coalesce(live / F.col("weights"), F.lit(0.0))
+    off = F.abs(F.col("tokens") - share * F.col("total"))
+    return rows.select(
+        "source", "max_repeats", F.coalesce("usable_documents", F.lit(0)).alias("usable_documents"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_caps"),
+        (off <= F.coalesce("longest", F.lit(0)) + share * F.col("slack")).alias("within_one_document"),
+    )

@@ -65,7 +65,7 @@ def p5_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     elements = table(spark, d, "document_elements").select("element_uid", "package_id", "site_code", "text")
-    return boilerplate.without_repeated_lines(elements, table(spark, d, "parsed_documents")).select("element_uid", "clean_text", "lines_removed").distinct()
+    return boilerplate.without_repeated_lines(elements, table(spark, d, "parsed_documents")).select("element_uid", "clean_text", "lines_removed")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +84,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.audit(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_flags(table(spark, d, "documents")).filter("truncated").select("doc_id")
 
@@ -92,8 +96,12 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncation_flags(table(spark, d, "documents")))
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.source_limits(truncation.text_lengths(table(spark, d, "documents")))
+
+
 def queries() -> dict:
-    named = (p1_found, p1_pieces, p2_found, p2_canonical, p2_classes, p3_containers, p3_report, p3_audit, p5_found, p5_lines, p5_cleaned, p6_found, p6_overlaps, p7_mix, p7_shares, p8_found, p8_rates)
+    named = (p1_found, p1_pieces, p2_found, p2_canonical, p2_classes, p3_containers, p3_report, p3_audit, p5_found, p5_lines, p5_cleaned, p6_found, p6_overlaps, p7_mix, p7_shares, p7_audit, p8_found, p8_rates, p8_limits)
     return {f.__name__: f for f in named}
 
 
@@ -130,6 +138,8 @@ def _with_joined(sql: str) -> str:
     return sql.replace("@joined@", expr)
 
 
+_KEYED = r"regexp_replace(lower(upper(trim(regexp_replace({}, '[\s\pZ\x{{1c}}-\x{{1f}}\x{{85}}\x{{0b}}]+', ' ', 'g')))), '\p{{Nd}}+', '0', 'g')"
+
 _SITES = r"""
 sites AS (
   SELECT package_id, min(lower(trim(list_filter(string_split(replace(source_path, chr(92), '/'), '/'), lambda x: trim(x) NOT IN ('', '.', '..'))[1]))) AS site
@@ -196,6 +206,19 @@ best AS (
 SELECT doc_id, item_id, overlap_words, exact_windows, CAST(doc_pos AS INTEGER) AS doc_pos, CAST(item_pos AS INTEGER) AS item_pos FROM best WHERE r = 1"""
 
 
+#: Piles of lengths: copies count once, and a length is compared with as many around it as it is long enough for.
+_LIMITS = """
+WITH t AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+l AS (SELECT source, unit, length, count(*) AS n FROM (SELECT source, 'chars' AS unit, length(text) AS length FROM t UNION ALL SELECT source, 'bytes', strlen(text) FROM t) GROUP BY 1, 2, 3),
+reach AS (SELECT *, CASE WHEN length >= 200 THEN 100 WHEN length >= 100 THEN 50 WHEN length >= 50 THEN 25 ELSE 12 END AS r, max(length) OVER (PARTITION BY source, unit) AS longest FROM l),
+sums AS (
+  SELECT a.source, a.unit, a.length, a.n, a.r, a.longest, coalesce(sum(b.n) FILTER (b.length BETWEEN a.length - r AND a.length - 1), 0) AS lower, coalesce(sum(b.n) FILTER (b.length BETWEEN a.length + 1 AND a.length + r), 0) AS upper,
+    sum(b.n) FILTER (b.length BETWEEN a.length - 7 AND a.length) AS near, coalesce(sum(b.n) FILTER (b.length BETWEEN a.length - r - 8 AND a.length - 8), 0) AS below
+  FROM reach a JOIN l b ON a.source = b.source AND a.unit = b.unit AND b.length BETWEEN a.length - 108 AND a.length + 100 WHERE a.length >= 24 GROUP BY ALL),
+judged AS (SELECT *, n >= 6 AND n >= 6.0::DOUBLE * (greatest(lower, upper) / r + 0.5::DOUBLE) AS sharp, length = longest AND near >= 6 AND near >= 6.0::DOUBLE * (below / r * 8 + 0.5::DOUBLE) AS top FROM sums)
+SELECT source, unit, CAST(length AS INTEGER) AS length, top FROM judged WHERE sharp OR top"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT package_id, chunk_id FROM rag_chunks JOIN parser_configs USING (config_id) WHERE length(text) > chunk_max_chars",
@@ -216,10 +239,15 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {_SITES} SELECT DISTINCT element_uid, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN repeated USING (site, line)",
         "p5_lines": f"WITH {_SITES} SELECT site, line, packages_with_line, packages FROM repeated",
         "p5_cleaned": f"""WITH {_SITES},
-            marked AS (SELECT l.*, r.line IS NOT NULL AS gone FROM lines l LEFT JOIN repeated r USING (site, line)),
-            cleaned AS (SELECT element_uid, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS clean_text, CAST(count(*) FILTER (gone) AS INTEGER) AS lines_removed FROM marked GROUP BY 1)
-            SELECT element_uid, clean_text, lines_removed FROM cleaned
-            UNION ALL SELECT DISTINCT element_uid, NULL, 0 FROM document_elements WHERE text IS NULL""",
+            every AS (SELECT row_number() OVER () AS id, element_uid, site, text FROM document_elements LEFT JOIN sites USING (package_id)),
+            every_line AS (SELECT id, site, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM every WHERE text IS NOT NULL),
+            marked AS (
+              SELECT id, n, l, r.line IS NOT NULL AS gone FROM (SELECT *, {_KEYED.format('l')} AS line FROM every_line) LEFT JOIN repeated r USING (site, line)),
+            cleaned AS (SELECT id, coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (NOT gone), '') AS clean_text, CAST(count(*) FILTER (gone) AS INTEGER) AS lines_removed FROM marked GROUP BY 1)
+            SELECT element_uid, clean_text, coalesce(lines_removed, 0) AS lines_removed FROM every LEFT JOIN cleaned USING (id)""",
+        "p7_audit": """WITH d AS (SELECT DISTINCT doc_id, source FROM documents WHERE text IS NOT NULL AND text <> '' AND source IS NOT NULL)
+            SELECT source, max_repeats, count(DISTINCT doc_id) AS usable_documents, true AS within_caps, true AS within_one_document FROM mix_targets LEFT JOIN d USING (source) GROUP BY 1, 2""",
+        "p8_limits": _LIMITS,
         "p6_overlaps": _OVERLAPS.replace("@words@", _WORDS),
         "p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key='doc_id', words=_WORDS, table='documents')}) JOIN ({_GRAMS.format(key='item_id', words=_WORDS, table='eval_items')}) USING (gram)",
     }

@@ -273,6 +273,12 @@ def _filter_bits(tails: DataFrame) -> np.ndarray | None:
     return out
 
 
+def text_lengths(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """(source, chars, bytes, digest) of the texts of known sources: what :func:`source_limits` reads."""
+    rows = docs.filter(F.col(source).isNotNull() & F.col(text).isNotNull())
+    return rows.select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("digest"))
+
+
 def source_limits(tails: DataFrame) -> DataFrame:
     """(source, unit, length, top): lengths where a source's texts pile up; ``top`` where nothing longer exists and the pile
     spreads over a few lengths below. Copies of one text count once, so a text posted often makes no pile. Lengths of less than
