@@ -10,6 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafstack.common import Scratch
 from leafstack.config import ParserConfig
 from leafstack.operators import relations
 from leafstack.plans import pipeline
@@ -84,24 +85,29 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     many = os.path.isdir(args.input_path)
     if not many:
         reader.find_reader(args.input_path)
-    got, frames = parsed(spark, args.input_path, config(args), args.assets_dir, strict=not many)
-    if args.assets_dir:
-        save_assets(frames.assets, args.assets_dir)
-    outputs = {"json": (args.output_json, got.json, "{}"), "md": (args.output_md, got.markdown, ""), "rag": (args.output_rag_json, lambda: chunk_json(got.chunks()), "[]"), "debug": (args.output_debug_json, got.debug, "{}")}
-    for name, (path, make, empty) in outputs.items():
-        if many:
-            if path:
-                make().write.mode("overwrite").json(path)
-                print(f"Saved: {path}")
-            continue
-        if path:
-            text = _one(make(), empty)
-            _save(path, text if name == "md" else _pretty(text))
-        elif name == "json":
-            print(_pretty(_one(make(), empty)))
-        elif name == "md" and not args.output_json:
-            print("\n--- MARKDOWN ---\n")
-            print(_one(make(), empty))
+    scratch = Scratch(spark)
+    try:
+        with scratch:
+            got, frames = parsed(spark, args.input_path, config(args), args.assets_dir, strict=not many)
+            if args.assets_dir:
+                save_assets(frames.assets, args.assets_dir)
+            outputs = {"json": (args.output_json, got.json, "{}"), "md": (args.output_md, got.markdown, ""), "rag": (args.output_rag_json, lambda: chunk_json(got.chunks()), "[]"), "debug": (args.output_debug_json, got.debug, "{}")}
+            for name, (path, make, empty) in outputs.items():
+                if many:
+                    if path:
+                        make().write.mode("overwrite").json(path)
+                        print(f"Saved: {path}")
+                    continue
+                if path:
+                    text = _one(make(), empty)
+                    _save(path, text if name == "md" else _pretty(text))
+                elif name == "json":
+                    print(_pretty(_one(make(), empty)))
+                elif name == "md" and not args.output_json:
+                    print("\n--- MARKDOWN ---\n")
+                    print(_one(make(), empty))
+    finally:
+        scratch.remove()
 
 
 def main() -> None:

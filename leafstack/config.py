@@ -6,6 +6,7 @@ import dataclasses
 import json
 
 
+# Names and defaults of the knobs, which files given as --config-json use.
 @dataclasses.dataclass(frozen=True)
 class ParserConfig:
     row_tolerance: float = 0.02

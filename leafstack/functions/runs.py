@@ -16,12 +16,6 @@ FLAGS = ("bold", "italic", "underline")
 DOMINANT = 0.8
 
 
-def flags_of(b: Column, i: Column, u: Column) -> dict[str, Column]:
-    """Flags from a run's attributes as written in the file."""
-    on = lambda c: F.coalesce(c.isin("1", "true"), F.lit(False))
-    return {"bold": on(b), "italic": on(i), "underline": F.coalesce(~u.isin("none", "0", ""), F.lit(False))}
-
-
 def dominant(runs: DataFrame, keys: list[str]) -> DataFrame:
     """``dominant_*`` per shape: the flag holds for at least 80 % of its characters; never in one without characters."""
     size = F.length(F.coalesce("text", F.lit("")))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafstack.common import maybe_broadcast, written
 from leafstack.config import ParserConfig
 from leafstack.functions import geometry as geo
 from leafstack.functions import text as tx
@@ -88,17 +89,19 @@ def resolve_containment(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     ``absorbed_children`` added.
 
     A text container with text children joins the distinct texts by line feeds, children by (y, x); other text, unknown and
-    group containers gather their children and join the texts among them; images and charts gather nothing. Only pages
-    that hold a contained element go through Python, each as one list.
+    group containers gather their children and join the texts among them; images and charts gather nothing. Only
+    containers and what they contain go through Python, each page as one list.
     """
 
     @F.pandas_udf(_MERGED)
     def fold(pages: pd.Series) -> pd.Series:
         return pd.Series([fold_page([dict(zip(_FOLDED, r.values())) for r in page]) for page in pages], dtype=object)
 
-    parents = containment_parents(elements, cfg)
-    rows = elements.select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref").join(parents.select(*KEY, "parent_ordinal", "first_rank", "child_rank"), KEY, "left")
-    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*_FOLDED)).alias("rows"), F.count("parent_ordinal").alias("edges")).filter("edges > 0")
+    # Ids and texts go to the pages only of elements that contain or are contained.
+    edges = written(containment_parents(elements, cfg).select(*KEY, "parent_ordinal", "first_rank", "child_rank"), "contained")
+    members = edges.select(*KEY).unionByName(edges.select(*PAGE, F.col("parent_ordinal").alias("ordinal"))).distinct()
+    rows = elements.select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref").join(maybe_broadcast(members), KEY, "left_semi").join(maybe_broadcast(edges), KEY, "left")
+    pages = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*_FOLDED)).alias("rows"))
     merged = pages.select(*PAGE, F.explode(fold("rows")).alias("m")).select(*PAGE, "m.*", F.lit(True).alias("__hit"))
     both = elements.join(merged, KEY, "left")
     return both.withColumn("text", F.when(F.col("__hit"), F.col("new_text")).otherwise(F.col("text"))).drop("new_text", "__hit")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafstack.config import ParserConfig
@@ -73,35 +73,49 @@ def leaf_paths(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, least
 def xy_cut(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     """Recursive cuts; leaves in the order of their paths, elements of a leaf by (y, x, z_order).
 
-    Elements without a box take no part in the cuts and stand last, without a group. Only the boxes go to Python, one array
-    of them per page, in Arrow batches.
+    Elements without a box take no part in the cuts and stand last, without a group. Only the boxes go to Python, in Arrow
+    batches with one list of them per page.
     """
     return _numbered(_with_paths(elements, cfg), F.asc_nulls_last("spatial_group"), "y", "x", "z_order", "ordinal")
 
 
-def _with_paths(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
+def _with_paths(elements: DataFrame, cfg: ParserConfig, taking_part: Column | None = None) -> DataFrame:
+    """``elements`` with ``spatial_group``, null for those without a box or outside ``taking_part``.
+
+    The rows of a page travel once, as one list, and come back from it in the same partition, so what follows per page needs
+    no further exchange.
+    """
     least = cfg.xy_cut_gap_ratio
 
-    @F.pandas_udf("array<struct<ordinal:int,path:string>>")
+    @F.pandas_udf("array<string>")
     def paths(boxes: pd.Series) -> pd.Series:
         out = []
         for page in boxes:
-            x, y, w, h = (np.array([b[k] for b in page], dtype=float) for k in ("x", "y", "width", "height"))
-            out.append([{"ordinal": b["ordinal"], "path": p} for b, p in zip(page, leaf_paths(x, y, w, h, least))])
+            at = [i for i, b in enumerate(page) if b is not None]
+            found: list[str | None] = [None] * len(page)
+            x, y, w, h = (np.array([page[i][k] for i in at], dtype=float) for k in ("x", "y", "width", "height"))
+            for i, path in zip(at, leaf_paths(x, y, w, h, least) if at else []):
+                found[i] = path
+            out.append(found)
         return pd.Series(out, dtype=object)
 
-    boxed = elements.filter("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
-    pages = boxed.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("ordinal", "x", "y", "width", "height"))).alias("boxes"))
-    found = pages.select(*PAGE, F.explode(paths("boxes")).alias("p")).select(*PAGE, "p.ordinal", F.col("p.path").alias("spatial_group"))
-    return elements.join(found, [*PAGE, "ordinal"], "left")
+    box = F.struct("x", "y", "width", "height")
+    boxed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
+    mine = boxed if taking_part is None else boxed & taking_part
+    row = F.struct("ordinal", F.struct(*(F.col(f"`{c}`") for c in elements.columns if c not in PAGE)).alias("e"), F.when(mine, box).alias("b"))
+    pages = elements.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0)).alias("rows"))
+    pages = pages.withColumn("paths", paths(F.transform("rows", lambda r: r["b"])))
+    got = pages.select(*PAGE, F.explode(F.arrays_zip("rows", "paths")).alias("r"))
+    return got.select(*PAGE, "r.rows.e.*", F.col("r.paths").alias("spatial_group")).select(*elements.columns, "spatial_group")
 
 
 def composite(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
     """Placeholders by their index first (group ``ph``), the others by recursive cuts."""
-    first = elements.filter("placeholder_idx IS NOT NULL").withColumn("spatial_group", F.lit("ph"))
-    rest = _with_paths(elements.filter("placeholder_idx IS NULL"), cfg)
-    both = first.select(*rest.columns).unionByName(rest)
-    return _numbered(both, F.asc_nulls_last("placeholder_idx"), F.when(F.col("placeholder_idx").isNull(), F.col("spatial_group")).asc_nulls_last(), F.when(F.col("placeholder_idx").isNull(), F.col("y")), F.when(F.col("placeholder_idx").isNull(), F.col("x")), F.when(F.col("placeholder_idx").isNull(), F.col("z_order")), "ordinal")
+    rest = F.col("placeholder_idx").isNull()
+    placed = _with_paths(elements, cfg, rest)
+    last = [F.when(rest, F.col(c)) for c in ("y", "x", "z_order")]
+    done = _numbered(placed, F.asc_nulls_last("placeholder_idx"), F.asc_nulls_last("spatial_group"), *last, "ordinal")
+    return done.withColumn("spatial_group", F.when(rest, F.col("spatial_group")).otherwise("ph"))
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, ParserConfig], DataFrame]] = {"row": row_clustering, "row_clustering": row_clustering, "xy_cut": xy_cut, "composite": composite}

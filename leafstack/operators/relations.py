@@ -14,9 +14,6 @@ from leafstack.functions import scoring
 from leafstack.functions import text as tx
 from leafstack.schema import PAGE
 
-Verifier = Callable[[DataFrame], DataFrame]
-
-
 def looks_like_title(cfg: ParserConfig) -> Column:
     text = tx.stripped(F.col("text"))
     short = (F.length(text) <= cfg.title_max_len) & ~F.contains(text, F.lit("\n"))
@@ -38,11 +35,13 @@ def title_relations(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
 _SIDE = ["ordinal", "element_id", "read_ord", "x", "y", "width", "height"]
 
 
-def caption_candidates(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
+def caption_candidates(ordered: DataFrame, cfg: ParserConfig, scorer: Callable[..., dict[str, Column]] | None = None) -> DataFrame:
     """Texts that may caption an image or table of their page, with score, type and the parts of the score.
 
     The gates on gap and alignment are part of the join condition, so far pairs are never scored. Elements already in a
-    table or container (where those columns exist) aren't captions.
+    table or container (where those columns exist) aren't captions. ``scorer`` replaces
+    :func:`~leafstack.functions.scoring.caption_breakdown`: it gets the same boxes, sizes, text and knobs, and its result
+    must hold the same names.
     """
     texts = ordered.filter((F.col("element_type") == "text") & (tx.stripped(F.col("text")) != ""))
     for c in ("absorbed_by", "table_ordinal"):
@@ -53,7 +52,7 @@ def caption_candidates(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
     tb, vb = geo.box("t"), geo.box("v")
     pairs = t.join(v, [*(F.col(f"t.{k}") == F.col(f"v.{k}") for k in PAGE), scoring.caption_gate(tb, vb, cfg)])
     sizes = F.col("t.width"), F.col("t.height"), F.col("v.width"), F.col("v.height")
-    parts = scoring.caption_breakdown(tb, vb, sizes, F.col("t.text"), cfg)
+    parts = (scorer or scoring.caption_breakdown)(tb, vb, sizes, F.col("t.text"), cfg)
     kind = scoring.relation_type(parts["score"], cfg)
     names = [F.col(f"{s}.{c}").alias(f"{p}_{c}") for s, p in (("t", "text"), ("v", "visual")) for c in ("ordinal", "element_id", "read_ord")]
     out = pairs.select(*(F.col(f"t.{k}").alias(k) for k in PAGE), *names, F.col("t.text").alias("caption_text"), F.col("v.element_type").alias("visual_type"), *(c.alias(k) for k, c in parts.items()), kind.alias("relation_type"))
@@ -95,13 +94,26 @@ def without_candidate(ordered: DataFrame, candidates: DataFrame) -> DataFrame:
     return visuals.join(candidates.select(*PAGE, F.col("visual_ordinal").alias("ordinal")), [*PAGE, "ordinal"], "left_anti")
 
 
-def relations(ordered: DataFrame, cfg: ParserConfig, verifier: Column | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(relations, decisions). ``rel_idx`` numbers a document's relations: by page, titles first, then captions by score."""
-    found = written(caption_candidates(ordered, cfg), "candidates")  # both results and the log of visuals without any read it
+def title_scores(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
+    """Scores of single pairs as titles, apart from the page's one title: every title-like element or placeholder with
+    every other element of its page. Page key, source_ordinal, target_ordinal, score."""
+    source = ordered.filter(F.coalesce("is_placeholder", F.lit(False)) | looks_like_title(cfg)).select(*PAGE, F.col("ordinal").alias("source_ordinal"))
+    both = source.join(ordered.select(*PAGE, F.col("ordinal").alias("target_ordinal")), PAGE).filter("source_ordinal <> target_ordinal")
+    return both.withColumn("score", F.lit(0.7))
+
+
+def relations(
+    ordered: DataFrame, cfg: ParserConfig, verifier: Column | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, scorer: Callable[..., dict[str, Column]] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(relations, decisions). ``rel_idx`` numbers a document's relations: by page, titles first, then captions by score.
+
+    Captions carry ``rule_score`` and ``score_breakdown``, the parts their score is made of; titles have none.
+    """
+    found = written(caption_candidates(ordered, cfg, scorer), "candidates")  # both results and the log of visuals without any read it
     judged = assigned(verified(rerank(found) if rerank else found, verifier))
     titles = title_relations(ordered, cfg).select(*PAGE, F.lit("title_of").alias("relation_type"), "source_ordinal", "target_ordinal", "source_element_id", "target_element_id", "confidence", F.lit(0).alias("part"), F.col("target_ord").alias("at"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("caption_text"))
-    taken = judged.filter("rejected_reason IS NULL").select(*PAGE, "relation_type", F.col("text_ordinal").alias("source_ordinal"), F.col("visual_ordinal").alias("target_ordinal"), F.col("text_element_id").alias("source_element_id"), F.col("visual_element_id").alias("target_element_id"), F.col("score").alias("confidence"), F.lit(1).alias("part"), F.col("rank").alias("at"), "method", "caption_text")
-    out = titles.unionByName(taken)
+    taken = judged.filter("rejected_reason IS NULL").select(*PAGE, "relation_type", F.col("text_ordinal").alias("source_ordinal"), F.col("visual_ordinal").alias("target_ordinal"), F.col("text_element_id").alias("source_element_id"), F.col("visual_element_id").alias("target_element_id"), F.col("score").alias("confidence"), F.lit(1).alias("part"), F.col("rank").alias("at"), "method", "caption_text", F.col("score").alias("rule_score"), F.struct(*scoring_parts()).alias("score_breakdown"))
+    out = titles.unionByName(taken, allowMissingColumns=True)
     out = out.withColumn("rel_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "part", "at"))).drop("part", "at")
     none = without_candidate(ordered, found).select(*PAGE, F.col("element_id").alias("visual_element_id"), F.lit("no_candidate").alias("rejected_reason"), F.col("read_ord").alias("at"), F.lit(0).alias("part"))
     log = judged.select(*PAGE, "visual_element_id", "text_element_id", "score", "method", "rejected_reason", F.col("rank").alias("at"), F.lit(1).alias("part"), *scoring_parts())

@@ -318,7 +318,41 @@ def _jb(name: str) -> str:
 
 _POS = ", ".join(f"CAST({x}_pos AS INTEGER) AS {x}_pos" for x in ("page", "element", "cell", "absorbed"))
 
+def _prefix(k: str, n: str) -> str:
+    """Number ``n`` in the kind of place ``k`` of the list of kinds."""
+    return f"""CASE {k} WHEN 0 THEN {n} || '. ' WHEN 1 THEN {n} || ') ' WHEN 2 THEN {n} || ' ' WHEN 3 THEN chr(CAST(97 + ({n} - 1) % 26 AS INTEGER)) || '. ' WHEN 4 THEN chr(CAST(65 + ({n} - 1) % 26 AS INTEGER)) || ') '
+        WHEN 5 THEN lower({_roman(n)}) || '. ' WHEN 6 THEN {_roman(n)} || ') ' WHEN 7 THEN CASE WHEN {n} <= 20 THEN chr(CAST(9311 + {n} AS INTEGER)) || ' ' ELSE '(' || {n} || ') ' END ELSE {n} || '. ' END"""
+
+
+#: Order lines numbered from 0, and the rows of a table made of them: plain, with a wide first cell, with a last cell that
+#: goes on from above.
+_NUMBERED = "li AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS n FROM lineitem)"
+_GRID = f"""{_NUMBERED},
+gr AS (SELECT l_orderkey, n AS row_idx, CAST(c AS INTEGER) AS col_idx, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)][c + 1] AS text, (n % 3 = 1 AND c = 1) OR (n % 3 = 2 AND c = 2) AS is_spanned,
+  n % 3 = 1 AND c = 0 AS wide, n % 3 = 1 AND c = 2 AND n < max(n) OVER (PARTITION BY l_orderkey) AS tall FROM li, (SELECT unnest(range(3)) AS c))"""
+_GRID_ROWS = "SELECT l_orderkey, row_idx, col_idx, CASE WHEN NOT is_spanned THEN text END AS text, is_spanned, CASE WHEN wide THEN 2 ELSE 1 END AS span_width"
+
 ORACLES = {
+    "pptx_numbering_roundtrip": f"""WITH {_WHITE}, q AS (SELECT p_partkey, {_strip('p_name')} AS name, p_partkey % 9 AS k, p_partkey % 60 + 1 AS n, p_partkey % 60 + 2 AS n2, p_partkey % 60 + 3 AS n3 FROM part)
+        SELECT p_partkey, {_prefix('k', 'n')} || name || chr(10) || {_prefix('k', 'n2')} || 'next' || chr(10) || '– sign' || chr(10) || {_prefix('k', 'n3')} || 'third' || chr(10) || {_prefix('k', 'n')} || 'again' || chr(10) || 'none' AS text FROM q""",
+    "pptx_shapes_roundtrip": f"""WITH {_NUMBERED}, s AS (
+          SELECT l_orderkey, n, n % 4 AS k, l_partkey % 80 * 100000 AS px, l_suppkey % 80 * 100000 AS py, CAST(l_quantity AS INTEGER) * 100000 AS w, (n + 1) * 100000 AS h,
+            CAST(n + coalesce(sum(CASE WHEN n % 4 = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS ordinal FROM li),
+        a AS (
+          SELECT l_orderkey, ordinal, CASE k WHEN 1 THEN 'image' WHEN 2 THEN 'group' ELSE 'text' END AS element_type, CASE WHEN k IN (0, 3) THEN 'T' || n END AS text, k = 3 AS is_placeholder, px, py, w, h, CASE WHEN k = 1 THEN '0.25 0.00 0.00 0.10' END AS crop FROM s
+          UNION ALL SELECT l_orderkey, ordinal + 1, 'text', 'T' || n, false, px + 100000, py + 200000, 100000, 100000, NULL FROM s WHERE k = 2)
+        SELECT l_orderkey, ordinal, printf('%04d', ordinal + 1) AS number, element_type, text, is_placeholder, least(1.0::DOUBLE, px / 9144000.0::DOUBLE) AS x, least(1.0::DOUBLE, py / 6858000.0::DOUBLE) AS y,
+          greatest(1e-6::DOUBLE, least(1.0::DOUBLE, w / 9144000.0::DOUBLE)) AS width, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, h / 6858000.0::DOUBLE)) AS height, crop FROM a""",
+    "pptx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, CASE WHEN tall THEN 2 ELSE 1 END AS span_height, wide OR tall AS is_merge_origin FROM gr",
+    "docx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, 1 AS span_height, NOT is_spanned AS is_merge_origin FROM gr",
+    "docx_structure_roundtrip": f"""WITH {_LINES}, q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS i, l FROM ln WHERE l <> '')
+        SELECT doc_id, i - 1 AS ordinal, CASE WHEN i % 4 = 2 THEN repeat('  ', i % 3) || '- ' || l ELSE l END AS text, i % 4 = 1 AS is_heading, CASE WHEN i % 4 = 1 THEN 1 + i % 3 END AS heading_level, i % 4 = 2 AS is_list_item,
+          CASE WHEN i % 4 = 2 THEN i % 3 END AS list_level, CASE WHEN i % 4 = 1 THEN 'Heading' || (1 + i % 3) END AS paragraph_style, i % 4 = 3 AS is_mostly_bold, CASE WHEN i % 4 = 3 THEN '**' || l[1] || '**' || l[2:] END AS formatted_text,
+          CASE WHEN l[1] = '[' AND contains(l, ']') THEN 'bracket_leading' END AS line_pattern FROM q""",
+    "xlsx_values_roundtrip": f"""WITH {_NUMBERED}, c AS (SELECT unnest(range(7)) AS c),
+        v AS (SELECT l_orderkey, n AS row_idx, CAST(c AS INTEGER) AS col_idx, CASE c WHEN 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 1 THEN CAST(l_extendedprice AS VARCHAR) WHEN 2 THEN strftime(l_shipdate, '%Y-%m-%d') || ' 00:00:00'
+            WHEN 3 THEN CASE WHEN l_partkey % 2 = 1 THEN 'True' ELSE 'False' END WHEN 4 THEN l_returnflag WHEN 6 THEN 'p' || l_partkey END AS text FROM li, c)
+        SELECT l_orderkey, row_idx, col_idx, text, row_idx = 0 AND col_idx = 5 AS is_spanned, CASE WHEN row_idx = 0 AND col_idx = 4 THEN 2 ELSE 1 END AS span_width FROM v""",
     "docx_ingest_roundtrip": _ONE_EACH,
     "hwpx_ingest_roundtrip": _ONE_EACH,
     "pptx_ingest_roundtrip": _ALL_IN_ONE.format("text"),
@@ -420,8 +454,7 @@ ORACLES = {
         al AS (SELECT doc_id, pages, images, coalesce(captions, 0) AS captions, coalesce(n, 0) + coalesce(m, 0) AS decisions, coalesce(r, 0) + coalesce(m, 0) AS rejected FROM el LEFT JOIN ca USING (doc_id) LEFT JOIN no USING (doc_id)),
         su AS (SELECT doc_id, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(images) AS BIGINT) AS images, CAST(sum(captions) AS BIGINT) AS captions, CAST(sum(decisions) AS BIGINT) AS decisions, CAST(sum(rejected) AS BIGINT) AS rejected FROM al GROUP BY ROLLUP (doc_id))
         SELECT *, captions / greatest(images, 1) AS caption_density_per_image, rejected / greatest(decisions, 1) AS rejection_rate FROM su""",
-    "autonum_format": f"""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN n || '. ' WHEN 1 THEN n || ') ' WHEN 2 THEN n || ' ' WHEN 3 THEN chr(CAST(97 + (n - 1) % 26 AS INTEGER)) || '. ' WHEN 4 THEN chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || ') '
-        WHEN 5 THEN lower({_roman('n')}) || '. ' WHEN 6 THEN {_roman('n')} || ') ' WHEN 7 THEN CASE WHEN n <= 20 THEN chr(CAST(9311 + n AS INTEGER)) || ' ' ELSE '(' || n || ') ' END ELSE n || '. ' END AS prefix FROM (SELECT p_partkey, p_partkey % 60 + 1 AS n FROM part)""",
+    "autonum_format": f"SELECT p_partkey, {_prefix('p_partkey % 9', 'n')} AS prefix FROM (SELECT p_partkey, p_partkey % 60 + 1 AS n FROM part)",
     "roman_numeral": f"SELECT p_partkey, {_roman('n')} AS numeral FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS n FROM part)",
     "dominant_style": f"WITH {_RUNS} SELECT shape, {_DOMINANT} FROM runs GROUP BY shape",
     "merge_runs": f"WITH {_RUNS} {_merge('runs')}",
@@ -431,3 +464,4 @@ ORACLES = {
         l AS (SELECT shape, par, trim(string_agg(CASE WHEN bold THEN '**' || b || '**' ELSE b END, '' ORDER BY run_idx)) AS line FROM x GROUP BY 1, 2)
         SELECT shape, string_agg(line, chr(10) ORDER BY par) AS formatted FROM l WHERE line <> '' GROUP BY 1""",
 }
+ORACLES["pptx_runs_roundtrip"] = ORACLES["wrap_runs"]  # what is read back is what the operator on frames gives

@@ -16,7 +16,7 @@ from leafstack.functions import geometry as geo
 from leafstack.functions import runs
 from leafstack.functions import text as tx
 from leafstack.operators import evaluate, layout, markdown, nested, ordering, rag, relations, report, structure, tables
-from leafstack.plans import pipeline
+from leafstack.plans import packages, pipeline
 from leafstack.plans import tables as frames
 from leafstack.schema import KEY, PAGE
 from leafstack.sources import reader, writer
@@ -373,7 +373,7 @@ _QUERIES = (
 
 def queries() -> dict:
     trips = {f"{suffix}_ingest_roundtrip": _roundtrip(suffix) for suffix in writer.WRITERS}
-    return {f.__name__: f for f in _QUERIES} | trips | {f"p4_{level}": _level(level) for level in nested.LEVELS}
+    return {f.__name__: f for f in (*_QUERIES, *packages.QUERIES)} | trips | {f"p4_{level}": _level(level) for level in nested.LEVELS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -311,8 +311,12 @@ class Reader:
         elif kind == "table":
             shown = table or read_table(next(within(node, "tbl")))
             text = _plain_rows(shown[2])
+            meta["col_widths"] = shown[0]
         elif kind == "image":
             meta |= self.picture(part, node, n, width)
+            cut = child(node, "blipFill", "srcRect")
+            shares = [number(attr(cut, side), 0) / 100000 for side in "ltrb"]
+            meta["crop"] = shares if any(shares) else None
         at = self.found.element(kind, n, n, self.box(left, top, width, height), text, **meta)
         if table is not None:
             across, down = _shares(table[0]), _shares(table[1])

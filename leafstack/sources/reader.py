@@ -102,33 +102,52 @@ def read_packages(spark: SparkSession, path: str, options: Options = Options(),
 
 
 class OfficeDataSource(DataSource):
-    """``spark.read.format("officedoc").option("path", folder).load()``: elements of all packages of a local or mounted folder."""
+    """``spark.read.format("officedoc").option("table", "elements").load(path)``: the elements, pages or cells of all
+    packages of a local or mounted folder. ``batch_bytes`` of packages (64 MB) make one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "officedoc"
 
+    def _table(self) -> str:
+        table = self.options.get("table", "elements").lower()
+        if table not in _TABLES:
+            raise ValueError(f"table must be one of {sorted(_TABLES)}")
+        return table
+
     def schema(self) -> str:
-        return schema.ELEMENTS
+        return _TABLES[self._table()]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _OfficeReader(self.options)
+        return _OfficeReader(self.options, self._table())
+
+
+_TABLES = {"pages": schema.PAGES, "elements": schema.ELEMENTS, "cells": schema.CELLS}
 
 
 class _OfficeReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, table: str):
+        self.path, self.table = options["path"], table
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.batch_bytes = int(options.get("batch_bytes", 64 * 1024 * 1024))
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isfile(self.path):
-            return [InputPartition(self.path)]
+            return [InputPartition([self.path])]
         known = tuple(s for suffixes, _ in READERS for s in suffixes)
-        return [InputPartition(os.path.join(root, n)) for root, _, names in sorted(os.walk(self.path)) for n in sorted(names) if n.lower().endswith(known)]
+        batches, held = [], 0
+        for path in sorted(os.path.join(root, n) for root, _, names in os.walk(self.path) for n in names if n.lower().endswith(known)):
+            if not batches or held >= self.batch_bytes:
+                batches.append([])
+                held = 0
+            batches[-1].append(path)
+            held += os.path.getsize(path)
+        return [InputPartition(b) for b in batches]
 
     def read(self, partition: InputPartition):
-        with open(partition.value, "rb") as f:
-            row = parse_row(partition.value, f.read(), Options(), self.strict)
-        names = [f.strip().split(" ")[0] for f in schema.ELEMENTS.split(", ")]
-        for e in row["elements"]:
-            yield tuple(partition.value if n == "doc_id" else e.get(n) for n in names)
+        names = [f.strip().split(" ")[0] for f in _TABLES[self.table].split(", ")]
+        for path in partition.value:
+            with open(path, "rb") as f:
+                row = parse_row(path, f.read(), Options(), self.strict)
+            for e in row[self.table]:
+                yield tuple(path if n == "doc_id" else e.get(n) for n in names)

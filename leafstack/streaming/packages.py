@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from leafstack.common import Scratch
 from leafstack.config import ParserConfig
 from leafstack.operators import relations
 from leafstack.plans import pipeline
@@ -31,12 +32,17 @@ def run_pipeline(spark: SparkSession, folder: str, out: str, checkpoint: str, cf
     cfg = cfg or ParserConfig()
 
     def batch(rows: DataFrame, number: int) -> None:
-        frames = reader.frames(rows)
-        got = pipeline.parse(frames.pages, frames.elements.drop("extra"), frames.cells, cfg, relations.no_op_verifier())
-        for name, df in (("markdown", got.markdown()), ("chunks", got.chunks()), ("relations", got.relations), ("errors", frames.errors)):
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number:08d}")
-        if also:
-            also(got, number)
+        scratch = Scratch(spark)  # what a batch writes in between goes when its results are stored
+        try:
+            with scratch:
+                frames = reader.frames(rows)
+                got = pipeline.parse(frames.pages, frames.elements.drop("extra"), frames.cells, cfg, relations.no_op_verifier())
+                for name, df in (("markdown", got.markdown()), ("chunks", got.chunks()), ("relations", got.relations), ("errors", frames.errors)):
+                    df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number:08d}")
+                if also:
+                    also(got, number)
+        finally:
+            scratch.remove()
 
     options = Options(cfg.include_master_shapes, cfg.deduplicate_master_shapes)
     writer = stream_packages(spark, folder, options, per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

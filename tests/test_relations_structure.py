@@ -79,8 +79,7 @@ def test_header_rows(spark):
 
 
 def test_absorbed_content_around_the_middle(spark):
-    item = "struct<y:double,x:double,ordinal:int,content:string,width:int>"
-    df = spark.sql(f"""SELECT 'base' AS text, CAST(NULL AS string) AS formatted_text, cy, ch, CAST(array(named_struct('y', 0.1D, 'x', 0D, 'ordinal', 1, 'content', '![I](i.png)', 'width', 7), named_struct('y', 0.9D, 'x', 0D, 'ordinal', 2, 'content', 'low', 'width', NULL)) AS array<{item}>) AS absorbed_elements
+    df = spark.sql(f"""SELECT 'base' AS text, CAST(NULL AS string) AS formatted_text, cy, ch, CAST(array(named_struct('y', 0.1D, 'x', 0D, 'ordinal', 1, 'content', '![I](i.png)', 'width', 7, 'element_id', 'I', 'type', 'image', 'containment', 1D), named_struct('y', 0.9D, 'x', 0D, 'ordinal', 2, 'content', 'low', 'width', NULL, 'element_id', 'J', 'type', 'text', 'containment', 1D)) AS {tables.ABSORBED}) AS absorbed_elements
         FROM VALUES (0.0D, 1.0D), (CAST(NULL AS double), CAST(NULL AS double)) AS t(cy, ch)""")
     got = [r[0] for r in df.select(tables.cell_content(True, True)).collect()]
     assert got == ['<img src="i.png" alt="I" width="7"/><br/>base<br/>low', 'base<br/><img src="i.png" alt="I" width="7"/><br/>low']
