@@ -26,10 +26,11 @@ def overlap(a: tuple, b: tuple) -> Column:
 
 
 def containment(inner: tuple, outer: tuple) -> Column:
-    """Share of ``inner`` that lies in ``outer``; 0 where either is degenerate."""
+    """Share of ``inner`` that lies in ``outer``; 0 where either is degenerate or has no place."""
     area = positive(inner[2] - inner[0]) * positive(inner[3] - inner[1])
     shared = overlap(inner, outer)
-    return F.when((shared <= 0) | (area <= 0), F.lit(0.0)).otherwise(shared / area)
+    unplaced = F.isnull(inner[2] + inner[3]) | F.isnull(outer[2] + outer[3])
+    return F.when(unplaced | (shared <= 0) | (area <= 0), F.lit(0.0)).otherwise(shared / area)
 
 
 def area(width: Column, height: Column) -> Column:

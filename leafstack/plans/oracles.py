@@ -30,7 +30,7 @@ _L = f"""{_WHITE},
 e AS MATERIALIZED (
   SELECT CAST(pg AS VARCHAR) AS doc_id, 1 AS page_number, ordinal, printf('E_001_%04d', ordinal + 1) AS element_id,
     CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'table' WHEN 2 THEN 'unknown' ELSE 'text' END AS element_type, ordinal + 1 AS z_order,
-    (l_partkey % 80) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 100 AS width, 0.02::DOUBLE + (l_partkey % 7) / 50 AS height, CASE WHEN l_suppkey % 11 = 0 THEN CAST(l_partkey % 3 AS INTEGER) END AS placeholder_idx, CASE WHEN k >= 2 THEN p_name END AS text, {_strip('CASE WHEN k >= 2 THEN p_name END')} AS st
+    (l_partkey % 80) / 100 AS x, (l_suppkey % 80) / 100 AS y, l_quantity / 100 AS width, 0.02::DOUBLE + (l_partkey % 7) / 50 AS height, NULL AS image_ref, CASE WHEN l_suppkey % 11 = 0 THEN CAST(l_partkey % 3 AS INTEGER) END AS placeholder_idx, CASE WHEN k >= 2 THEN p_name END AS text, {_strip('CASE WHEN k >= 2 THEN p_name END')} AS st
   FROM (SELECT *, l_orderkey // 4 AS pg, l_partkey % 5 AS k, CAST(row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS ordinal
         FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey),
 area AS MATERIALIZED (SELECT *, greatest(0.0::DOUBLE, width) * greatest(0.0::DOUBLE, height) AS area FROM e)"""
@@ -40,7 +40,7 @@ def _ratio(i: str, o: str, names=("x", "y", "width", "height")) -> str:
     x, y, w, h = (f"{o}.{n}" for n in names)
     shared = f"(greatest(0.0::DOUBLE, least({i}.x + {i}.width, {x} + {w}) - greatest({i}.x, {x})) * greatest(0.0::DOUBLE, least({i}.y + {i}.height, {y} + {h}) - greatest({i}.y, {y})))"
     size = f"(greatest(0.0::DOUBLE, {i}.x + {i}.width - {i}.x) * greatest(0.0::DOUBLE, {i}.y + {i}.height - {i}.y))"
-    return f"(CASE WHEN {shared} <= 0 OR {size} <= 0 THEN 0.0::DOUBLE ELSE {shared} / {size} END)"
+    return f"(CASE WHEN {x} IS NULL OR {i}.x IS NULL OR {shared} <= 0 OR {size} <= 0 THEN 0.0::DOUBLE ELSE {shared} / {size} END)"
 
 
 _SAME = "a.doc_id = b.doc_id AND a.page_number = b.page_number"
@@ -57,16 +57,17 @@ hits AS (SELECT a.doc_id, a.page_number, a.ordinal, b.ordinal AS table_ordinal,
   FROM e a JOIN cell b ON {_SAME} AND a.ordinal <> b.ordinal WHERE a.element_type <> 'group' AND {_ratio('a', 'b', ('cx', 'cy', 'cw', 'ch'))} >= 0.5::DOUBLE),
 claims AS MATERIALIZED (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, ordinal, table_ordinal ORDER BY ratio DESC, cell_idx) = 1)"""
 
-_TABLE_ABSORB = f"""WITH RECURSIVE {_CLAIMS},
-top AS (SELECT doc_id, page_number, max(rank) AS n FROM t GROUP BY 1, 2),
+_TAKING = """most AS (SELECT doc_id, page_number, max(rank) AS n FROM t GROUP BY 1, 2),
 step(doc_id, page_number, k, gone) AS (
-  SELECT doc_id, page_number, 0, CAST([] AS INTEGER[]) FROM top
+  SELECT doc_id, page_number, 0, CAST([] AS INTEGER[]) FROM most
   UNION ALL
   SELECT s.doc_id, s.page_number, s.k + 1, CASE WHEN list_contains(s.gone, s.k + 1) THEN s.gone ELSE list_concat(s.gone, coalesce((
       SELECT list(t.rank) FROM claims c JOIN t ON t.doc_id = c.doc_id AND t.page_number = c.page_number AND t.ordinal = c.ordinal
       WHERE c.doc_id = s.doc_id AND c.page_number = s.page_number AND c.table_rank = s.k + 1), [])) END
-  FROM step s JOIN top USING (doc_id, page_number) WHERE s.k < top.n),
-final AS (SELECT doc_id, page_number, gone FROM step JOIN top USING (doc_id, page_number) WHERE k = n)
+  FROM step s JOIN most USING (doc_id, page_number) WHERE s.k < most.n),
+final AS (SELECT doc_id, page_number, gone FROM step JOIN most USING (doc_id, page_number) WHERE k = n)"""
+_TABLE_ABSORB = f"""WITH RECURSIVE {_CLAIMS},
+{_TAKING}
 SELECT doc_id, page_number, ordinal, table_ordinal, cell_idx, ratio FROM claims JOIN final USING (doc_id, page_number) WHERE NOT list_contains(gone, table_rank)
 QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, ordinal ORDER BY table_rank) = 1"""
 
@@ -110,26 +111,35 @@ spatial AS MATERIALIZED (SELECT e.* FROM {0} e LEFT JOIN choice USING (doc_id, p
 _READING = _cuts(f"{_E},\n{_STORED.format('e')}", "spatial WHERE placeholder_idx IS NULL") + "," + _COMPOSITE.format("spatial")
 
 #: Groups of a page one after the other; ``texts`` holds what the groups so far made of the page's texts, by ordinal.
-_MERGE = _PARENT.rpartition("\nSELECT")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
-par AS (SELECT doc_id, page_number, ordinal, arg_max(po, pr) AS po, min(pr) AS first_rank, any_value(child_rank) AS child_rank FROM pairs GROUP BY 1, 2, 3),
+_MERGE_CTES = """r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY area DESC, ordinal) AS rank FROM area WHERE element_type <> 'table'),
+pairs AS (SELECT b.doc_id, b.page_number, b.ordinal, b.rank AS child_rank, a.rank AS pr, a.ordinal AS po FROM r a JOIN r b ON @same@ AND a.rank < b.rank WHERE @ratio@ >= 0.6::DOUBLE @children@),
+held AS (SELECT doc_id, page_number, ordinal, arg_max(po, pr) AS po, min(pr) AS first_rank, any_value(child_rank) AS child_rank FROM pairs GROUP BY 1, 2, 3),
 grp AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY place) AS k FROM (
-    SELECT par.doc_id, par.page_number, po, any_value(t.element_type) AS ptype, any_value(t.element_id) AS pid, min({'f': first_rank, 'c': par.child_rank}) AS place,
-      list({'o': c.ordinal, 't': c.element_type, 'id': c.element_id} ORDER BY c.y, c.x, first_rank, par.child_rank) AS kids
-    FROM par JOIN e t ON t.doc_id = par.doc_id AND t.page_number = par.page_number AND t.ordinal = par.po JOIN e c ON c.doc_id = par.doc_id AND c.page_number = par.page_number AND c.ordinal = par.ordinal
+    SELECT held.doc_id, held.page_number, po, any_value(t.element_type) AS ptype, any_value(t.element_id) AS pid, min({'f': first_rank, 'c': held.child_rank}) AS place,
+      list({'o': c.ordinal, 't': c.element_type, 'id': c.element_id, 'ref': c.@ref@} ORDER BY c.y, c.x, first_rank, held.child_rank) AS kids
+    FROM held JOIN e t ON t.doc_id = held.doc_id AND t.page_number = held.page_number AND t.ordinal = held.po JOIN e c ON c.doc_id = held.doc_id AND c.page_number = held.page_number AND c.ordinal = held.ordinal
     GROUP BY 1, 2, 3) WHERE ptype IN ('text', 'unknown', 'group')),
 fold(doc_id, page_number, k, texts, po, new_text, kids, pid, only_text, contents) AS (
-  SELECT doc_id, page_number, CAST(0 AS BIGINT), list(st ORDER BY ordinal), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), NULL::STRUCT(o INTEGER, t VARCHAR, id VARCHAR)[], CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR[])
+  SELECT doc_id, page_number, CAST(0 AS BIGINT), list(st ORDER BY ordinal), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), NULL::STRUCT(o INTEGER, t VARCHAR, id VARCHAR, ref VARCHAR)[], CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR[])
   FROM e WHERE (doc_id, page_number) IN (SELECT doc_id, page_number FROM grp) GROUP BY 1, 2
   UNION ALL
   SELECT doc_id, page_number, k, [CASE WHEN j = po + 1 AND len(parts) > 0 THEN array_to_string(parts, chr(10)) ELSE texts[j] END FOR j IN range(1, len(texts) + 1)], po, CASE WHEN len(parts) > 0 THEN array_to_string(parts, chr(10)) END,
-    kids, pid, ptype = 'text' AND len([c FOR c IN kids IF c.t <> 'text']) = 0, [CASE WHEN c.t = 'image' THEN '![' || c.id || '](image-not-exported)' ELSE texts[c.o + 1] END FOR c IN kids]
+    kids, pid, ptype = 'text' AND len([c FOR c IN kids IF c.t <> 'text']) = 0, [CASE WHEN c.t = 'image' THEN '![' || c.id || '](' || coalesce(nullif(c.ref, ''), 'image-not-exported') || ')' ELSE texts[c.o + 1] END FOR c IN kids]
   FROM (SELECT f.doc_id, f.page_number, g.k, f.texts, g.po, g.kids, g.pid, g.ptype,
       list_reduce([f.texts[c.o + 1] FOR c IN g.kids IF c.t = 'text' AND f.texts[c.o + 1] <> ''], lambda acc, v: CASE WHEN list_contains(acc, v) THEN acc ELSE list_append(acc, v) END,
         CASE WHEN f.texts[g.po + 1] <> '' THEN [f.texts[g.po + 1]] ELSE CAST([] AS VARCHAR[]) END) AS parts
     FROM fold f JOIN grp g ON g.doc_id = f.doc_id AND g.page_number = f.page_number AND g.k = f.k + 1)),
 top AS (SELECT * FROM fold WHERE k > 0),
-kid AS (SELECT doc_id, page_number, unnest(kids).o AS ordinal, pid FROM top)
+kid AS (SELECT doc_id, page_number, unnest(kids).o AS ordinal, pid FROM top)"""
+
+
+def merge_ctes(children: str = "", ref: str = "image_ref") -> str:
+    """From ``area`` and ``e`` to ``top`` (containers with their new texts) and ``kid`` (what they hold)."""
+    return _MERGE_CTES.replace("@same@", _SAME).replace("@ratio@", _ratio("b", "a")).replace("@children@", children).replace("@ref@", ref)
+
+
+_MERGE = f"WITH RECURSIVE {_L},\n" + merge_ctes() + """
 SELECT doc_id, page_number, e.ordinal, coalesce(new_text, text) AS text, kid.pid AS absorbed_by, CASE WHEN only_text THEN array_to_string([c.id FOR c IN kids], ',') END AS merged_children,
   CASE WHEN NOT only_text AND len([v FOR v IN contents IF v <> '']) > 0 THEN CAST(to_json([{'element_id': kids[j].id, 'type': kids[j].t, 'content': contents[j]} FOR j IN range(1, len(kids) + 1) IF contents[j] <> '']) AS VARCHAR) END AS absorbed_children
 FROM e LEFT JOIN (SELECT doc_id, page_number, po AS ordinal, * EXCLUDE (doc_id, page_number, po, pid) FROM top) t USING (doc_id, page_number, ordinal) LEFT JOIN kid USING (doc_id, page_number, ordinal)"""

@@ -231,8 +231,28 @@ def markdown_page(spark, d):
     return markdown.render_pages(frames.pages(spark, d), _stored(frames.elements(spark, d)), CFG)
 
 
+def _parsed(spark, d):
+    return pipeline.parse(frames.pages(spark, d), frames.elements(spark, d), _cells(spark, d), CFG)
+
+
 def markdown_document(spark, d):
-    return pipeline.parse(frames.pages(spark, d), frames.elements(spark, d), _cells(spark, d), CFG).markdown()
+    return _parsed(spark, d).markdown()
+
+
+def pipeline_elements(spark, d):
+    return _parsed(spark, d).elements.select("element_uid", "text", "absorbed_by", "table_ordinal", "image_ordinal")
+
+
+def pipeline_order(spark, d):
+    return _parsed(spark, d).ordered.select("element_uid", "read_ord", "spatial_group")
+
+
+def pipeline_relations(spark, d):
+    return _parsed(spark, d).relations.select(*PAGE, "rel_idx", "relation_type", "source_element_id", "target_element_id", "confidence", "method", "caption_text")
+
+
+def pipeline_blocks(spark, d):
+    return _parsed(spark, d).blocks.select(*PAGE, "block_idx", "block_id", "kind", "level", "title_text", F.array_join("element_ids", ",").alias("element_ids"), "parent_block_id", F.array_join("section_path", " > ").alias("section_path"))
 
 
 # ---- chunks, reports, evaluation
@@ -245,8 +265,7 @@ def rag_split(spark, d):
 
 
 def rag_chunks(spark, d):
-    parsed = pipeline.parse(frames.pages(spark, d), frames.elements(spark, d), _cells(spark, d), CFG)
-    return parsed.chunks().select("doc_id", "chunk_id", "page_number", "text", "block_id", "block_kind", F.array_join("element_ids", ",").alias("element_ids"), "outline_level", "parent_block_id", F.array_join("section_path", " > ").alias("section_path"))
+    return _parsed(spark, d).chunks().select("doc_id", "chunk_id", "page_number", "text", "block_id", "block_kind", F.array_join("element_ids", ",").alias("element_ids"), "outline_level", "parent_block_id", F.array_join("section_path", " > ").alias("section_path"))
 
 
 def rag_chunks_elements(spark, d):
@@ -263,11 +282,35 @@ def debug_report_counts(spark, d):
 
 
 def debug_report(spark, d):
-    return pipeline.parse(frames.pages(spark, d), frames.elements(spark, d), _cells(spark, d), CFG).debug()
+    """What the reports say, read back from their JSON."""
+    page = "struct<elements:array<struct<text_preview:string>>,caption_candidate_decisions:array<struct<rejected_reason:string>>>"
+    r = F.from_json("report", f"num_pages long, num_blocks long, num_relations long, pages array<{page}>")
+    got = _parsed(spark, d).debug().select("doc_id", r.alias("r"))
+    flat = lambda name: F.flatten(F.filter(F.transform("r.pages", lambda p: p[name]), lambda x: x.isNotNull()))
+    chars = F.aggregate(flat("elements"), F.lit(0).cast("long"), lambda a, e: a + F.length(e["text_preview"]))
+    decisions = flat("caption_candidate_decisions")
+    rejected = F.size(F.filter(decisions, lambda x: x["rejected_reason"].isNotNull()))
+    return got.select("doc_id", "r.num_pages", "r.num_blocks", "r.num_relations", F.size(flat("elements")).alias("elements"), chars.alias("preview_chars"), F.size(decisions).alias("decisions"), rejected.alias("rejected"))
 
 
 def parsed_json(spark, d):
-    return pipeline.parse(frames.pages(spark, d), frames.elements(spark, d), _cells(spark, d), CFG).json()
+    """What the documents hold, counted in their JSON: elements, cells and their boxes, absorbed elements, labels, relations
+    with the parts of their scores, blocks."""
+    cell = "struct<cell_bbox:struct<x:double>,absorbed_elements:array<struct<element_id:string,containment:double>>>"
+    element = f"struct<element_id:string,metadata:struct<table_cells:array<{cell}>,annotations:array<struct<element_id:string,text:string>>>>"
+    relation = "struct<relation_type:string,metadata:struct<rule_score:double,score_breakdown:struct<proximity:double>>>"
+    j = F.from_json("json", f"pages array<struct<elements:array<{element}>>>, relations array<{relation}>, blocks array<struct<block_id:string>>")
+    got = _parsed(spark, d).json().select("doc_id", j.alias("j"))
+    here = lambda x: x.isNotNull()
+    parts = lambda lists: F.flatten(F.filter(lists, here))
+    elements = parts(F.transform("j.pages", lambda p: p["elements"]))
+    cells = parts(F.transform(elements, lambda e: e["metadata"]["table_cells"]))
+    scored = F.filter("j.relations", lambda r: r["metadata"]["rule_score"].isNotNull() & r["metadata"]["score_breakdown"]["proximity"].isNotNull())
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return got.select(
+        "doc_id", n("j.pages").alias("pages"), n(elements).alias("elements"), n(cells).alias("cells"), n(F.filter(cells, lambda c: c["cell_bbox"]["x"].isNotNull())).alias("boxed_cells"),
+        n(parts(F.transform(cells, lambda c: c["absorbed_elements"]))).alias("absorbed"), n(parts(F.transform(elements, lambda e: e["metadata"]["annotations"]))).alias("annotations"), n("j.relations").alias("relations"), n(scored).alias("scored"), n("j.blocks").alias("blocks"),
+    )
 
 
 def _two_orders(spark, d):
@@ -367,7 +410,7 @@ _QUERIES = (
     p4_found, bbox_normalize, containment_parent, containment_merge, table_cell_bbox, table_absorb_best_cell, table_absorb, image_annotation_absorb, noise_filter, document_order, order_choice, row_clustering,
     xy_cut_order, composite_order, reading_order, title_of, caption_score, caption_assignment, caption_verified, no_candidate_log, caption_map_last_wins, section_path, block_kinds, bbox_union,
     table_header_rows, pipe_table, html_table, nested_html, col_width_pct, md_linebreaks, img_md_to_html, column_break, markdown_page, markdown_document, rag_split, rag_chunks, rag_chunks_elements,
-    debug_report_counts, debug_report, parsed_json, kendall_tau, edit_distance_norm, relation_prf, golden_report, caption_baseline, autonum_format, roman_numeral, dominant_style, merge_runs, wrap_runs,
+    pipeline_elements, pipeline_order, pipeline_relations, pipeline_blocks, debug_report_counts, debug_report, parsed_json, kendall_tau, edit_distance_norm, relation_prf, golden_report, caption_baseline, autonum_format, roman_numeral, dominant_style, merge_runs, wrap_runs,
 )
 
 
@@ -377,6 +420,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from leafstack.plans.oracles import ORACLES
+    from leafstack.plans import oracles, pipeline_oracles
 
-    return dict(ORACLES)
+    return oracles.ORACLES | pipeline_oracles.ORACLES
