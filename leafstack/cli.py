@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafstack.common import Scratch
 from leafstack.config import ParserConfig
-from leafstack.operators import relations
+from leafstack.operators import evaluate, relations
 from leafstack.plans import pipeline
 from leafstack.sources import reader
 from leafstack.sources.package import Options
@@ -23,6 +23,8 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("input_path", help="a package (.pptx, .docx, .xlsx, .hwpx and kin) or a folder of them")
     for flag, what in (("json", "parsed documents"), ("md", "Markdown"), ("rag-json", "retrieval chunks"), ("debug-json", "debug reports")):
         p.add_argument(f"--output-{flag}", help=f"where to write {what}: a file, or a folder for many packages")
+    p.add_argument("--golden-dir", help="folder of *.golden.json labels, whose sources are paths below the input folder")
+    p.add_argument("--output-eval-json", help="where to write the evaluation against the labels")
     p.add_argument("--assets-dir", help="folder for image files")
     p.add_argument("--config-json", help="file with knobs that differ from the defaults")
     p.add_argument("--reading-order", choices=["composite", "row_clustering", "xy_cut"])
@@ -64,6 +66,16 @@ def chunk_json(chunks: DataFrame) -> DataFrame:
     return got.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("json"))
 
 
+def evaluation(got: pipeline.Parsed, golden_dir: str, folder: str, example: str) -> dict:
+    """Summary and results of the labelled documents; ids of documents begin like ``example``, with a scheme or without."""
+    scheme = example[: example.find(folder)] if folder in example else ""
+    golden = evaluate.read_golden(got.pages.sparkSession, golden_dir, f"{scheme}{folder}/")
+    rows = [r.asDict() for r in evaluate.golden_evaluation(golden, got.pages, got.ordered, got.relations).orderBy("doc_id").toLocalIterator()]
+    done = [r for r in rows if r["status"] == "ok"]
+    mean = lambda k: round(sum(r[k] for r in done) / max(len(done), 1), 4)
+    return {"summary": {"num_golden_files": len(rows), "num_evaluated": len(done), "avg_kendall_tau": mean("avg_tau"), "avg_normalised_edit_distance": mean("avg_ned")}, "config": dataclasses.asdict(got.config), "results": rows}
+
+
 def _one(df: DataFrame, empty: str) -> str:
     row = df.first()  # a single package is one row
     return empty if row is None else row[1]
@@ -91,6 +103,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             got, frames = parsed(spark, args.input_path, config(args), args.assets_dir, strict=not many)
             if args.assets_dir:
                 save_assets(frames.assets, args.assets_dir)
+            if args.golden_dir and args.output_eval_json:
+                root = frames.pages.agg(F.min("doc_id")).first()[0] or ""
+                _save(args.output_eval_json, json.dumps(evaluation(got, args.golden_dir, os.path.abspath(args.input_path), root), ensure_ascii=False, indent=2))
             outputs = {"json": (args.output_json, got.json, "{}"), "md": (args.output_md, got.markdown, ""), "rag": (args.output_rag_json, lambda: chunk_json(got.chunks()), "[]"), "debug": (args.output_debug_json, got.debug, "{}")}
             for name, (path, make, empty) in outputs.items():
                 if many:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP = ["doc_id", "page_number"]
@@ -94,3 +96,59 @@ def caption_baseline(elements: DataFrame, relations: DataFrame, decisions: DataF
     got = both.rollup("doc_id").agg(*(F.sum(c).alias(c) for c in ("pages", "images", "captions", "decisions", "rejected")))
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return got.select("*", ratio("captions", "images").alias("caption_density_per_image"), ratio("rejected", "decisions").alias("rejection_rate"))
+
+
+GOLDEN = "source string, pages array<struct<page_number:int,expected_reading_order:array<string>,expected_relations:array<struct<type:string,source:string,target:string>>>>"
+
+
+@dataclasses.dataclass(frozen=True)
+class Golden:
+    """Labels of documents: pages (doc_id, page_number), order (with id, pos) and relations (with page_number)."""
+
+    documents: DataFrame
+    pages: DataFrame
+    order: DataFrame
+    relations: DataFrame
+
+
+def read_golden(spark: SparkSession, folder: str, root: str = "") -> Golden:
+    """Labels from the files ``*.golden.json`` below ``folder``; ``root`` goes before the path of their ``source``.
+
+    A page without labelled order or relations has none; an id that an order names twice counts where it stands last.
+    """
+    raw = spark.read.schema(GOLDEN).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.golden.json").json(folder)
+    labels = raw.filter("source IS NOT NULL").select(F.concat(F.lit(root), "source").alias("doc_id"), "pages")
+    pages = labels.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
+    order = pages.select("doc_id", "page_number", F.posexplode("expected_reading_order").alias("pos", "id"))
+    rels = pages.select("doc_id", "page_number", F.explode("expected_relations").alias("r"))
+    rels = rels.select("doc_id", "page_number", F.col("r.type").alias("relation_type"), F.col("r.source").alias("source_element_id"), F.col("r.target").alias("target_element_id"))
+    return Golden(labels.select("doc_id").distinct(), pages.select("doc_id", "page_number").distinct(), order, rels)
+
+
+def golden_evaluation(golden: Golden, pages: DataFrame, ordered: DataFrame, relations: DataFrame, digits: int = 4) -> DataFrame:
+    """Per labelled document: ``status`` (ok, or missing where it wasn't parsed), labelled pages that were found and not
+    found, mean tau and edit similarity over those found, and precision, recall and F1 of their relations.
+
+    Relations of pages without labels don't count. A document none of whose labelled pages was found has zeros.
+    """
+    here = pages.select("doc_id", "page_number").distinct()
+    found = golden.pages.join(here, GROUP, "left_semi")
+    order = golden.order.join(found, GROUP, "left_semi")
+    predicted = ordered.join(found, GROUP, "left_semi").select(*GROUP, F.col("element_id").alias("id"), F.col("read_ord").alias("pos"))
+    tau = found.join(kendall_tau(order, predicted), GROUP, "left").select(*GROUP, F.coalesce("tau", F.lit(1.0)).alias("tau"))
+    ned = found.join(edit_similarity(order, predicted), GROUP, "left").select(*GROUP, F.coalesce("ned", F.lit(1.0)).alias("ned"))
+    scores = tau.join(ned, GROUP).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.avg("tau").alias("avg_tau"), F.avg("ned").alias("avg_ned"))
+    prf = relation_prf(golden.relations.join(found, GROUP, "left_semi"), relations.join(found, GROUP, "left_semi"), keys=["doc_id"]).filter("relation_type = '_overall'").select("doc_id", "precision", "recall", "f1")
+    lost = golden.pages.join(here, GROUP, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_not_found"))
+    parsed = here.select("doc_id").distinct().withColumn("status", F.lit("ok"))
+    out = golden.documents.join(parsed, "doc_id", "left").join(scores, "doc_id", "left").join(lost, "doc_id", "left").join(prf, "doc_id", "left")
+    zero = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), digits).alias(c)
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("doc_id", F.coalesce("status", F.lit("missing")).alias("status"), count("pages"), count("pages_not_found"), *(zero(c) for c in ("avg_tau", "avg_ned", "precision", "recall", "f1")))
+
+
+def review_sample(relations: DataFrame, size: int = 50, seed: int = 0) -> DataFrame:
+    """``size`` caption relations to be judged by hand, chosen by hash, so that the same data give the same sample."""
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", F.col("page_number").cast("string"), "source_element_id", "target_element_id"))
+    picked = relations.filter("relation_type = 'caption_of'").withColumn("__mark", mark).orderBy("__mark", "doc_id", "rel_idx").limit(size)
+    return picked.select("doc_id", "page_number", "source_element_id", "target_element_id", "confidence", F.lit("correct_caption_link, wrong_link or missing_link").alias("labels"))

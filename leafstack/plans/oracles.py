@@ -414,6 +414,11 @@ ORACLES = {
         SELECT element_uid, level, first AS parent_ordinal, path FROM up WHERE cur IS NULL""",
     "block_kinds": f"WITH {_BLOCKS} SELECT doc_id, page_number, block_idx, {_BID.format('block_idx')} AS block_id, kind, level, title_text, coalesce(element_ids, '') AS element_ids, CASE WHEN pidx IS NOT NULL THEN {_BID.format('pidx')} END AS parent_block_id FROM blk LEFT JOIN ids USING (doc_id, page_number, block_idx)",
     "bbox_union": f"WITH {_BLOCKS} SELECT doc_id, page_number, block_idx, min(x) AS x, min(y) AS y, greatest(max(x + width) - min(x), 0.0::DOUBLE) AS width, greatest(max(y + height) - min(y), 0.0::DOUBLE) AS height FROM it GROUP BY 1, 2, 3 HAVING min(x) IS NOT NULL",
+    "caption_review_sample": f"""WITH {_CAND} SELECT doc_id, page_number, source_element_id, visual_element_id AS target_element_id, score AS confidence, 'correct_caption_link, wrong_link or missing_link' AS labels
+        FROM (SELECT *, printf('E_001_%04d', text_ordinal + 1) AS source_element_id FROM judged) WHERE rejected_reason IS NULL AND relation_type = 'caption_of'
+        ORDER BY md5('0|' || doc_id || '|' || page_number || '|' || source_element_id || '|' || visual_element_id) LIMIT 50""",
+    "title_scores": f"""WITH {_E} SELECT a.doc_id, a.page_number, a.ordinal AS source_ordinal, count(*) AS targets, 0.7::DOUBLE AS score FROM e a JOIN e b ON {_SAME} AND a.ordinal <> b.ordinal
+        WHERE a.is_placeholder OR (a.element_type = 'text' AND a.st <> '' AND length(a.st) <= 80 AND NOT contains(a.st, chr(10))) GROUP BY 1, 2, 3""",
     "table_header_rows": f"WITH {_HEAD} SELECT doc_id, page_number, ordinal, max_row, header_rows FROM hdr",
     "pipe_table": f"""WITH {_C}, one AS (SELECT doc_id, page_number, ordinal, row_idx, col_idx, arg_max(text, cell_idx) AS text FROM use GROUP BY ALL),
         dim AS (SELECT doc_id, page_number, ordinal, max(row_idx) AS nr, max(col_idx) AS nc FROM one GROUP BY ALL),

@@ -349,6 +349,14 @@ def caption_baseline(spark, d):
     return evaluate.caption_baseline(dense, *relations.relations(dense, WIDE))
 
 
+def caption_review_sample(spark, d):
+    return evaluate.review_sample(relations.relations(_stored(_dense(spark, d)), WIDE)[0])
+
+
+def title_scores(spark, d):
+    return relations.title_scores(_stored(frames.elements(spark, d)), CFG).groupBy(*PAGE, "source_ordinal").agg(F.count(F.lit(1)).alias("targets"), F.max("score").alias("score"))
+
+
 # ---- text runs
 
 
@@ -410,7 +418,7 @@ _QUERIES = (
     p4_found, bbox_normalize, containment_parent, containment_merge, table_cell_bbox, table_absorb_best_cell, table_absorb, image_annotation_absorb, noise_filter, document_order, order_choice, row_clustering,
     xy_cut_order, composite_order, reading_order, title_of, caption_score, caption_assignment, caption_verified, no_candidate_log, caption_map_last_wins, section_path, block_kinds, bbox_union,
     table_header_rows, pipe_table, html_table, nested_html, col_width_pct, md_linebreaks, img_md_to_html, column_break, markdown_page, markdown_document, rag_split, rag_chunks, rag_chunks_elements,
-    pipeline_elements, pipeline_order, pipeline_relations, pipeline_blocks, debug_report_counts, debug_report, parsed_json, kendall_tau, edit_distance_norm, relation_prf, golden_report, caption_baseline, autonum_format, roman_numeral, dominant_style, merge_runs, wrap_runs,
+    pipeline_elements, pipeline_order, pipeline_relations, pipeline_blocks, debug_report_counts, debug_report, parsed_json, kendall_tau, edit_distance_norm, relation_prf, golden_report, caption_baseline, caption_review_sample, title_scores, autonum_format, roman_numeral, dominant_style, merge_runs, wrap_runs,
 )
 
 
