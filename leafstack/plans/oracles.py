@@ -354,6 +354,23 @@ ORACLES = {
         SELECT l_orderkey, ordinal, printf('%04d', ordinal + 1) AS number, element_type, text, is_placeholder, least(1.0::DOUBLE, px / 9144000.0::DOUBLE) AS x, least(1.0::DOUBLE, py / 6858000.0::DOUBLE) AS y,
           greatest(1e-6::DOUBLE, least(1.0::DOUBLE, w / 9144000.0::DOUBLE)) AS width, greatest(1e-6::DOUBLE, least(1.0::DOUBLE, h / 6858000.0::DOUBLE)) AS height, crop FROM a""",
     "pptx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, CASE WHEN tall THEN 2 ELSE 1 END AS span_height, wide OR tall AS is_merge_origin FROM gr",
+    "pptx_layers_roundtrip": f"""WITH s AS (SELECT DISTINCT s_suppkey AS k, {_strip('s_name').replace('(SELECT ws FROM white)', _WS)} AS name FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY k // 16 ORDER BY k) AS page FROM s),
+        q(k, ordinal, element_type, text, is_placeholder, image_ref, image_width, px, py, w, h) AS (
+          SELECT k, 0, 'text', name, true, NULL, NULL, 914400, 685800, 4572000, 685800 FROM r UNION ALL SELECT k, 1, 'text', 'B' || k, true, NULL, NULL, 457200, 1371600, 4572000, 3429000 FROM r
+          UNION ALL SELECT k, 2, 'image', NULL, false, printf('slide%03d_shape0003.png', page), 100, 0, 0, 952500, 952500 FROM r UNION ALL SELECT k, 3, 'chart', NULL, false, NULL, NULL, 0, 0, 9144000, 6858000 FROM r
+          UNION ALL SELECT k, 4, 'text', 'F' || k || chr(10) || '[MATH] x + y', false, NULL, NULL, 0, 0, 0, 0 FROM r UNION ALL SELECT k, 5, 'text', 'Layout text', true, NULL, NULL, 0, 6172200, 914400, 342900 FROM r WHERE page = 1
+          UNION ALL SELECT k, 6, 'text', 'Company', false, NULL, NULL, 0, 0, 914400, 342900 FROM r WHERE page = 1)
+        SELECT k AS s_suppkey, ordinal, element_type, text, is_placeholder, image_ref, image_width, px / 9144000.0::DOUBLE AS x, py / 6858000.0::DOUBLE AS y, greatest(1e-6::DOUBLE, w / 9144000.0::DOUBLE) AS width, greatest(1e-6::DOUBLE, h / 6858000.0::DOUBLE) AS height FROM q""",
+    "docx_drawings_roundtrip": f"""WITH s AS (SELECT DISTINCT s_suppkey AS k, {_strip('s_name').replace('(SELECT ws FROM white)', _WS)} AS name FROM supplier),
+        b AS (SELECT *, k % 50 * 10000 / 7772400.0::DOUBLE AS bx, k % 30 * 20000 / 10058400.0::DOUBLE AS bb, 720.0::DOUBLE / 15840.0::DOUBLE AS top, 720.0::DOUBLE / 12240.0::DOUBLE AS inset FROM s)
+        SELECT k AS s_suppkey, 0 AS ordinal, 'text' AS element_type, 'Box' || k AS text, 102 AS z_order, 'floating_textbox' AS layout, NULL AS image_ref, bx AS x, bb AS y, least(1828800 / 7772400.0::DOUBLE, 1.0::DOUBLE - bx) AS width, least(914400 / 10058400.0::DOUBLE, 1.0::DOUBLE - bb) AS height FROM b
+        UNION ALL SELECT k, 1, 'image', NULL, 4, 'inline', 'pic.png', 457200 / 7772400.0::DOUBLE, 457200 / 10058400.0::DOUBLE, 914400 / 7772400.0::DOUBLE, 914400 / 10058400.0::DOUBLE FROM b
+        UNION ALL SELECT k, 2, 'text', name, 5, 'flow', NULL, inset, top + 0.025::DOUBLE + 0.025::DOUBLE, 10800.0::DOUBLE / 12240.0::DOUBLE, 0.025::DOUBLE FROM b""",
+    "hwpx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, CASE WHEN tall THEN 2 ELSE 1 END AS span_height, NOT is_spanned AS is_merge_origin FROM gr",
+    "xlsx_drawings_roundtrip": f"""WITH s AS (SELECT DISTINCT s_suppkey AS k, {_strip('s_name').replace('(SELECT ws FROM white)', _WS)} AS name FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY k // 16 ORDER BY k) AS page FROM s)
+        SELECT k AS s_suppkey, 0 AS ordinal, 'table' AS element_type, k || ' | ' || chr(10) || ' | ' || name AS text, NULL AS image_ref, 'S' || k AS sheet_name, 0.02::DOUBLE AS x, 0.0::DOUBLE AS y, 0.96::DOUBLE AS width, 0.9::DOUBLE AS height, '1 1' AS col_widths FROM r
+        UNION ALL SELECT k, 1, 'image', NULL, 'sheet' || page || '_img1.png', NULL, k % 2 / 2, k % 4 / 4, 0.5::DOUBLE, 0.25::DOUBLE, NULL FROM r
+        UNION ALL SELECT k, 2, 'chart', CASE WHEN k % 2 = 1 THEN name ELSE 'Chart 1' END, NULL, NULL, 0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.25::DOUBLE, NULL FROM r""",
     "docx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, 1 AS span_height, NOT is_spanned AS is_merge_origin FROM gr",
     "docx_structure_roundtrip": f"""WITH {_LINES}, q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS i, l FROM ln WHERE l <> '')
         SELECT doc_id, i - 1 AS ordinal, CASE WHEN i % 4 = 2 THEN repeat('  ', i % 3) || '- ' || l ELSE l END AS text, i % 4 = 1 AS is_heading, CASE WHEN i % 4 = 1 THEN 1 + i % 3 END AS heading_level, i % 4 = 2 AS is_list_item,

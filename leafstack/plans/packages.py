@@ -265,4 +265,120 @@ def xlsx_values_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("l_orderkey", "row_idx", "col_idx", "text", "is_spanned", "span_width")
 
 
-QUERIES = (pptx_runs_roundtrip, pptx_numbering_roundtrip, pptx_shapes_roundtrip, pptx_tables_roundtrip, docx_tables_roundtrip, docx_structure_roundtrip, xlsx_values_roundtrip)
+# ---- what packages keep in other parts: layouts, masters, pictures, drawings
+
+PNG = bytes.fromhex("89504e470d0a1a0a")
+_NS = 'xmlns:wp="urn:wp" xmlns:wps="urn:wps" xmlns:r="urn:r" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:c="urn:c" xmlns:xdr="urn:xdr"'
+
+
+def _ranked_by(rows: DataFrame, key: str) -> DataFrame:
+    keys = rows.select(key).distinct().withColumn("doc", F.floor(F.col(key) / PER_PACKAGE))
+    return keys.withColumn("page_number", F.row_number().over(Window.partitionBy("doc").orderBy(key)))
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", "s_name").distinct()
+
+
+def _found(made: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    return _elements(made).withColumn("doc", _package()).join(_ranked_by(rows, key), ["doc", "page_number"])
+
+
+def pptx_layers_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Places inherited from layout and master, their own shapes once in a deck and without template texts, pictures, charts
+    and formulas."""
+    rows = _suppliers(spark, d)
+    head = lambda kind, mark="": f'<p:nv{kind}Pr><p:cNvPr id="2" name="N"/><p:nvPr>{mark}</p:nvPr></p:nv{kind}Pr>'
+    sp = lambda text, mark="", box="", more="": f'<p:sp>{head("Sp", mark)}{box or "<p:spPr/>"}<p:txBody><a:p><a:r><a:t>{clean(text)}</a:t></a:r></a:p>{more}</p:txBody></p:sp>'
+    ph = lambda **a: f"<p:ph {' '.join(f'{k}={chr(34)}{v}{chr(34)}' for k, v in a.items())}/>"
+    layer = lambda tag, shapes: f"<p:{tag} {writer.P} {writer.A}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:{tag}>"
+    math = f"<a:p {_NS}><m:oMath><m:r><m:t>x</m:t></m:r><m:r><m:t>+ y</m:t></m:r></m:oMath></a:p>"
+    layout = sp("Click to edit Master title", ph(type="title"), _place(914400, 685800, 4572000, 685800)) + sp("Layout text", ph(idx=7, type="ftr"), _place(0, 6172200, 914400, 342900)) + sp("Company", "", _place(0, 0, 914400, 342900))
+    master = sp("Second level", ph(type="body", idx=9), _place(457200, 1371600, 4572000, 3429000))
+
+    def slide(r: dict) -> str:
+        key = r["s_suppkey"]
+        pic = f'<p:pic {_NS}>{head("Pic")}<p:blipFill><a:blip r:embed="rId9"/></p:blipFill>{_place(0, 0, 952500, 952500)}</p:pic>'
+        chart = f'<p:graphicFrame {_NS}>{head("GraphicFrame")}<p:xfrm><a:off x="0" y="0"/><a:ext cx="{WIDE}" cy="{HIGH}"/></p:xfrm><a:graphic><a:graphicData><c:chart r:id="rId5"/></a:graphicData></a:graphic></p:graphicFrame>'
+        return sp(r["s_name"], ph(type="ctrTitle")) + sp(f"B{key}", ph(idx=3, type="subTitle")) + pic + chart + sp(f"F{key}", "", _place(0, 0, 0, 0), math)
+
+    def make(slides: list[list[dict]]) -> bytes:
+        more: dict[str, str | bytes] = {
+            "ppt/slideLayouts/slideLayout1.xml": layer("sldLayout", layout), "ppt/slideMasters/slideMaster1.xml": layer("sldMaster", master), "ppt/media/image1.png": PNG,
+            "ppt/slideLayouts/_rels/slideLayout1.xml.rels": writer.relations({"rId1": ("slideMaster", "../slideMasters/slideMaster1.xml")}),
+        }
+        rels = {i: {"rId1": ("slideLayout", "../slideLayouts/slideLayout1.xml"), "rId9": ("image", "../media/image1.png")} for i in range(1, len(slides) + 1)}
+        return writer.deck([slide(x[0]) for x in slides], more, rels)
+
+    got = _found(packed(rows, "s_suppkey", ["s_name"], make, "pptx"), rows, "s_suppkey")
+    return got.select("s_suppkey", "ordinal", "element_type", "text", F.coalesce("is_placeholder", F.lit(False)).alias("is_placeholder"), "image_ref", "image_width", "x", "y", "width", "height")
+
+
+def docx_drawings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Floating text boxes, inline pictures and the flow between them, one section for each supplier."""
+    rows = _suppliers(spark, d)
+    section = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:left="720" w:right="720" w:top="720" w:bottom="720"/></w:sectPr>'
+
+    def part(r: dict) -> str:
+        key = r["s_suppkey"]
+        place = lambda axis, at: f'<wp:position{axis} relativeFrom="page"><wp:posOffset>{at}</wp:posOffset></wp:position{axis}>'
+        anchor = f'<wp:anchor behindDoc="0">{place("H", key % 50 * 10000)}{place("V", key % 30 * 20000)}<wp:extent cx="1828800" cy="914400"/><wps:txbx><w:txbxContent><w:p><w:r><w:t>Box{key}</w:t></w:r></w:p></w:txbxContent></wps:txbx></wp:anchor>'
+        inline = '<wp:inline><wp:extent cx="914400" cy="914400"/><a:blip r:embed="rId7"/></wp:inline>'
+        drawing = lambda x: f"<w:p><w:r><w:drawing>{x}</w:drawing></w:r></w:p>"
+        return f"{drawing(anchor)}{drawing(inline)}<w:p><w:r><w:t>{clean(r['s_name'])}</w:t></w:r></w:p>{section}"
+
+    def make(slides: list[list[dict]]) -> bytes:
+        body = "".join(part(x[0]) for x in slides)
+        rels = writer.relations({"rId7": ("image", "media/pic.png")})
+        return writer.zipped({"word/document.xml": f"<w:document {writer.W} {writer.A} {_NS}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": rels, "word/media/pic.png": PNG})
+
+    got = _found(packed(rows, "s_suppkey", ["s_name"], make, "docx"), rows, "s_suppkey")
+    return got.select("s_suppkey", "ordinal", "element_type", "text", "z_order", "layout", "image_ref", "x", "y", "width", "height")
+
+
+def hwpx_tables_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of Hangul tables with spans, one section for each order."""
+    lines = _lined(spark, d).select(*_GRID)
+
+    def make(slides: list[list[dict]]) -> bytes:
+        parts = {}
+        for k, rows in enumerate(slides):
+            body = ""
+            for at, (_, cells) in enumerate(_third(rows)):
+                wide, goes_on, more = cells[0][1] == "wide", cells[2][1] == "goes on", at + 1 < len(rows)
+                row = f'<hp:tc{" colSpan=" + chr(34) + "2" + chr(34) if wide else ""}><hp:p><hp:t>{cells[0][0]}</hp:t></hp:p></hp:tc>'
+                row += "" if wide else f"<hp:tc><hp:p><hp:t>{cells[1][0]}</hp:t></hp:p></hp:tc>"
+                row += "" if goes_on else f'<hp:tc{" rowSpan=" + chr(34) + "2" + chr(34) if wide and more else ""}><hp:p><hp:t>{cells[2][0]}</hp:t></hp:p></hp:tc>'
+                body += f"<hp:tr>{row}</hp:tr>"
+            parts[f"Contents/section{k}.xml"] = f"<hp:sec {writer.H}><hp:p><hp:run><hp:t>before</hp:t></hp:run></hp:p><hp:tbl>{body}</hp:tbl></hp:sec>"
+        return writer.zipped(parts)
+
+    return _cells(packed(lines, "l_orderkey", ["n"], make, "hwpx"), _ranked(lines))
+
+
+def xlsx_drawings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures and charts of sheets at the cell they hang on, one sheet for each supplier."""
+    rows = _suppliers(spark, d)
+
+    def make(slides: list[list[dict]]) -> bytes:
+        sheets, more = {}, {"xl/media/image1.png": PNG}
+        for i, (r,) in enumerate(slides, 1):
+            key = r["s_suppkey"]
+            anchor = lambda what, row, col: f"<xdr:oneCellAnchor><xdr:from><xdr:col>{col}</xdr:col><xdr:row>{row}</xdr:row></xdr:from>{what}</xdr:oneCellAnchor>"
+            drawing = anchor('<c:chart r:id="rId2"/>', 0, 1) + anchor('<a:blip r:embed="rId1"/>', key % 4, key % 2)
+            sheets[f"S{key}"] = f'<worksheet {writer.S}><sheetData><row r="1"><c r="A1"><v>{key}</v></c></row><row r="4"><c r="B4" t="inlineStr"><is><t>{clean(r["s_name"])}</t></is></c></row></sheetData></worksheet>'
+            more |= {
+                f"xl/worksheets/_rels/sheet{i}.xml.rels": writer.relations({"rId1": ("drawing", f"../drawings/drawing{i}.xml")}), f"xl/drawings/drawing{i}.xml": f"<xdr:wsDr {_NS} {writer.A}>{drawing}</xdr:wsDr>",
+                f"xl/drawings/_rels/drawing{i}.xml.rels": writer.relations({"rId1": ("image", "../media/image1.png"), "rId2": ("chart", f"../charts/chart{i}.xml")}),
+                f"xl/charts/chart{i}.xml": f"<c:chartSpace {_NS} {writer.A}><c:chart><c:title><a:t>{clean(r['s_name']) if key % 2 else ''}</a:t></c:title></c:chart></c:chartSpace>",
+            }
+        return writer.book(sheets, more)
+
+    got = _found(packed(rows, "s_suppkey", ["s_name"], make, "xlsx"), rows, "s_suppkey")
+    return got.select("s_suppkey", "ordinal", "element_type", "text", "image_ref", "sheet_name", "x", "y", "width", "height", F.array_join(F.transform("col_widths", lambda w: w.cast("int").cast("string")), " ").alias("col_widths"))
+
+
+QUERIES = (
+    pptx_runs_roundtrip, pptx_numbering_roundtrip, pptx_shapes_roundtrip, pptx_tables_roundtrip, pptx_layers_roundtrip, docx_tables_roundtrip, docx_structure_roundtrip, docx_drawings_roundtrip,
+    hwpx_tables_roundtrip, xlsx_values_roundtrip, xlsx_drawings_roundtrip,
+)
