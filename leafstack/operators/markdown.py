@@ -41,7 +41,10 @@ def column_break(previous: Column, current: Column) -> Column:
     return F.coalesce((previous != current) & F.startswith(part, F.lit("v")), F.lit(False))
 
 
-def _bodies(ordered: DataFrame, tables: DataFrame | None, labels: DataFrame | None, captions: DataFrame | None) -> DataFrame:
+def bodies(ordered: DataFrame, tables: DataFrame | None, labels: DataFrame | None, captions: DataFrame | None) -> DataFrame:
+    """``ordered`` with what its bodies need: ``table_body``, ``labels`` and ``caption``. Rows that have them already stay."""
+    if "table_body" in ordered.columns:
+        return ordered
     key = [*PAGE, "ordinal"]
     out = ordered
     out = out.join(tables.withColumnRenamed("html", "table_body"), key, "left") if tables is not None else out.withColumn("table_body", F.lit(None).cast("string"))
@@ -53,7 +56,7 @@ def _bodies(ordered: DataFrame, tables: DataFrame | None, labels: DataFrame | No
 
 def page_lines(ordered: DataFrame, cfg: ParserConfig, tables: DataFrame | None = None, labels: DataFrame | None = None, captions: DataFrame | None = None) -> DataFrame:
     """The rendered elements: page key, read_ord, body, whether a column break precedes, and the caption to show."""
-    rows = _bodies(ordered, tables, labels, captions)
+    rows = bodies(ordered, tables, labels, captions)
     past = Window.partitionBy(*PAGE).orderBy("read_ord").rowsBetween(Window.unboundedPreceding, -1)
     # A placeholder with text is the page's title unless an earlier body already began like one.
     opens = (F.col("element_type") == "text") & (tx.stripped(F.col("text")) != "") & F.coalesce("is_placeholder", F.lit(False))
@@ -95,7 +98,7 @@ def native_headings(blocks: DataFrame, ordered: DataFrame) -> DataFrame:
 
 def render_blocks(blocks: DataFrame, ordered: DataFrame, cfg: ParserConfig, tables: DataFrame | None = None, labels: DataFrame | None = None, captions: DataFrame | None = None, comment: bool = True) -> DataFrame:
     """(doc_id, markdown) by outline blocks; a caption shows once in its document."""
-    rows = _bodies(ordered, tables, labels, captions).withColumn("body", default_body(cfg, F.lit(True)))
+    rows = bodies(ordered, tables, labels, captions).withColumn("body", default_body(cfg, F.lit(True)))
     owned = blocks.select("doc_id", "page_number", "block_idx", "kind", F.col("title_text").alias("block_title"), F.posexplode("ordinals").alias("at", "ordinal"))
     parts = owned.join(rows.select(*PAGE, "ordinal", "text", "body", "caption"), [*PAGE, "ordinal"])
     own_title = (F.col("kind") == "heading") & (tx.tabs_shown(tx.stripped(F.col("text"))) == tx.tabs_shown(tx.stripped(F.col("block_title"))))
@@ -103,7 +106,7 @@ def render_blocks(blocks: DataFrame, ordered: DataFrame, cfg: ParserConfig, tabl
     first = F.row_number().over(Window.partitionBy("doc_id", "caption").orderBy("page_number", "block_idx", "at")) == 1
     said = F.when(F.nullif("caption", F.lit("")).isNotNull() & first, F.array(F.concat(F.lit("> "), F.col("caption")))).otherwise(F.array().cast("array<string>"))
     parts = parts.withColumn("part", F.concat(F.array("body"), said, F.array(F.lit(""))))
-    bodies = parts.groupBy(*PAGE, "block_idx").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p"))
+    shown_parts = parts.groupBy(*PAGE, "block_idx").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p"))
     w = Window.partitionBy(*PAGE).orderBy("block_idx")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     title = tx.tabs_shown(F.col("title_text"))
@@ -116,7 +119,7 @@ def render_blocks(blocks: DataFrame, ordered: DataFrame, cfg: ParserConfig, tabl
     gap = F.when(F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "block_idx")) > 1, F.array(F.lit(""))).otherwise(none)
     top = F.when(new_page, F.concat(gap, F.array(F.concat(F.lit("<!-- Page "), F.col("page_number").cast("string"), F.lit(" -->")), F.lit("")))).otherwise(none) if comment else none
     head = F.when(shown, F.array(F.concat(mark, F.lit(" "), title), F.lit(""))).when((F.col("kind") == "container") & (F.col("title_text") != ""), F.array(F.concat(F.lit("<!-- "), F.col("title_text"), F.lit(" -->")), F.lit(""))).otherwise(none)
-    both = blocks.withColumn("__top", top).withColumn("__head", head).join(bodies, [*PAGE, "block_idx"], "left")
+    both = blocks.withColumn("__top", top).withColumn("__head", head).join(shown_parts, [*PAGE, "block_idx"], "left")
     body = F.flatten(F.transform(F.coalesce("p", F.array().cast("array<struct<at:int,part:array<string>>>")), lambda x: x["part"]))
     got = both.select("doc_id", F.struct("page_number", "block_idx", F.concat("__top", "__head", body).alias("lines")).alias("s")).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return got.select("doc_id", F.concat(tx.strip(F.array_join(F.flatten(F.transform("s", lambda x: x["lines"])), "\n")), F.lit("\n")).alias("markdown"))

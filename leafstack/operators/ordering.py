@@ -121,20 +121,51 @@ def composite(elements: DataFrame, cfg: ParserConfig) -> DataFrame:
 STRATEGIES: dict[str, Callable[[DataFrame, ParserConfig], DataFrame]] = {"row": row_clustering, "row_clustering": row_clustering, "xy_cut": xy_cut, "composite": composite}
 
 
+def _as_stored(n: Column, flowing: Column, stacked: Column) -> Column:
+    meta = F.coalesce(F.col("layout_mode") == "page_metrics", F.lit(False)) | F.coalesce(F.col("source_format") == "docx", F.lit(False))
+    return meta | F.coalesce((flowing >= F.greatest(F.lit(3), F.floor(n / 2))) & (stacked >= 3), F.lit(False))
+
+
+def _flow_counts() -> tuple[Column, Column, Column]:
+    flow = F.coalesce(F.col("layout") == "flow", F.lit(False))
+    return F.count(F.lit(1)), F.sum(flow.cast("int")), F.sum((flow & (F.col("y") >= 0.99)).cast("int"))
+
+
 def uses_document_order(pages: DataFrame, elements: DataFrame) -> DataFrame:
     """Pages (key, ``as_stored``) with the mark of those kept in stored order: flowing documents, and pages where at least
     half of the elements (and three) flow and at least three of them are stacked at the bottom."""
-    flow = F.coalesce(F.col("layout") == "flow", F.lit(False))
-    counts = elements.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.sum(flow.cast("int")).alias("flowing"), F.sum((flow & (F.col("y") >= 0.99)).cast("int")).alias("stacked"))
-    meta = F.coalesce(F.col("layout_mode") == "page_metrics", F.lit(False)) | F.coalesce(F.col("source_format") == "docx", F.lit(False))
-    stack = F.coalesce((F.col("flowing") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2))) & (F.col("stacked") >= 3), F.lit(False))
-    return pages.join(counts, PAGE, "left").select(*PAGE, (meta | stack).alias("as_stored"))
+    counts = elements.groupBy(*PAGE).agg(*(c.alias(k) for k, c in zip(("n", "flowing", "stacked"), _flow_counts())))
+    return pages.join(counts, PAGE, "left").select(*PAGE, _as_stored(F.col("n"), F.col("flowing"), F.col("stacked")).alias("as_stored"))
+
+
+def _marked(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """``elements`` with ``__stored``, by one join with the pages and windows in its partitioning. An element whose page is
+    unknown isn't stored."""
+    page = Window.partitionBy(*PAGE)
+    known = pages.select(*PAGE, "layout_mode", F.col("source_format").alias("__format"), F.lit(True).alias("__known"))
+    counts = {f"__{k}": c.over(page) for k, c in zip(("n", "flowing", "stacked"), _flow_counts())}
+    both = elements.join(known, PAGE, "left").withColumns(counts)
+    rule = _as_stored(F.col("__n"), F.col("__flowing"), F.col("__stacked"))
+    # The rule reads the format of the page, not of the element.
+    own = both.withColumnRenamed("source_format", "__own").withColumnRenamed("__format", "source_format")
+    out = own.withColumn("__stored", F.coalesce("__known", F.lit(False)) & rule).drop("source_format", "layout_mode", "__known", *counts)
+    return out.withColumnRenamed("__own", "source_format").select(*elements.columns, "__stored")
 
 
 def reading_order(pages: DataFrame, elements: DataFrame, cfg: ParserConfig, strategy: Callable | None = None) -> DataFrame:
-    """Stored order where :func:`uses_document_order` says so, else the configured strategy; unknown names are composite."""
+    """Stored order where :func:`uses_document_order` says so, else the configured strategy; unknown names are composite.
+
+    The composite order shares its one exchange per page with the stored order; other strategies run on their own pages.
+    """
     strategy = strategy or STRATEGIES.get(cfg.reading_order_strategy, composite)
-    marked = elements.join(uses_document_order(pages, elements), PAGE, "left")
-    stored = document_order(marked.filter("as_stored").drop("as_stored"), cfg)
-    other = strategy(marked.filter("NOT coalesce(as_stored, false)").drop("as_stored"), cfg)
-    return stored.unionByName(other)
+    marked = _marked(pages, elements)
+    if strategy is not composite:
+        stored = document_order(marked.filter("__stored").drop("__stored"), cfg)
+        return stored.unionByName(strategy(marked.filter("NOT __stored").drop("__stored"), cfg))
+    spatial = ~F.col("__stored")
+    rest = spatial & F.col("placeholder_idx").isNull()
+    placed = _with_paths(marked, cfg, rest)
+    stored = [F.when(F.col("__stored"), F.col(c)) for c in ("z_order", "element_id")]
+    last = [F.when(rest, F.col(c)) for c in ("y", "x", "z_order")]
+    done = _numbered(placed, *stored, F.when(spatial, F.col("placeholder_idx")).asc_nulls_last(), F.asc_nulls_last("spatial_group"), *last, "ordinal")
+    return done.withColumn("spatial_group", F.when(rest, F.col("spatial_group")).when(spatial, "ph")).drop("__stored")

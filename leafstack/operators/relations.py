@@ -20,16 +20,26 @@ def looks_like_title(cfg: ParserConfig) -> Column:
     return (F.col("element_type") == "text") & (text != "") & (F.coalesce("is_placeholder", F.lit(False)) | short)
 
 
+def with_title(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
+    """``ordered`` with ``page_title``: place and id of the page's first title in reading order, for every other element that
+    isn't above it and near enough; null for the others. One window over the page, no join."""
+    page = Window.partitionBy(*PAGE)
+    title = F.min(F.when(looks_like_title(cfg), F.struct("read_ord", "ordinal", "element_id", "y", "height"))).over(page)
+    rows = ordered.withColumn("__t", title)
+    near = (F.col("y") >= F.col("__t.y")) & (F.col("y") - (F.col("__t.y") + F.col("__t.height")) <= cfg.title_max_y_distance) & (F.col("ordinal") != F.col("__t.ordinal"))
+    return rows.withColumn("page_title", F.when(near, F.struct("__t.read_ord", "__t.ordinal", "__t.element_id"))).drop("__t")
+
+
 def title_relations(ordered: DataFrame, cfg: ParserConfig) -> DataFrame:
     """title_of: the page's first title in reading order to every other element not above it and near enough.
 
     Page key, source_ordinal, target_ordinal, target_ord, source_element_id, target_element_id, confidence.
     """
-    titles = ordered.filter(looks_like_title(cfg)).groupBy(*PAGE).agg(F.min(F.struct("read_ord", "ordinal", "element_id", "y", "height")).alias("t"))
-    both = ordered.select(*PAGE, "ordinal", "element_id", "read_ord", "y").join(titles, PAGE)
-    near = (F.col("y") >= F.col("t.y")) & (F.col("y") - (F.col("t.y") + F.col("t.height")) <= cfg.title_max_y_distance)
-    out = both.filter(near & (F.col("ordinal") != F.col("t.ordinal")))
-    return out.select(*PAGE, F.col("t.ordinal").alias("source_ordinal"), F.col("ordinal").alias("target_ordinal"), F.col("read_ord").alias("target_ord"), F.col("t.element_id").alias("source_element_id"), F.col("element_id").alias("target_element_id"), F.lit(0.7).alias("confidence"))
+    out = with_title(ordered, cfg).filter("page_title IS NOT NULL")
+    return out.select(
+        *PAGE, F.col("page_title.ordinal").alias("source_ordinal"), F.col("ordinal").alias("target_ordinal"), F.col("read_ord").alias("target_ord"), F.col("page_title.element_id").alias("source_element_id"),
+        F.col("element_id").alias("target_element_id"), F.lit(0.7).alias("confidence"),
+    )
 
 
 _SIDE = ["ordinal", "element_id", "read_ord", "x", "y", "width", "height"]

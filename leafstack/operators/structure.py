@@ -10,7 +10,7 @@ from leafstack.schema import PAGE
 
 #: Outline levels are clamped to 1..6, so a page's open headings fit into that many window columns.
 LEVELS = range(1, 7)
-_HEAD = "struct<ord:int,title:string,ordinal:int>"
+_HEAD = "struct<ord:int,title:string,ordinal:int,own_idx:int>"
 
 
 def outline_level() -> Column:
@@ -40,34 +40,43 @@ def _chain(below: int) -> Column:
 
 def outline(pages: DataFrame, ordered: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Each element with its outline: level, ``chain`` of open headings, parent heading, whether it makes a block, and the
-    number of that block in its page.
+    number of that block in its page. All of it is windows over one partitioning by page.
 
     ``titles``: title_of relations (page key, source_ordinal, target_ordinal); a target of a title that is a heading met
-    before belongs to that heading's block.
+    before belongs to that heading's block. In their place ``ordered`` may have a column ``page_title`` (see
+    :func:`leafstack.operators.relations.with_title`), which saves the joins.
     """
-    level = outline_level()
-    rows = ordered.withColumn("level", level).withColumn("title", tx.stripped(F.col("text")))
+    rows = ordered.withColumn("level", outline_level()).withColumn("title", tx.stripped(F.col("text")))
     rows = rows.withColumn("label", F.coalesce(F.nullif("title", F.lit("")), F.lit("heading")))
-    past = Window.partitionBy(*PAGE).orderBy("read_ord").rowsBetween(Window.unboundedPreceding, -1)
-    heads = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct(F.col("read_ord").alias("ord"), F.col("label").alias("title"), "ordinal")), ignorenulls=True).over(past) for k in LEVELS}
+    if titles is not None:
+        places = ordered.select(*PAGE, F.col("ordinal").alias("source_ordinal"), F.col("read_ord").alias("__ord"))
+        linked = titles.select(*PAGE, "source_ordinal", F.col("target_ordinal").alias("ordinal")).join(places, [*PAGE, "source_ordinal"])
+        linked = linked.select(*PAGE, "ordinal", F.struct(F.col("__ord").alias("read_ord"), F.col("source_ordinal").alias("ordinal")).alias("page_title"))
+        rows = rows.drop("page_title").join(linked, [*PAGE, "ordinal"], "left")
+    elif "page_title" not in rows.columns:
+        rows = rows.withColumn("page_title", F.lit(None).cast("struct<read_ord:int,ordinal:int>"))
+    rows = rows.join(containers(pages), PAGE, "left")
+    page = Window.partitionBy(*PAGE)
+    past, upto = (page.orderBy("read_ord").rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    # Without a container, what comes before all headings makes blocks of its own.
+    orphan = F.col("container").isNull() & (F.coalesce(F.count("level").over(past), F.lit(0)) == 0)
+    rows = rows.withColumn("makes_block", F.col("level").isNotNull() | F.col("element_type").isin("table", "image") | orphan)
+    number = F.sum(F.col("makes_block").cast("int")).over(upto) + F.col("container").isNotNull().cast("int")
+    rows = rows.withColumn("own_idx", F.when(F.col("makes_block"), number).cast("int"))
+    me = F.struct(F.col("read_ord").alias("ord"), F.col("label").alias("title"), "ordinal", "own_idx")
+    heads = {f"h{k}": F.last(F.when(F.col("level") == k, me), ignorenulls=True).over(past) for k in LEVELS}
     rows = rows.withColumns(heads)
     chain = _chain(7)
     for k in reversed(LEVELS):
         chain = F.when(F.col("level") == k, _chain(k)).otherwise(chain)
     rows = rows.withColumn("chain", chain).drop(*heads)
-    if titles is not None:
-        # The chain of a title's own block is the chain the title has, with the title at its end.
-        own = rows.filter("level IS NOT NULL").select(*PAGE, F.col("ordinal").alias("source_ordinal"), F.col("read_ord").alias("t_ord"), F.array_append("chain", F.struct(F.col("read_ord").alias("ord"), F.col("label").alias("title"), "ordinal")).alias("t_chain"))
-        linked = titles.select(*PAGE, "source_ordinal", F.col("target_ordinal").alias("ordinal")).join(own, [*PAGE, "source_ordinal"])
-        rows = rows.join(linked.drop("source_ordinal"), [*PAGE, "ordinal"], "left")
-        moved = F.col("level").isNull() & (F.col("t_ord") < F.col("read_ord"))
-        rows = rows.withColumn("chain", F.when(moved, F.col("t_chain")).otherwise(F.col("chain"))).drop("t_ord", "t_chain")
-    rows = rows.join(containers(pages), PAGE, "left").withColumn("parent", F.when(F.size("chain") > 0, F.element_at("chain", F.greatest(F.size("chain"), F.lit(1)))))
-    orphan = F.col("parent").isNull() & F.col("container").isNull()
-    makes = F.col("level").isNotNull() | F.col("element_type").isin("table", "image") | orphan
-    upto = Window.partitionBy(*PAGE).orderBy("read_ord").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.sum(makes.cast("int")).over(upto) + F.col("container").isNotNull().cast("int")
-    return rows.withColumn("makes_block", makes).withColumn("own_idx", F.when(makes, number).cast("int"))
+    # The chain of a title's own block is the chain the title has, with the title at its end.
+    of_title = F.map_from_entries(F.collect_list(F.when(F.col("__titles") & F.col("level").isNotNull(), F.struct("read_ord", F.array_append("chain", me)))).over(page))
+    rows = rows.withColumn("__titles", F.array_contains(F.collect_set("page_title.read_ord").over(page), F.col("read_ord")))
+    rows = rows.withColumn("__chains", of_title)
+    moved = F.col("level").isNull() & (F.col("page_title.read_ord") < F.col("read_ord"))
+    rows = rows.withColumn("chain", F.coalesce(F.when(moved, F.element_at("__chains", F.col("page_title.read_ord"))), F.col("chain"))).drop("__titles", "__chains", "page_title")
+    return rows.withColumn("parent", F.when(F.size("chain") > 0, F.element_at("chain", F.greatest(F.size("chain"), F.lit(1)))))
 
 
 def block_id(idx: Column) -> Column:
@@ -78,9 +87,7 @@ def blocks(pages: DataFrame, ordered: DataFrame, titles: DataFrame | None = None
     """doc_id, page_number, block_idx, block_id, kind, level, title_text, element_ids, ordinals, parent_block_id,
     section_path and the union box (null for a block without elements)."""
     rows = outline(pages, ordered, titles)
-    ids = rows.filter("level IS NOT NULL").select(*PAGE, F.col("ordinal").alias("head"), F.col("own_idx").alias("head_idx"))
-    rows = rows.withColumn("head", F.col("parent.ordinal")).join(ids, [*PAGE, "head"], "left")
-    parent_idx = F.coalesce("head_idx", F.when(F.col("container").isNotNull(), F.lit(1)))
+    parent_idx = F.coalesce("parent.own_idx", F.when(F.col("container").isNotNull(), F.lit(1)))
     kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("element_type") == "table", "table").when(F.col("element_type") == "image", "figure")
     kind = kind.when(F.coalesce("is_list_item", F.lit(False)), "list_item").otherwise("paragraph")
     title = F.when(kind == "heading", F.col("title")).when(kind == "figure", F.lit("figure")).otherwise(F.coalesce(F.nullif("title", F.lit("")), kind))
@@ -88,7 +95,7 @@ def blocks(pages: DataFrame, ordered: DataFrame, titles: DataFrame | None = None
     edges = {"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("width"), "y2": F.col("y") + F.col("height")}
     part = rows.select(
         *PAGE, F.coalesce("own_idx", parent_idx).alias("block_idx"), "makes_block", "read_ord", "element_id", "ordinal",
-        F.when(F.col("makes_block"), F.struct(kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), title.alias("title_text"), F.when(F.col("head_idx").isNotNull() | F.col("container").isNotNull(), block_id(parent_idx)).alias("parent_block_id"), F.when(kind == "heading", F.array_append(path, F.col("label"))).otherwise(path).alias("section_path"))).alias("b"),
+        F.when(F.col("makes_block"), F.struct(kind.alias("kind"), F.coalesce("level", F.lit(0)).alias("level"), title.alias("title_text"), F.when(parent_idx.isNotNull(), block_id(parent_idx)).alias("parent_block_id"), F.when(kind == "heading", F.array_append(path, F.col("label"))).otherwise(path).alias("section_path"))).alias("b"),
         *(e.alias(k) for k, e in edges.items()),
     )
     top = containers(pages).select(*PAGE, F.lit(1).alias("block_idx"), F.struct(F.lit("container").alias("kind"), F.lit(1).alias("level"), F.col("container").alias("title_text"), F.lit(None).cast("string").alias("parent_block_id"), F.array().cast("array<string>").alias("section_path")).alias("b"))

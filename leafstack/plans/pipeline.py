@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.common import Scratch, at_once, written
+from leafstack.common import Scratch, at_once, maybe_broadcast, written
 from leafstack.config import ParserConfig
 from leafstack.functions import text as tx
 from leafstack.operators import layout, markdown, ordering, rag, relations, report, structure, tables
@@ -70,7 +70,11 @@ class Parsed:
     @functools.cached_property
     def blocks(self) -> DataFrame:
         with self._scratch:
-            return written(self._hooks.structure(self.pages, self.ordered, relations.title_relations(self.ordered, self.config)), "blocks")
+            if self._hooks.structure is structure.blocks:
+                found = structure.blocks(self.pages, relations.with_title(self.ordered, self.config))
+            else:
+                found = self._hooks.structure(self.pages, self.ordered, relations.title_relations(self.ordered, self.config))
+            return written(found, "blocks")
 
     def _extras(self) -> dict:
         labels = annotation_labels(self.elements)
@@ -82,11 +86,13 @@ class Parsed:
     def markdown(self) -> DataFrame:
         """(doc_id, markdown): by blocks for documents with headings of their own, by pages for the others."""
         at_once(lambda: self.cells, lambda: self.relations, lambda: self.blocks)
-        native = markdown.native_headings(self.blocks, self.ordered)
-        here, there = (lambda df: df.join(native, "doc_id", "left_semi")), (lambda df: df.join(native, "doc_id", "left_anti"))
-        extras = self._extras()
-        blocks = markdown.render_blocks(here(self.blocks), here(self.ordered), self.config, **extras)
-        pages = markdown.render_documents(markdown.render_pages(there(self.pages), there(self.ordered), self.config, **extras))
+        native = maybe_broadcast(markdown.native_headings(self.blocks, self.ordered).withColumn("__native", F.lit(True)))
+        with self._scratch:  # bodies and the mark of their document serve both forms
+            rows = written(markdown.bodies(self.ordered, **self._extras()).join(native, "doc_id", "left"), "bodies")
+        here, there = rows.filter("__native").drop("__native"), rows.filter("__native IS NULL").drop("__native")
+        ours = maybe_broadcast(here.select("doc_id").distinct())
+        blocks = markdown.render_blocks(self.blocks.join(ours, "doc_id", "left_semi"), here, self.config)
+        pages = markdown.render_documents(markdown.render_pages(self.pages.join(ours, "doc_id", "left_anti"), there, self.config))
         return blocks.unionByName(pages)
 
     def chunks(self) -> DataFrame:
