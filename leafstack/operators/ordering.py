@@ -91,7 +91,7 @@ def _with_paths(elements: DataFrame, cfg: ParserConfig, taking_part: Column | No
     def paths(boxes: pd.Series) -> pd.Series:
         out = []
         for page in boxes:
-            at = [i for i, b in enumerate(page) if b is not None]
+            at = sorted((i for i, b in enumerate(page) if b is not None), key=lambda i: page[i]["ordinal"])
             found: list[str | None] = [None] * len(page)
             x, y, w, h = (np.array([page[i][k] for i in at], dtype=float) for k in ("x", "y", "width", "height"))
             for i, path in zip(at, leaf_paths(x, y, w, h, least) if at else []):
@@ -99,11 +99,11 @@ def _with_paths(elements: DataFrame, cfg: ParserConfig, taking_part: Column | No
             out.append(found)
         return pd.Series(out, dtype=object)
 
-    box = F.struct("x", "y", "width", "height")
+    box = F.struct("ordinal", "x", "y", "width", "height")
     boxed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
     mine = boxed if taking_part is None else boxed & taking_part
-    row = F.struct("ordinal", F.struct(*(F.col(f"`{c}`") for c in elements.columns if c not in PAGE)).alias("e"), F.when(mine, box).alias("b"))
-    pages = elements.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0)).alias("rows"))
+    row = F.struct(F.struct(*(F.col(f"`{c}`") for c in elements.columns if c not in PAGE)).alias("e"), F.when(mine, box).alias("b"))
+    pages = elements.groupBy(*PAGE).agg(F.collect_list(row).alias("rows"))
     pages = pages.withColumn("paths", paths(F.transform("rows", lambda r: r["b"])))
     got = pages.select(*PAGE, F.explode(F.arrays_zip("rows", "paths")).alias("r"))
     return got.select(*PAGE, "r.rows.e.*", F.col("r.paths").alias("spatial_group")).select(*elements.columns, "spatial_group")
