@@ -22,30 +22,40 @@ def _overlap_ratio(t: tuple, v: tuple) -> Column:
     return shared / F.greatest(F.least(v[2] - v[0], t[2] - t[0]), F.lit(1e-6))
 
 
-def caption_breakdown(t: tuple, v: tuple, sizes: tuple, text: Column, cfg: ParserConfig) -> dict[str, Column]:
-    """The parts of a caption score and the score; meaningful only behind :func:`caption_gate`.
+def text_parts(text: Column) -> dict[str, Column]:
+    """The parts of a caption score that depend on the text alone, to be worked out once for each text."""
+    n = F.length(text)
+    length = F.when(n.between(8, 120), 1.0).when(n.between(1, 180), 0.5).otherwise(0.0)
+    return {
+        "text_hint": F.greatest(length, F.when(tx.has_caption_word(text), 1.0).otherwise(0.0)),
+        "bullet_penalty": F.when(F.substring(text, 1, 1).isin(*tx.BULLETS), 0.3).otherwise(0.0),
+    }
+
+
+def caption_breakdown(t: tuple, v: tuple, sizes: tuple, text: Column, cfg: ParserConfig, of_text: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The parts of a caption score; meaningful only behind :func:`caption_gate`.
 
-    ``sizes``: width and height of the text and of the visual.
+    ``sizes``: width and height of the text and of the visual. ``of_text``: :func:`text_parts` where they are known.
     """
     below, above = t[1] - v[3], v[1] - t[3]
     gap = F.least(F.when(below >= 0, below), F.when(above >= 0, above))
     tw, th, vw, vh = sizes
     ratio = F.greatest(tw * th, F.lit(1e-9)) / F.greatest(vw * vh, F.lit(1e-9))
     near = lambda g: (g >= 0) & (g <= cfg.caption_max_gap)
-    n = F.length(text)
-    length = F.when(n.between(8, 120), 1.0).when(n.between(1, 180), 0.5).otherwise(0.0)
-    parts = {
+    return {
         "proximity": geo.positive(F.lit(1.0) - gap / F.lit(max(cfg.caption_max_gap, 1e-6))),
         "alignment": geo.clamp(_overlap_ratio(t, v)),
         "size_ratio": F.when(ratio < 0.5, 1.0).otherwise(geo.positive(F.lit(1.0) - ratio)),
         "position": F.when(near(below), 0.8).when(near(above), 0.6).otherwise(0.3),
-        "text_hint": F.greatest(length, F.when(tx.has_caption_word(text), 1.0).otherwise(0.0)),
-        "bullet_penalty": F.when(F.substring(text, 1, 1).isin(*tx.BULLETS), 0.3).otherwise(0.0),
-    }
+    } | (of_text or text_parts(text))
+
+
+def combined(parts: dict[str, Column], cfg: ParserConfig) -> dict[str, Column]:
+    """``raw`` and ``score`` of the parts by their weights."""
     raw = F.lit(cfg.rel_proximity_weight) * parts["proximity"] + F.lit(cfg.rel_alignment_weight) * parts["alignment"]
     raw = raw + F.lit(cfg.rel_size_ratio_weight) * parts["size_ratio"] + F.lit(cfg.rel_position_weight) * parts["position"]
     raw = raw + F.lit(cfg.rel_text_hint_weight) * parts["text_hint"] - parts["bullet_penalty"]
-    return parts | {"raw": raw, "score": geo.clamp(raw)}
+    return {"raw": raw, "score": geo.clamp(raw)}
 
 
 def relation_type(score: Column, cfg: ParserConfig) -> Column:

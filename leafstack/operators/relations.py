@@ -50,22 +50,28 @@ def caption_candidates(ordered: DataFrame, cfg: ParserConfig, scorer: Callable[.
 
     The gates on gap and alignment are part of the join condition, so far pairs are never scored. Elements already in a
     table or container (where those columns exist) aren't captions. ``scorer`` replaces
-    :func:`~leafstack.functions.scoring.caption_breakdown`: it gets the same boxes, sizes, text and knobs, and its result
-    must hold the same names.
+    :func:`~leafstack.functions.scoring.caption_breakdown` and what combines its parts: it gets the same boxes, sizes, text
+    and knobs, and its result must hold the same names and ``raw`` and ``score``.
     """
     texts = ordered.filter((F.col("element_type") == "text") & (tx.stripped(F.col("text")) != ""))
     for c in ("absorbed_by", "table_ordinal"):
         if c in ordered.columns:
             texts = texts.filter(F.col(c).isNull())
-    t = texts.select(*PAGE, *_SIDE, tx.stripped(F.col("text")).alias("text")).alias("t")
+    texts = texts.select(*PAGE, *_SIDE, tx.stripped(F.col("text")).alias("text"))
+    t = texts.select("*", *(c.alias(k) for k, c in scoring.text_parts(F.col("text")).items())).alias("t")
     v = ordered.filter(F.col("element_type").isin("image", "table")).select(*PAGE, *_SIDE, "element_type").alias("v")
     tb, vb = geo.box("t"), geo.box("v")
     pairs = t.join(v, [*(F.col(f"t.{k}") == F.col(f"v.{k}") for k in PAGE), scoring.caption_gate(tb, vb, cfg)])
     sizes = F.col("t.width"), F.col("t.height"), F.col("v.width"), F.col("v.height")
-    parts = (scorer or scoring.caption_breakdown)(tb, vb, sizes, F.col("t.text"), cfg)
-    kind = scoring.relation_type(parts["score"], cfg)
+    known = {"of_text": {k: F.col(f"t.{k}") for k in ("text_hint", "bullet_penalty")}} if scorer is None else {}
+    parts = (scorer or scoring.caption_breakdown)(tb, vb, sizes, F.col("t.text"), cfg, **known)
     names = [F.col(f"{s}.{c}").alias(f"{p}_{c}") for s, p in (("t", "text"), ("v", "visual")) for c in ("ordinal", "element_id", "read_ord")]
-    out = pairs.select(*(F.col(f"t.{k}").alias(k) for k in PAGE), *names, F.col("t.text").alias("caption_text"), F.col("v.element_type").alias("visual_type"), *(c.alias(k) for k, c in parts.items()), kind.alias("relation_type"))
+    # One row is made of each pair by a generator: no filter on scores passes it, so they are worked out once, for gated pairs.
+    scores = F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias("__p")
+    out = pairs.select(*(F.col(f"t.{k}").alias(k) for k in PAGE), *names, F.col("t.text").alias("caption_text"), F.col("v.element_type").alias("visual_type"), scores).select("*", "__p.*").drop("__p")
+    if scorer is None:
+        out = out.withColumns(scoring.combined({k: F.col(k) for k in parts}, cfg))
+    out = out.withColumn("relation_type", scoring.relation_type(F.col("score"), cfg))
     return out.filter("relation_type IS NOT NULL").withColumn("method", F.lit("rule"))
 
 
