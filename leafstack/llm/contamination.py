@@ -9,8 +9,10 @@ test windows and compared word by word.
 from __future__ import annotations
 
 import html
+import operator
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -171,7 +173,8 @@ def window_matches(docs: DataFrame, items: DataFrame, seeds: tuple[str, ...], ch
     d = hits.select(F.col("id").alias("doc_id"), "seed", "hash", F.col("pos").alias("doc_pos"), F.split("window", " ").alias("a"))
     i = test.select(F.col("id").alias("item_id"), "seed", "hash", F.col("pos").alias("item_pos"), F.split("window", " ").alias("b"))
     both = d.join(maybe_broadcast(i), ["seed", "hash"])
-    changed = F.size(F.filter(F.zip_with("a", "b", lambda a, b: a != b), lambda x: x))
+    # Word by word as one compiled sum, not as functions over arrays.
+    changed = reduce(operator.add, [(F.get("a", F.lit(k)) != F.get("b", F.lit(k))).cast("int") for k in range(width)])
     return both.select("doc_id", "item_id", "doc_pos", "item_pos", changed.alias("changed")).filter(F.col("changed") <= changes).distinct()
 
 
