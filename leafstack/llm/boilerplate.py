@@ -121,10 +121,11 @@ def heavy_candidates(lines: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def element_sites(elements: DataFrame, packages: DataFrame) -> DataFrame:
-    """``elements`` with ``site``: its own site code, lower-cased, or where that is missing the site of its package's path.
+    """``elements`` with ``site`` (in the place of an input column of that name): its own site code, lower-cased, or where that is missing the site of its package's path.
 
     Only the rows without a code take part in the join.
     """
+    elements = elements.drop(*(c for c in elements.columns if c.lower() == "site"))
     code = F.lower(F.trim("site_code"))
     known = F.coalesce(code, F.lit("")) != ""
     paths = packages.groupBy("package_id").agg(F.min(site_of_path(F.col("source_path"))).alias("site"))
@@ -181,8 +182,10 @@ def without_repeated_lines(elements: DataFrame, packages: DataFrame, share: floa
 
     One set of confirmed lines per site meets the texts, so no text is shuffled while the sets are small enough to
     broadcast. A site confirms at most 1/``share`` times as many lines as a package has on average, which bounds its set.
-    Null text stays null; a text of repeated lines only becomes empty.
+    Null text stays null; a text of repeated lines only becomes empty. Input columns named like the result's are replaced.
     """
+    mine = ("clean_text", "lines_removed", "__set", "__kept")
+    elements = elements.drop(*(c for c in elements.columns if c.lower() in mine))
     confirmed = repeated_lines(elements, packages, share, least)
     sets = written(confirmed.groupBy("site").agg(F.collect_set("line").alias("__set")), "confirmed-sets")
     both = element_sites(elements, packages).join(maybe_broadcast(sets), "site", "left")

@@ -134,10 +134,12 @@ def canonical_column(text: Column) -> Column:
 
 
 def canonicalize(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
-    """``df`` with the consistent form of ``text`` in ``out`` (an existing column of that name is an error)."""
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"input already has a column {out}")
-    return df.withColumn(out, canonical_column(F.col(text)))
+    """``df`` with the consistent form of ``text`` in ``out``, in the place of an input column of that name.
+
+    Null stays null, empty stays empty; rows that come twice stay two rows.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    return df.select(*kept, canonical_column(F.col(f"`{text}`")).alias(out))
 
 
 def _hashed(df: DataFrame, scope: list[str], uid: str, text: str) -> tuple[DataFrame, list[str]]:

@@ -93,7 +93,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     """(chosen documents, shares per source).
 
     Chosen: doc_id, source, size, copies (at least 1, at most the source's max_repeats). Shares: see :func:`shares`.
-    Documents with null or empty text, or with a null source or one without target, are never chosen. Equal sizes are
+    Documents with null or empty text, or with a null source or one without target, are never chosen; rows of a null doc_id
+    are one document. Other columns aren't read. Equal sizes are
     ordered by doc_id, so the choice depends on the seed and the data alone, not on how they are partitioned.
     """
     sizes = written(token_sizes(docs, tokenizer), "token-sizes")

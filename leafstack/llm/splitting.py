@@ -202,21 +202,21 @@ def split_oversized(df: DataFrame, text: str, limit: str, overlap: str | None =
 
     Null text: one row with null piece columns and count 0. Empty text: one empty piece. Null, zero or negative limit:
     the text stays whole. Null or negative overlap counts as 0; an overlap of the limit or more counts as limit - 1.
-    Input columns with the same names as the result's are an error.
+    Result columns stand in the place of input columns of the same name (letter case ignored), also where that is the text.
     """
     names = [f"{prefix}_{x}" for x in ("no", "start", "chars", "count", "text")]
-    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
-        raise ValueError(f"input already has {sorted(clash)}; choose another prefix")
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    spans = spans_column(F.col(text), F.col(limit), F.col(overlap) if overlap else F.lit(0))
-    one = df.select(*cols, spans.alias("__spans"))
-    return one.select(*cols, F.coalesce(F.size("__spans"), F.lit(0)).alias("__n"), F.posexplode_outer("__spans").alias("__i", "__s")).select(
-        *cols,
-        (F.col("__i") + 1).alias(names[0]),
-        F.col("__s.start").alias(names[1]),
-        (F.col("__s.end") - F.col("__s.start")).alias(names[2]),
-        F.greatest(F.col("__n"), F.lit(0)).alias(names[3]),
-        F.substring(F.col(text), F.col("__s.start") + 1, F.col("__s.end") - F.col("__s.start")).alias(names[4]),
+    spans = spans_column(F.col(f"`{text}`"), F.col(f"`{limit}`"), F.col(f"`{overlap}`") if overlap else F.lit(0))
+    # The input travels as one struct, so none of its names can meet those used here.
+    one = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), spans.alias("spans"))
+    cut = one.select("row", F.coalesce(F.size("spans"), F.lit(0)).alias("n"), F.posexplode_outer("spans").alias("i", "s"))
+    taken = {n.lower() for n in names}
+    return cut.select(
+        *(F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken),
+        (F.col("i") + 1).alias(names[0]),
+        F.col("s.start").alias(names[1]),
+        (F.col("s.end") - F.col("s.start")).alias(names[2]),
+        F.greatest(F.col("n"), F.lit(0)).alias(names[3]),
+        F.substring(F.col("row").getField(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias(names[4]),
     )
 
 

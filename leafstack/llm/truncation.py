@@ -324,7 +324,8 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     are texts with a proper end, a link, a smiley, a signature or a closing formula, also where they just fill the limit.
 
     Null and empty texts are never truncated and are listed as such; rows that come twice count once; a null source has no
-    limit, but its texts are judged all the same. Without an author column signatures are taken as they stand.
+    limit, but its texts are judged all the same. Without an author column signatures are taken as they stand. Rows of a null
+    key are one document, judged without the sentence statistics. Other columns aren't read.
     """
     spark = docs.sparkSession
     name = F.col(author) if author else F.lit(None).cast("string")

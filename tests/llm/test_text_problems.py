@@ -49,8 +49,8 @@ def test_alike_pairs(spark):
     df = spark.createDataFrame(rows, "package_id int, uid int, text string, canonical string")
     got = {(r.package_id, r.uid_a, r.uid_b) for r in canonical.alike_pairs(df, ["package_id"], "uid", "text").collect()}
     assert got == {(1, 1, 2), (1, 2, 3), (1, 1, 9), (1, 2, 9), (1, 3, 9)}
-    with pytest.raises(ValueError):
-        canonical.canonicalize(df, "text")
+    replaced = canonical.canonicalize(df, "text")
+    assert replaced.columns == ["package_id", "uid", "text", "canonical"] and {r.canonical for r in replaced.filter("uid = 2").collect()} == {"Cost"}
     assert canonical.alike_pairs(df.limit(0), ["package_id"], "uid", "text").count() == 0
 
 
@@ -84,6 +84,28 @@ def test_repeated_lines(spark):
     assert boilerplate.repeated_line_places(elements.limit(0), packages).count() == 0 and boilerplate.repeated_lines(elements, packages.limit(0)).count() == 0
 
 
+def test_clashing_names_and_null_columns(spark):
+    packages, elements = packages_and_elements(spark)
+    more = elements.withColumns({c: F.lit("x") for c in ("site", "SITE_OLD", "clean_text", "lines_removed", "__set", "key", "line", "doc")})
+    more = more.unionByName(more.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in more.dtypes)))
+    other = packages.withColumns({"site": F.lit("y"), "packages": F.lit(9)}).unionByName(packages.limit(1).select(F.lit(None).cast("long").alias("package_id"), F.lit(None).cast("string").alias("source_path")), allowMissingColumns=True)
+    plain = {(r.element_uid, r.clean_text, r.lines_removed) for r in boilerplate.without_repeated_lines(elements, packages).collect()}
+    got = {(r.element_uid, r.clean_text, r.lines_removed) for r in boilerplate.without_repeated_lines(more, other).collect()}
+    assert got == plain | {(None, None, 0)} and boilerplate.without_repeated_lines(more, other).count() == more.count()
+    assert {tuple(r) for r in boilerplate.repeated_line_places(more, other).collect()} == {tuple(r) for r in boilerplate.repeated_line_places(elements, packages).collect()}
+
+
+def test_null_keys_of_documents(spark):
+    rows = [(None, "word " * 9, None, None), (1, "word " * 9, "s", None), (None, None, "s", "a"), (2, "", None, None), (3, "word " * 400_000, "s", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, author string").withColumns({"id": F.lit(0), "size": F.lit(0), "seed": F.lit(1), "window": F.lit("w")})
+    targets = spark.createDataFrame([("s", 1.0, 1), (None, 0.5, 2), ("t", None, None)], "source string, target_weight double, max_repeats int").withColumn("size", F.lit(1))
+    assert sorted(r.doc_id for r in mixing.mix(docs, targets)[0].collect()) == [1, 3]
+    flags = truncation.truncation_flags(docs)
+    assert sorted((str(r.doc_id), str(r.source)) for r in flags.collect()) == [("1", "s"), ("2", "None"), ("3", "s"), ("None", "None"), ("None", "s")]
+    items = spark.createDataFrame([(7, "word " * 12), (None, "word " * 12), (8, None)], "item_id long, text string").withColumn("hash", F.lit(0))
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in contamination.exact_leaks(docs, items).collect()) == [("3", "7"), ("3", "None")]
+
+
 def test_a_full_summary_still_finds_the_line(spark, monkeypatch):
     monkeypatch.setattr(boilerplate, "COUNTERS", 3)
     packages = spark.createDataFrame([(i, "s/x") for i in range(40)], "package_id long, source_path string")
