@@ -148,8 +148,8 @@ def chunk_items(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """
     caps = configs.groupBy("config_id").agg(F.max("chunk_max_chars").alias("capacity")).filter("capacity > 0")
     rows = chunks.select("config_id", "package_id", "chunk_id", "text").distinct().join(maybe_broadcast(caps), "config_id")
-    pieces = split_oversized(rows, "text", "capacity")
-    return pieces.select("config_id", "package_id", "chunk_id", F.coalesce("piece_no", F.lit(1)).alias("piece_no"), F.coalesce("piece_chars", F.lit(0)).alias("size"), "capacity", F.xxhash64("text").alias("copy"))
+    pieces = split_oversized(rows.withColumn("copy", F.xxhash64("text")), "text", "capacity", with_text=False)
+    return pieces.select("config_id", "package_id", "chunk_id", F.coalesce("piece_no", F.lit(1)).alias("piece_no"), F.coalesce("piece_chars", F.lit(0)).alias("size"), "capacity", "copy")
 
 
 def pack_chunks(chunks: DataFrame, configs: DataFrame, rounds: int | None = None) -> DataFrame:

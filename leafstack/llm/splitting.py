@@ -19,7 +19,9 @@ JOINED, INSIDE, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Code points indexed at once. Bounds the table to about 4 * 12 bytes a code point; longer texts go through in stretches.
 STRETCH = 1 << 20
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_SPAN = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+SPANS = T.ArrayType(T.StructType(_SPAN))
+PIECES = T.ArrayType(T.StructType([*_SPAN, T.StructField("text", T.StringType())]))
 
 _SPACE = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
 _STOP = np.array([ord(c) for c in ".!?…。！？．"], dtype=np.uint32)
@@ -182,17 +184,22 @@ def _spans(texts, limits, overlaps) -> list[list[tuple[int, int]] | None]:
     return out
 
 
-def spans_column(text: Column, limit: Column, overlap: Column) -> Column:
-    @F.pandas_udf(SPANS)
+def spans_column(text: Column, limit: Column, overlap: Column, with_text: bool = False) -> Column:
+    """Spans of the pieces of ``text``, and with ``with_text`` the pieces themselves."""
+
+    @F.pandas_udf(PIECES if with_text else SPANS)
     def spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, n, o in batches:
             found = _spans(t.tolist(), n.tolist(), o.tolist())
-            yield pd.Series([None if s is None else [{"start": a, "end": b} for a, b in s] for s in found], dtype=object)
+            if with_text:
+                yield pd.Series([None if s is None else [{"start": a, "end": b, "text": x[a:b]} for a, b in s] for x, s in zip(t, found)], dtype=object)
+            else:
+                yield pd.Series([None if s is None else [{"start": a, "end": b} for a, b in s] for s in found], dtype=object)
 
     return spans(text, limit.cast("double"), overlap.cast("double"))
 
 
-def split_oversized(df: DataFrame, text: str, limit: str, overlap: str | None = None, prefix: str = "piece") -> DataFrame:
+def split_oversized(df: DataFrame, text: str, limit: str, overlap: str | None = None, prefix: str = "piece", with_text: bool = True) -> DataFrame:
     """One row per piece of ``df[text]``, all input columns kept, with ``{prefix}_no`` (from 1), ``{prefix}_start``,
     ``{prefix}_chars``, ``{prefix}_count`` and ``{prefix}_text``.
 
@@ -203,21 +210,21 @@ def split_oversized(df: DataFrame, text: str, limit: str, overlap: str | None =
     Null text: one row with null piece columns and count 0. Empty text: one empty piece. Null, zero or negative limit:
     the text stays whole. Null or negative overlap counts as 0; an overlap of the limit or more counts as limit - 1.
     Result columns stand in the place of input columns of the same name (letter case ignored), also where that is the text.
+
+    Pieces are cut where the spans are found, so a caller that drops the text doesn't have it repeated for each piece;
+    without ``with_text`` there are no piece texts either.
     """
     names = [f"{prefix}_{x}" for x in ("no", "start", "chars", "count", "text")]
-    spans = spans_column(F.col(f"`{text}`"), F.col(f"`{limit}`"), F.col(f"`{overlap}`") if overlap else F.lit(0))
-    # The input travels as one struct, so none of its names can meet those used here.
-    one = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), spans.alias("spans"))
-    cut = one.select("row", F.coalesce(F.size("spans"), F.lit(0)).alias("n"), F.posexplode_outer("spans").alias("i", "s"))
-    taken = {n.lower() for n in names}
-    return cut.select(
-        *(F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in taken),
-        (F.col("i") + 1).alias(names[0]),
-        F.col("s.start").alias(names[1]),
-        (F.col("s.end") - F.col("s.start")).alias(names[2]),
-        F.greatest(F.col("n"), F.lit(0)).alias(names[3]),
-        F.substring(F.col("row").getField(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias(names[4]),
-    )
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    pieces = spans_column(F.col(f"`{text}`"), F.col(f"`{limit}`"), F.col(f"`{overlap}`") if overlap else F.lit(0), with_text)
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    one = df.select(*kept, pieces.alias(mark))
+    cut = one.select(*kept, F.coalesce(F.size(mark), F.lit(0)).alias(f"{mark}n"), F.posexplode_outer(mark).alias(f"{mark}i", f"{mark}s"))
+    start, end = F.col(f"{mark}s.start"), F.col(f"{mark}s.end")
+    found = [F.col(f"{mark}i") + 1, start, end - start, F.greatest(F.col(f"{mark}n"), F.lit(0)), *([F.col(f"{mark}s.text")] if with_text else [])]
+    return cut.select(*kept, *(c.alias(n) for n, c in zip(names, found)))
 
 
 def oversized(df: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:

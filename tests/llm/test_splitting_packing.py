@@ -46,9 +46,9 @@ def test_special_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, 5, 0), (2, "", 5, 0), (3, "abc def", None, 1), (4, "abc def", 0, 1), (5, "abc def", 4, None), (5, "abc def", 4, None)], "id int, text string, lim int, ov int")
     got = splitting.split_oversized(df, "text", "lim", "ov").orderBy("id", "piece_no").collect()
     assert [(r.id, r.piece_no, r.piece_text, r.piece_count) for r in got] == [(1, None, None, 0), (2, 1, "", 1), (3, 1, "abc def", 1), (4, 1, "abc def", 1), (5, 1, "abc ", 2), (5, 1, "abc ", 2), (5, 2, "def", 2), (5, 2, "def", 2)]
-    clash = df.withColumns({"Piece_No": F.lit("x"), "spans": F.lit(1), "row": F.lit(2), "i": F.lit(3), "s": F.lit(4), "n": F.lit(5)})
+    clash = df.withColumns({"Piece_No": F.lit("x"), "spans": F.lit(1), "row": F.lit(2), "i": F.lit(3), "_s": F.lit(4), "__n": F.lit(5)})
     again = splitting.split_oversized(clash, "text", "lim", "ov").orderBy("id", "piece_no").collect()
-    assert [(r.id, r.piece_no, r.piece_text, r.piece_count, r.spans, r.row, r.i, r.s, r.n) for r in again] == [(r.id, r.piece_no, r.piece_text, r.piece_count, 1, 2, 3, 4, 5) for r in got]
+    assert [(r.id, r.piece_no, r.piece_text, r.piece_count, r.spans, r.row, r.i, r._s, r["__n"]) for r in again] == [(r.id, r.piece_no, r.piece_text, r.piece_count, 1, 2, 3, 4, 5) for r in got]
     assert splitting.split_oversized(df.limit(0), "text", "lim").count() == 0
     assert [r.id for r in splitting.oversized(df, ["id"], "text", "lim", "ov").collect()] == [5]
 
