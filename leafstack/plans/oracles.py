@@ -371,6 +371,13 @@ ORACLES = {
         SELECT k AS s_suppkey, 0 AS ordinal, 'table' AS element_type, k || ' | ' || chr(10) || ' | ' || name AS text, NULL AS image_ref, 'S' || k AS sheet_name, 0.02::DOUBLE AS x, 0.0::DOUBLE AS y, 0.96::DOUBLE AS width, 0.9::DOUBLE AS height, '1 1' AS col_widths FROM r
         UNION ALL SELECT k, 1, 'image', NULL, 'sheet' || page || '_img1.png', NULL, k % 2 / 2, k % 4 / 4, 0.5::DOUBLE, 0.25::DOUBLE, NULL FROM r
         UNION ALL SELECT k, 2, 'chart', CASE WHEN k % 2 = 1 THEN name ELSE 'Chart 1' END, NULL, NULL, 0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE, 0.25::DOUBLE, NULL FROM r""",
+    "pptx_markdown_roundtrip": f"""WITH {_GRID}, rw AS (
+          SELECT l_orderkey, row_idx, '<tr>' || string_agg('<' || tag || CASE WHEN wide THEN ' colspan="2"' ELSE '' END || CASE WHEN tall THEN ' rowspan="2"' ELSE '' END || '>' || text || '</' || tag || '>', '' ORDER BY col_idx) || '</tr>' AS row
+          FROM (SELECT *, CASE WHEN row_idx = 0 THEN 'th' ELSE 'td' END AS tag FROM gr WHERE NOT is_spanned) GROUP BY 1, 2),
+        tb AS (SELECT l_orderkey, '<table>' || chr(10) || '<colgroup>' || chr(10) || '<col style="width:16.7%"/>' || chr(10) || '<col style="width:33.3%"/>' || chr(10) || '<col style="width:50.0%"/>' || chr(10) || '</colgroup>' || chr(10) || '<thead>' || chr(10)
+          || any_value(row) FILTER (row_idx = 0) || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || coalesce(string_agg(row, chr(10) ORDER BY row_idx) FILTER (row_idx > 0) || chr(10), '') || '</tbody>' || chr(10) || '</table>' AS html FROM rw GROUP BY 1)
+        SELECT l_orderkey // 16 AS package, string_agg('<!-- Page ' || page || ' -->' || chr(10) || chr(10) || html, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page) || chr(10) AS markdown
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey // 16 ORDER BY l_orderkey) AS page FROM tb) GROUP BY 1""",
     "docx_tables_roundtrip": f"WITH {_GRID} {_GRID_ROWS}, 1 AS span_height, NOT is_spanned AS is_merge_origin FROM gr",
     "docx_structure_roundtrip": f"""WITH {_LINES}, q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS i, l FROM ln WHERE l <> '')
         SELECT doc_id, i - 1 AS ordinal, CASE WHEN i % 4 = 2 THEN repeat('  ', i % 3) || '- ' || l ELSE l END AS text, i % 4 = 1 AS is_heading, CASE WHEN i % 4 = 1 THEN 1 + i % 3 END AS heading_level, i % 4 = 2 AS is_list_item,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafstack.common import table
+from leafstack.plans import pipeline
 from leafstack.sources import reader, writer
 from leafstack.sources.writer import clean
 
@@ -163,9 +164,8 @@ def _ranked(lines: DataFrame) -> DataFrame:
 _GRID = ("l_orderkey", "n", "l_partkey", "l_suppkey", "l_linenumber")
 
 
-def pptx_tables_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of tables with wide cells and cells that go on below, after ingest."""
-    lines = _lined(spark, d).select(*_GRID)
+def _table_decks(lines: DataFrame) -> DataFrame:
+    """Decks with one table on each slide, whose columns are 1, 2 and 3 sixths wide."""
 
     def make(slides: list[list[dict]]) -> bytes:
         out = []
@@ -183,7 +183,20 @@ def pptx_tables_roundtrip(spark: SparkSession, d: str) -> DataFrame:
             out.append(f"<p:graphicFrame>{frame}<a:graphic><a:graphicData><a:tbl><a:tblGrid>{grid}</a:tblGrid>{body}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>")
         return writer.deck(out)
 
-    return _cells(packed(lines, "l_orderkey", ["n"], make, "pptx"), _ranked(lines))
+    return packed(lines, "l_orderkey", ["n"], make, "pptx")
+
+
+def pptx_tables_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of tables with wide cells and cells that go on below, after ingest."""
+    lines = _lined(spark, d).select(*_GRID)
+    return _cells(_table_decks(lines), _ranked(lines))
+
+
+def pptx_markdown_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The same decks through ingest and the whole pipeline to Markdown, with column widths, spans and header rows."""
+    frames = reader.frames(_table_decks(_lined(spark, d).select(*_GRID)))
+    parsed = pipeline.parse(frames.pages, frames.elements.drop("extra"), frames.cells)
+    return parsed.markdown().select(_package().alias("package"), "markdown")
 
 
 def docx_tables_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -379,6 +392,6 @@ def xlsx_drawings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    pptx_runs_roundtrip, pptx_numbering_roundtrip, pptx_shapes_roundtrip, pptx_tables_roundtrip, pptx_layers_roundtrip, docx_tables_roundtrip, docx_structure_roundtrip, docx_drawings_roundtrip,
+    pptx_runs_roundtrip, pptx_numbering_roundtrip, pptx_shapes_roundtrip, pptx_tables_roundtrip, pptx_markdown_roundtrip, pptx_layers_roundtrip, docx_tables_roundtrip, docx_structure_roundtrip, docx_drawings_roundtrip,
     hwpx_tables_roundtrip, xlsx_values_roundtrip, xlsx_drawings_roundtrip,
 )
