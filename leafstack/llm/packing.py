@@ -118,6 +118,7 @@ def pack(items: DataFrame, rounds: int | None = None) -> DataFrame:
     no partition with a gap has anything to give or all partitions of a pool have met (or for ``rounds`` rounds). No task
     ever holds more than about ``PARTITION`` items, whatever the pool's size.
     """
+    items = written(items.select(*_KEEP), "items")  # keys and sizes only; finding them may have meant splitting all texts
     counts = written(items.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "pool-sizes")
     if rounds is None:
         partitions, rounds = -(-(counts.agg(F.max("n")).first()[0] or 0) // PARTITION), 0
