@@ -22,7 +22,7 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
         F.col("package_id").cast("string").alias("doc_id"), "page_number", "ordinal", "element_id", "element_type", "z_order", "bbox.x", "bbox.y", "bbox.width", "bbox.height", "text",
         meta("formatted_text").alias("formatted_text"), meta("layout").alias("layout"), meta("source_format").alias("source_format"), flag("is_placeholder"), flag("is_heading"), meta("heading_level").cast("int").alias("heading_level"),
         flag("is_list_item"), meta("list_level").cast("int").alias("list_level"), meta("placeholder_idx").cast("int").alias("placeholder_idx"), F.coalesce(image["relative_path"], image["filename"]).alias("image_ref"), image["display_width_px"].alias("image_width"),
-        meta("paragraph_style").alias("paragraph_style"), flag("is_mostly_bold"), meta("line_pattern").alias("line_pattern"), none("string", "sheet_name"), none("array<double>", "col_widths"), none("array<double>", "crop"), F.col("element_uid"),
+        meta("paragraph_style").alias("paragraph_style"), flag("is_mostly_bold"), meta("line_pattern").alias("line_pattern"), none("string", "sheet_name"), none("array<double>", "col_widths"), none("array<double>", "row_heights"), none("array<double>", "crop"), F.col("element_uid"),
     )
 
 
@@ -53,7 +53,7 @@ def layout_elements(spark: SparkSession, d: str) -> DataFrame:
         (F.expr("l_partkey % 80") / 100).alias("x"), (F.expr("l_suppkey % 80") / 100).alias("y"), (F.col("l_quantity") / 100).alias("width"), (F.lit(0.02) + F.expr("l_partkey % 7") / 50).alias("height"),
         F.when(kind >= 2, F.col("p_name")).alias("text"), none("string", "formatted_text"), none("string", "layout"), F.lit("pptx").alias("source_format"), none("boolean", "is_placeholder"), none("boolean", "is_heading"), none("int", "heading_level"),
         none("boolean", "is_list_item"), none("int", "list_level"), F.when(F.expr("l_suppkey % 11") == 0, F.expr("cast(l_partkey % 3 as int)")).alias("placeholder_idx"), none("string", "image_ref"), none("int", "image_width"),
-        none("string", "paragraph_style"), none("boolean", "is_mostly_bold"), none("string", "line_pattern"), none("string", "sheet_name"), none("array<double>", "col_widths"), none("array<double>", "crop"),
+        none("string", "paragraph_style"), none("boolean", "is_mostly_bold"), none("string", "line_pattern"), none("string", "sheet_name"), none("array<double>", "col_widths"), none("array<double>", "row_heights"), none("array<double>", "crop"),
     )
 
 

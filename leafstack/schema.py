@@ -9,7 +9,7 @@ ELEMENTS = (
     "doc_id string, page_number int, ordinal int, element_id string, element_type string, z_order int, "
     "x double, y double, width double, height double, text string, formatted_text string, layout string, source_format string, "
     "is_placeholder boolean, is_heading boolean, heading_level int, is_list_item boolean, list_level int, placeholder_idx int, "
-    "image_ref string, image_width int, paragraph_style string, is_mostly_bold boolean, line_pattern string, sheet_name string, col_widths array<double>, crop array<double>, extra map<string,string>"
+    "image_ref string, image_width int, paragraph_style string, is_mostly_bold boolean, line_pattern string, sheet_name string, col_widths array<double>, row_heights array<double>, crop array<double>, extra map<string,string>"
 )
 PAGES = "doc_id string, page_number int, width double, height double, source_format string, layout_mode string, sheet_name string"
 CELLS = (

@@ -155,7 +155,7 @@ def table_cells(tbl) -> list[dict]:
 
 def column_widths(tbl) -> list[float]:
     """Widths that the table's grid gives its columns; one of 1 where it gives none."""
-    return [max(1.0, number(attr(g, "w"), 1.0)) for g in children(child(tbl, "tblGrid"), "gridCol")] or [1.0]
+    return [number(attr(g, "w"), 1.0) for g in children(child(tbl, "tblGrid"), "gridCol")] or [1.0]
 
 
 def read(package: Package, found: Found) -> None:
@@ -180,7 +180,7 @@ def read(package: Package, found: Found) -> None:
             elif local(node) == "tbl":
                 box = sheet.table(len(children(node, "tr")))
                 cells = table_cells(node)
-                at = found.element("table", order, order, box, piped(cells), source_format="docx", layout="flow", col_widths=column_widths(node))
+                at = found.element("table", order, order, box, piped(cells), source_format="docx", layout="flow", col_widths=column_widths(node), row_heights=[1.0] * len(children(node, "tr")))
                 across = box[2] / (max((c["col_idx"] for c in cells), default=0) + 1)
                 down = box[3] / (max((c["row_idx"] for c in cells), default=0) + 1)
                 found.table(at, cells, lambda c, box=box, across=across, down=down: None if c["is_spanned"] else (box[0] + c["col_idx"] * across, box[1] + c["row_idx"] * down, across * c["span_width"], down * c["span_height"]))

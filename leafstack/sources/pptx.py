@@ -311,7 +311,7 @@ class Reader:
         elif kind == "table":
             shown = table or read_table(next(within(node, "tbl")))
             text = _plain_rows(shown[2])
-            meta["col_widths"] = shown[0]
+            meta |= {"col_widths": shown[0], "row_heights": shown[1]}
         elif kind == "image":
             meta |= self.picture(part, node, n, width)
             cut = child(node, "blipFill", "srcRect")

@@ -9,10 +9,9 @@ from collections.abc import Iterator
 from leafstack.sources.package import Found, Package, attr, cell, child, children, clamp, local, number, stacked_box, texts, within
 
 #: A sheet of so many places gives a cell for each, empty ones too. Beyond that one that has values in less than an eighth of
-#: them gives only cells with a value or in a merged range, so a stray cell in the last row costs one cell.
+#: them gives only cells with a value or in a merged range, so a stray cell in the last row costs one cell. Sheets of
+#: more places don't list their equal widths and heights.
 DENSE = 1_000_000
-#: Columns up to which a sheet's equal column widths are listed.
-WIDEST = 16_384
 #: Built-in number formats that show dates or times.
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 
@@ -130,15 +129,15 @@ def read(package: Package, found: Found) -> None:
             ends = [place(x) for x in (attr(m, "ref") or "A1").split(":")]
             (r1, c1), (r2, c2) = ends[0], ends[-1]
             merged |= {(r, c): None for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)} | {(r1, c1): (c2 - c1 + 1, r2 - r1 + 1)}
-        cells, lines = [], {}
+        cells, lines, dense = [], {}, rows * cols <= DENSE
         for r, c in _places(rows, cols, text.keys() | merged.keys()):
             span = merged.get((r, c), (1, 1))
             shown = text.get((r, c), "") if span else ""
             lines.setdefault(r, []).append(shown)
             cells.append(cell(r, c, shown or None, span is None, *(span or (1, 1)), origin=span is not None))
         whole = "\n".join(" | ".join(line) for line in lines.values() if any(line)) or None
-        widths = [1.0] * cols if cols <= WIDEST else None
-        found.table(found.element("table", 1, 1, stacked_box(0, 0.9), whole, source_format="xlsx", sheet_name=name, col_widths=widths), cells)
+        sizes = {"col_widths": [1.0] * cols, "row_heights": [1.0] * rows} if dense else {}
+        found.table(found.element("table", 1, 1, stacked_box(0, 0.9), whole, source_format="xlsx", sheet_name=name, **sizes), cells)
         order = pictures = charts = 0
         for kind, row, col, target in _drawings(package, part):
             order += 1

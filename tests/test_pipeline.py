@@ -39,7 +39,7 @@ def test_json_holds_cells_labels_and_scores(spark, packages):
     docs = {r.doc_id[-6:]: json.loads(r.json) for r in got.json().collect()}
     elements = docs["a.pptx"]["pages"][0]["elements"]
     table = next(e for e in elements if e["element_type"] == "table")["metadata"]
-    assert [c["text"] for c in table["table_cells"]] == ["one", "two"] and table["col_widths"] == [1000, 3000]
+    assert [c["text"] for c in table["table_cells"]] == ["one", "two"] and table["col_widths"] == [1000, 3000] and table["row_heights"] == [1]
     (inside,) = table["table_cells"][1]["absorbed_elements"]
     assert inside["type"] == "image" and inside["containment"] == pytest.approx(1) and "cell_bbox" in table["table_cells"][1]
     image = next(e for e in elements if e["element_type"] == "image")["metadata"]
