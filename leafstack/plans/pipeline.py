@@ -38,14 +38,19 @@ class Parsed:
     ``elements``: all, with what absorbed them. ``ordered``: those that stand for themselves, in reading order.
     """
 
-    def __init__(self, pages: DataFrame, elements: DataFrame, ordered: DataFrame, cells: DataFrame, taken: DataFrame, config: ParserConfig, hooks: Hooks, scratch: Scratch):
-        self.pages, self.elements, self.ordered, self.config = pages, elements, ordered, config
-        self._cells, self._taken, self._hooks, self._scratch = cells, taken, hooks, scratch
+    def __init__(self, pages: DataFrame, placed: DataFrame, ordered: DataFrame, cells: DataFrame, taken: DataFrame, config: ParserConfig, hooks: Hooks, scratch: Scratch):
+        self.pages, self.ordered, self.config = pages, ordered, config
+        self._placed, self._cells, self._taken, self._hooks, self._scratch = placed, cells, taken, hooks, scratch
 
     def close(self) -> None:
         """Remove all intermediate tables; frames of this object can't be read afterwards."""
         self._scratch.remove()
 
+    @functools.cached_property
+    def elements(self) -> DataFrame:
+        with self._scratch:
+            return written(self._placed, "placed")
+
     @functools.cached_property
     def cells(self) -> DataFrame:
         """Cells with ``absorbed_elements``."""
@@ -138,18 +143,15 @@ def parse(pages: DataFrame, elements: DataFrame, cells: DataFrame, cfg: ParserCo
     cfg = cfg or ParserConfig()
     scratch = Scratch(pages.sparkSession)
     with scratch:
-        source, given = elements, cells
-        elements, cells = at_once(lambda: written(source, "elements"), lambda: written(given, "cells"))
-        merged = written(layout.resolve_containment(elements, cfg), "merged")
-        taken = written(layout.absorb_into_tables(merged, cells, cfg), "taken")
-        merged = merged.join(taken.select(*KEY, "table_ordinal"), KEY, "left")
+        merged, boxed = at_once(lambda: written(layout.resolve_containment(written(elements, "elements"), cfg), "merged"), lambda: written(cells, "cells"))
+        taken = written(layout.absorb_into_tables(merged, boxed, cfg), "taken")
+        placed = merged.join(taken.select(*KEY, "table_ordinal"), KEY, "left")
         if cfg.absorb_image_annotations:
-            merged = merged.join(layout.annotate_images(merged, cfg).select(*KEY, "image_ordinal", F.col("ratio").alias("image_ratio")), KEY, "left")
+            placed = placed.join(layout.annotate_images(placed, cfg).select(*KEY, "image_ordinal", F.col("ratio").alias("image_ratio")), KEY, "left")
         else:
-            merged = merged.withColumns({"image_ordinal": F.lit(None).cast("int"), "image_ratio": F.lit(None).cast("double")})
-        merged = written(merged, "placed")
-        free = merged.filter("absorbed_by IS NULL AND table_ordinal IS NULL AND image_ordinal IS NULL")
+            placed = placed.withColumns({"image_ordinal": F.lit(None).cast("int"), "image_ratio": F.lit(None).cast("double")})
+        free = placed.filter("absorbed_by IS NULL AND table_ordinal IS NULL AND image_ordinal IS NULL")
         if cfg.filter_noise_elements:
             free = layout.drop_noise(free, cfg)
         ordered = written(ordering.reading_order(pages, free, cfg, order), "ordered")
-    return Parsed(pages, merged, ordered, cells, taken, cfg, Hooks(verifier, order, rerank, scorer, structure), scratch)
+    return Parsed(pages, placed, ordered, boxed, taken, cfg, Hooks(verifier, order, rerank, scorer, structure), scratch)
