@@ -317,11 +317,12 @@ def _within(unit: str):
 
 
 def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "source", text: str = "text", author: str | None = "author") -> DataFrame:
-    """One row per document: key, source, ``at_limit``, ``truncated`` and ``reason`` (tag, word, sentence or sign).
+    """One row per document: key, source, ``at_limit``, ``truncated`` and ``reason`` (tag, word, name, sentence or sign).
 
-    Cut are texts that stop inside a tag, entity or character; whose last token is a fragment by the vocabulary trie; whose
-    last sentence goes on by the corpus' statistics; or that stop at their source's limit with a sign of omission. Complete
-    are texts with a proper end, a link, a smiley, a signature or a closing formula, also where they just fill the limit.
+    Cut are texts that stop inside a tag, entity or character; whose last token is a fragment by the vocabulary trie, or in a
+    signature a part of the author's name; whose last sentence goes on by the corpus' statistics; or that stop at their
+    source's limit with a sign of omission. Complete are texts with a proper end, a link, a smiley, a signature or a closing
+    formula, also where they just fill the limit.
 
     Null and empty texts are never truncated and are listed as such; rows that come twice count once; a null source has no
     limit, but its texts are judged all the same. Without an author column signatures are taken as they stand. Rows of a null
@@ -378,7 +379,8 @@ def truncation_flags(docs: DataFrame, doc_key: str = "doc_id", source: str = "so
     rarely = (zero("ends1") < F.lit(5 * NEVER) * zero("n1")) & (zero("n1") >= CLOSER_LEAST)
     reason = (
         F.when(F.col("closed"), None)
-        .when(F.col("named") | fragment, "word")
+        .when(F.col("named"), "name")
+        .when(fragment, "word")
         .when(F.col("at_limit") & F.col("sign"), "sign")
         .when(F.col("at_limit") & ((F.col("chance") < NEAR) | rarely), "sentence")
         .when(never | (~F.col("sign") & (F.col("chance") < FAR)), "sentence")
