@@ -29,6 +29,9 @@ READERS: list[tuple[tuple[str, ...], Callable]] = [
     ((".hwpx",), hwpx.read),
 ]
 
+#: Packages leave a worker together until they have so many pages, elements and cells.
+BATCH_ROWS = 4096
+
 
 def find_reader(path: str) -> Callable:
     for suffixes, reader in READERS:
@@ -72,12 +75,52 @@ def parse_packages(files: DataFrame, options: Options = Options(), strict: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch.column(0), batch.column(1)):  # one package at a time: they may be large
-                yield pa.RecordBatch.from_pylist([parse_row(path.as_py(), content.as_py(), options, strict)], arrow)
+                rows.append(row := parse_row(path.as_py(), content.as_py(), options, strict))
+                held += BATCH_ROWS if row["assets"] else len(row["cells"]) + len(row["elements"]) + len(row["pages"])
+                if held >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.select("path", "content").mapInArrow(run, PARSED)
 
 
+def parse_cells(files: DataFrame, columns: list[str], options: Options = Options(), strict: bool = False) -> DataFrame:
+    """(doc_id, *columns) of all cells of a frame with ``path`` and ``content``, for those who want nothing else.
+
+    ``columns`` are those of cells, or else of the page they are on. The rows leave the workers as columns, so no nested
+    lists are built; broken packages give none.
+    """
+    types = {n: t for ddl in (schema.PAGES, schema.CELLS) for n, t in (f.strip().split(" ") for f in ddl.split(", "))}
+    ddl = ", ".join(f"{n} {types[n]}" for n in ("doc_id", *columns))
+    arrow = to_arrow_schema(_parse_datatype_string(ddl))
+    of_cell = {f.strip().split(" ")[0] for f in schema.CELLS.split(", ")}
+
+    def taken(docs: list[str], cells: list[dict], of_page: list[dict]) -> pa.RecordBatch:
+        values = [docs, *([c.get(n) for c in cells] if n in of_cell else [p.get(n) for p in of_page] for n in columns)]
+        return pa.record_batch([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, cells, of_page = [], [], []
+            for path, content in zip(batch.column(0), batch.column(1)):
+                row = parse_row(path.as_py(), content.as_py(), options, strict)
+                docs += [row["doc_id"]] * len(row["cells"])
+                cells += row["cells"]
+                if not of_cell.issuperset(columns):
+                    of_page += [row["pages"][c["page_number"] - 1] for c in row["cells"]]
+                if len(cells) >= BATCH_ROWS:
+                    yield taken(docs, cells, of_page)
+                    docs, cells, of_page = [], [], []
+            if cells:
+                yield taken(docs, cells, of_page)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
 @dataclasses.dataclass(frozen=True)
 class Frames:
     pages: DataFrame
