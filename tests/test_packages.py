@@ -31,3 +31,27 @@ def check(spark, tables, name):
 
 def test_docx_tables_join_no_keys(spark, tables):
     check(spark, tables, "docx_tables_roundtrip")
+
+
+def test_pptx_tables_join_no_keys(spark, tables):
+    check(spark, tables, "pptx_tables_roundtrip")
+
+
+def test_slide_parts_are_parsed_once(monkeypatch):
+    from leafstack.sources import package, reader, writer
+
+    seen = []
+    parse = package.ET.fromstring
+    monkeypatch.setattr(package.ET, "fromstring", lambda data: seen.append(data) or parse(data))
+    reader.parse("a.pptx", writer.pptx(["one", "two"]))
+    assert len(seen) == len(set(seen))
+
+
+def test_plain_cells_read_as_marked_ones():
+    import xml.etree.ElementTree as ET
+
+    from leafstack.sources import pptx, writer
+
+    for body in ("<a:p><a:r><a:t> a </a:t></a:r><a:r><a:t>b</a:t></a:r></a:p><a:p/><a:p><a:r><a:t>c</a:t></a:r></a:p>", "<a:p><a:r><a:rPr b='1'/><a:t>a</a:t></a:r><a:r><a:t>bcdefghi</a:t></a:r></a:p>", "<a:p><a:br/><a:r><a:t>x</a:t></a:r></a:p>"):
+        paragraphs = list(ET.fromstring(f"<a:b {writer.A}>{body}</a:b>"))
+        assert pptx._body_texts(paragraphs) == (pptx.bulleted(paragraphs), pptx.formatted(paragraphs, html=True))
