@@ -55,3 +55,7 @@ def test_plain_cells_read_as_marked_ones():
     for body in ("<a:p><a:r><a:t> a </a:t></a:r><a:r><a:t>b</a:t></a:r></a:p><a:p/><a:p><a:r><a:t>c</a:t></a:r></a:p>", "<a:p><a:r><a:rPr b='1'/><a:t>a</a:t></a:r><a:r><a:t>bcdefghi</a:t></a:r></a:p>", "<a:p><a:br/><a:r><a:t>x</a:t></a:r></a:p>"):
         paragraphs = list(ET.fromstring(f"<a:b {writer.A}>{body}</a:b>"))
         assert pptx._body_texts(paragraphs) == (pptx.bulleted(paragraphs), pptx.formatted(paragraphs, html=True))
+
+
+def test_hwpx_tables_join_no_keys(spark, tables):
+    check(spark, tables, "hwpx_tables_roundtrip")
