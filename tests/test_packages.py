@@ -59,3 +59,7 @@ def test_plain_cells_read_as_marked_ones():
 
 def test_hwpx_tables_join_no_keys(spark, tables):
     check(spark, tables, "hwpx_tables_roundtrip")
+
+
+def test_xlsx_values_read_packages_once(spark, tables):
+    check(spark, tables, "xlsx_values_roundtrip")
