@@ -126,8 +126,13 @@ def table_claims(elements: DataFrame, cells: DataFrame, cfg: ParserConfig) -> Da
     equals. ``elements`` may lack ``absorbed_by``.
     """
     free = elements if "absorbed_by" not in elements.columns else elements.filter("absorbed_by IS NULL")
-    tables = by_area(elements.filter("element_type = 'table'"), "table_rank").select(*PAGE, F.col("ordinal").alias("table_ordinal"), "table_rank")
-    slots = cells.filter("cx IS NOT NULL AND NOT coalesce(is_spanned, false)").select(*PAGE, F.col("ordinal").alias("table_ordinal"), "cell_idx", *_CELL_BOX).join(tables, [*PAGE, "table_ordinal"])
+    # Most tables are alone on their page; cells go to the pages only of those that something could fit into.
+    candidate = F.when((F.col("element_type") != "group") & (F.lit(True) if free is elements else F.col("absorbed_by").isNull()), F.col("ordinal"))
+    page = Window.partitionBy(*PAGE)
+    beside = elements.withColumns({"__low": F.min(candidate).over(page), "__high": F.max(candidate).over(page)}).filter("element_type = 'table'")
+    beside = by_area(beside, "table_rank").filter("__low <> ordinal OR __high <> ordinal")
+    tables = written(beside.select(*PAGE, F.col("ordinal").alias("table_ordinal"), "table_rank"), "tables")
+    slots = cells.filter("cx IS NOT NULL AND NOT coalesce(is_spanned, false)").select(*PAGE, F.col("ordinal").alias("table_ordinal"), "cell_idx", *_CELL_BOX).join(maybe_broadcast(tables), [*PAGE, "table_ordinal"])
     ratio = geo.containment(geo.box("c"), geo.box("s", _CELL_BOX))
     c = free.filter("element_type <> 'group'").select(*KEY, "x", "y", "width", "height").alias("c")
     same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in PAGE]

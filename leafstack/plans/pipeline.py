@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafstack.common import Scratch, at_once, maybe_broadcast, written
+from leafstack.common import Scratch, at_once, maybe_broadcast, small, written
 from leafstack.config import ParserConfig
 from leafstack.functions import text as tx
 from leafstack.operators import layout, markdown, ordering, rag, relations, report, structure, tables
@@ -55,7 +55,7 @@ class Parsed:
     def cells(self) -> DataFrame:
         """Cells with ``absorbed_elements``."""
         with self._scratch:
-            return written(with_absorbed(self._cells, self.elements, self._taken), "cells")
+            return with_absorbed(self._cells, self.elements, self._taken)
 
     @functools.cached_property
     def _related(self) -> tuple[DataFrame, DataFrame]:
@@ -121,16 +121,22 @@ def annotation_labels(elements: DataFrame) -> DataFrame:
 
 
 def with_absorbed(cells: DataFrame, elements: DataFrame, taken: DataFrame) -> DataFrame:
-    """Cells with the elements they absorbed: content by type (image mark, nested table, text), in page order."""
-    nested = tables.nested_html(cells).withColumnRenamed("html", "nested")
+    """Cells with the elements they absorbed: content by type (image mark, nested table, text), in page order.
+
+    What was absorbed is written; the cells stay where they are if that can be broadcast, and are written with it if not.
+    """
+    some = maybe_broadcast(taken)
+    nested = tables.nested_html(cells.join(maybe_broadcast(taken.select(*KEY)), KEY, "left_semi")).withColumnRenamed("html", "nested")
     src = F.coalesce(F.nullif("image_ref", F.lit("")), F.lit("image-not-exported"))
     mark = F.concat(F.lit("!["), F.col("element_id"), F.lit("]("), src, F.lit(")"))
     kind = F.col("element_type")
     content = F.when(kind == "image", mark).when(kind == "table", F.coalesce("nested", tx.stripped(F.col("text")))).otherwise(tx.stripped(F.col("text")))
-    rows = taken.join(elements.select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref", "image_width"), KEY).join(nested, KEY, "left")
+    rows = elements.select(*KEY, "element_id", "element_type", "x", "y", "text", "image_ref", "image_width").join(some, KEY).join(nested, KEY, "left")
     item = F.struct("y", "x", F.col("ordinal"), content.alias("content"), F.when((kind == "image") & (F.col("image_width") > 0), F.col("image_width")).alias("width"), "element_id", F.col("element_type").alias("type"), F.col("ratio").alias("containment"))
     got = rows.groupBy(*PAGE, F.col("table_ordinal").alias("ordinal_"), "cell_idx").agg(F.sort_array(F.collect_list(item)).alias("absorbed_elements"))
-    return cells.join(got.withColumnRenamed("ordinal_", "ordinal"), [*KEY, "cell_idx"], "left")
+    got = written(got.withColumnRenamed("ordinal_", "ordinal"), "absorbed")
+    both = cells.join(maybe_broadcast(got), [*KEY, "cell_idx"], "left")
+    return both if small(got) else written(both, "cells")
 
 
 def parse(pages: DataFrame, elements: DataFrame, cells: DataFrame, cfg: ParserConfig | None = None, verifier: Column | None = None, order=None, rerank=None, scorer=None, structure=structure.blocks) -> Parsed:

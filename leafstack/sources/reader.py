@@ -6,6 +6,7 @@ Each package is parsed once, in a Python worker, to one row of nested lists; the
 from __future__ import annotations
 
 import dataclasses
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -57,12 +58,17 @@ def parse(path: str, content: bytes, options: Options = Options()) -> Found:
 
 def parse_row(path: str, content: bytes, options: Options, strict: bool) -> dict:
     empty = {"doc_id": path, "error": None, "pages": [], "elements": [], "cells": [], "assets": []}
+    collects = gc.isenabled()
+    gc.disable()  # trees and rows hold no cycles; the collector would walk them again and again
     try:
         got = parse(path, content, options)
     except Exception as e:  # a broken file must not stop a corpus
         if strict:
             raise
         return empty | {"error": f"{type(e).__name__}: {e}"[:500]}
+    finally:
+        if collects:
+            gc.enable()
     return empty | {"pages": got.pages, "elements": got.elements, "cells": got.cells, "assets": got.assets}
 
 

@@ -63,3 +63,54 @@ def test_hwpx_tables_join_no_keys(spark, tables):
 
 def test_xlsx_values_read_packages_once(spark, tables):
     check(spark, tables, "xlsx_values_roundtrip")
+
+
+def test_pptx_markdown_moves_no_cells_for_nothing(spark, tables, tmp_path, monkeypatch):
+    """Tables alone on their slide take nothing in: their cells meet no elements and aren't written a second time."""
+    from leafstack import common
+    from leafstack.operators import layout
+    from leafstack.plans import pipeline
+
+    seen = []
+    write = common.written
+    for module in (layout, pipeline):
+        monkeypatch.setattr(module, "written", lambda df, label: seen.append((label, out := write(df, label))) or out)
+    got = entry.queries()["pptx_markdown_roundtrip"](spark, tables)
+    found = {label: df for label, df in seen}
+    assert [label for label, _ in seen].count("cells") == 1
+    assert found["tables"].count() == found["absorbed"].count() == 0 and found["cells"].count() > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tables}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['pptx_markdown_roundtrip']})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_deflated_parts_are_read_directly_and_broken_ones_refused(monkeypatch):
+    import zipfile
+
+    from leafstack.sources import reader, writer
+    from leafstack.sources.package import Package
+
+    content = writer.pptx(["one", "two"])
+    opened = []
+    open_ = zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(name) or open_(self, name, *a, **k))
+    assert [e["text"] for e in reader.parse("a.pptx", content).elements] == ["one\ntwo"] and not opened
+    part = Package(content).zip.getinfo("ppt/slides/slide1.xml")
+    at = part.header_offset + 30 + len(part.filename) + part.compress_size // 2
+    with pytest.raises(Exception, match="CRC|invalid|Error"):
+        reader.parse("a.pptx", content[:at] + bytes([content[at] ^ 0xFF]) + content[at + 1 :])
+
+
+def test_cells_of_one_run_read_as_others():
+    import xml.etree.ElementTree as ET
+
+    from leafstack.sources import pptx, writer
+
+    run, tail = "<a:txBody><a:p><a:r><a:t> a </a:t></a:r></a:p></a:txBody>", "<a:tcPr/>"
+    for marks in ("", ' gridSpan="2"', ' hMerge="1"', ' vMerge="1"', ' rowSpan="3"', ' gridSpan=""', ' gridSpan="x" vMerge="0"'):
+        first = "<a:tc><a:txBody><a:p><a:r><a:t>f</a:t></a:r></a:p></a:txBody></a:tc>"
+        # Without the empty properties a cell goes the long way.
+        fast, slow = (ET.fromstring(f"<a:tr {writer.A}>{first}<a:tc{marks}>{run}{end}</a:tc></a:tr>") for end in (tail, ""))
+        assert pptx._one_run(fast[1]) == "a" and pptx._one_run(slow[1]) is None
+        assert pptx._row_slots(fast) == pptx._row_slots(slow)
